@@ -67,7 +67,8 @@ def pack_chunks(sentences: Column, joiner: Column, max_chars: int = MAX_CHARS) -
     def cut(starts: Column) -> Column:
         return F.transform(
             starts,
-            lambda start, k: F.array_join(
+            lambda start, k: F.call_function(
+                "array_join",
                 F.slice(
                     sentences,
                     start,
