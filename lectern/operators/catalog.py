@@ -171,13 +171,13 @@ def resolve_voices(requests: DataFrame, voices: DataFrame) -> DataFrame:
 
 def parse_formats(csv: Column) -> Column:
     """Trimmed non-empty formats of a CSV string; the default list if none is left."""
-    named = F.filter(F.transform(F.split(csv, ","), F.trim), lambda f: f != "")
+    named = F.filter(F.transform(F.split(csv, ","), lambda f: F.trim(f)), lambda f: f != "")
     return F.when(F.size(named) > 0, named).otherwise(F.lit(DEFAULT_FORMATS))
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Rules on formats and video style, in order; the first failing rule names the error."""
-    named = F.filter(F.transform(F.split(F.col("formats"), ","), F.trim), lambda f: f != "")
+    named = F.filter(F.transform(F.split(F.col("formats"), ","), lambda f: F.trim(f)), lambda f: f != "")
     unknown = F.array_sort(F.array_except(named, F.lit(EXPORT_FORMATS)))
     return requests.withColumn(
         "error",

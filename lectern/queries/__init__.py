@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog"]
+AREAS = ["catalog", "timeline"]
 
 
 def _load():

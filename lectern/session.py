@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -40,3 +42,18 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if fallback:
         return fallback
     raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the cluster's shared folder, so that lost executors cost no recomputation.
+
+    Only a local session, where every task shares this machine, may fall back to
+    a temporary folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        local = context.master.startswith("local")
+        context.setCheckpointDir(
+            shared_folder(df.sparkSession, tempfile.mkdtemp(prefix="spark-") if local else None)
+        )
+    return df.checkpoint()
