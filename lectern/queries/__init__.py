@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog", "timeline"]
+AREAS = ["catalog", "timeline", "ingest"]
 
 
 def _load():
