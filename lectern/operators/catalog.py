@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lectern.operators.ordered import Levels, row_numbers
 
@@ -340,7 +341,7 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- lexicon
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def compiles(patterns: pd.Series) -> pd.Series:
     import re
 

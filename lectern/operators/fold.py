@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.strings import bind, excerpt, strip
-from lectern.operators.ordered import Levels, row_numbers, running_sums
+from lectern.operators.ordered import Levels, neighbour, row_numbers, running_sums
+from lectern.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 CHAPTER_WORD = r"(?iuU)^(chapter|rozdzia[łl]|kapitel|第\s*[0-9一二三四五六七八九十百千]+\s*[章节])"
@@ -132,16 +133,28 @@ def fold_rows(
     Rows that start a chapter are consumed; chapters without rows do not count.
     """
     opens = F.coalesce(starts, F.lit(False)).cast("bigint")
-    counted = running_sums(
-        rows.withColumns({"__opens": opens, "__title": title}), keys, levels, {"__before": F.col("__opens")}
+    sums = {"__heads": F.col("__opens"), "__at": F.lit(1).cast("bigint")}
+    counted = running_sums(rows.withColumns({"__opens": opens, "__title": title}), keys, levels, sums)
+    # Read three times below; the positions of the starts alone number the chapters.
+    counted = cut_lineage(counted.withColumn("__group", F.col("__heads") + F.col("__opens")).drop("__heads"))
+    sizes = counted.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    heads = (
+        counted.filter("__opens = 1")
+        .select(*keys, "__group", F.col("__at").alias("__head"), F.col("__title").alias("title"))
+        .unionByName(
+            sizes.select(
+                *keys, F.lit(0).cast("bigint").alias("__group"), F.lit(-1).cast("bigint").alias("__head"),
+                first_title.alias("title"),
+            )
+        )
+        .withColumn("__slab", F.floor(F.col("__group") / 1024))
+    )
+    order = [["__slab"], ["__group"]]
+    spans = neighbour(cut_lineage(heads), keys, order, F.col("__head"), "__next", ahead=True).join(sizes, keys)
+    filled = cut_lineage(spans.filter(F.coalesce("__next", "__rows") - F.col("__head") > 1))
+    chapters = row_numbers(filled, keys, order, "chapter_index").select(
+        *keys, "__group", "__head", "title", "chapter_index"
     )
-    counted = counted.withColumn("__group", F.col("__before") + F.col("__opens"))
-    heads = counted.filter("__opens = 1").select(*keys, "__group", F.col("__title").alias("__name"))
-    body = counted.filter("__opens = 0").drop("__opens", "__before", "__title")
-    groups = body.groupBy(*keys, "__group").agg(F.count("*").alias("__n"))
-    groups = row_numbers(
-        groups.withColumn("__slab", F.floor(F.col("__group") / 1024)), keys, [["__slab"], ["__group"]], "chapter_index"
-    ).drop("__n", "__slab")
-    named = groups.join(heads, [*keys, "__group"], "left").withColumn("title", F.coalesce("__name", first_title))
-    placed = body.join(named.drop("__name"), [*keys, "__group"])
-    return row_numbers(placed, [*keys, "chapter_index"], levels, "block_index").drop("__group")
+    body = counted.filter("__opens = 0").drop("__opens", "__title")
+    placed = body.join(chapters, [*keys, "__group"])
+    return placed.withColumn("block_index", F.col("__at") - F.col("__head") - 1).drop("__group", "__at", "__head")

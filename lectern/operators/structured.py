@@ -9,6 +9,7 @@ from lectern.functions.strings import blank_to_null, strip
 from lectern.operators import html as H
 from lectern.operators.fold import chapter_title, fold_rows
 from lectern.operators.ordered import Levels, row_numbers
+from lectern.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 QUOTE_STYLES = ["quote", "intense quote"]
@@ -28,7 +29,9 @@ def epub_chapters(parts: DataFrame, toc: DataFrame) -> DataFrame:
     titles = toc.groupBy("doc", F.substring_index("href", "#", 1).alias("href")).agg(
         F.min_by("title", "pos").alias("toc_title")
     )
-    readable = spine.filter(F.size("found") > 0).withColumn("slab", F.floor(F.col("spine_pos") / 1024))
+    slab = F.floor(F.col("spine_pos") / 1024)
+    # Numbering reads the items again, so the parsed blocks are kept.
+    readable = cut_lineage(spine.filter(F.size("found") > 0).withColumn("slab", slab))
     order = row_numbers(readable.select("doc", "slab", "spine_pos"), ["doc"], [["slab"], ["spine_pos"]], "chapter_index")
     named = readable.drop("slab").join(order.drop("slab"), ["doc", "spine_pos"]).join(titles, ["doc", "href"], "left")
     fallback = F.concat(F.lit("Chapter "), F.col("chapter_index") + 1)
@@ -86,12 +89,12 @@ def fb2_chapters(nodes: DataFrame, levels: Levels) -> DataFrame:
         .when(F.col("tag") == "p", "para")
     )
     body = main.filter(~own_title & (F.col("text") != "")).withColumn("kind", kind).filter("kind IS NOT NULL")
+    body = row_numbers(body, ["doc", "section_no"], levels, "block_index")
     sections = body.select("doc", "section_no").distinct().withColumn("slab", F.floor(F.col("section_no") / 1024))
     sections = row_numbers(sections, ["doc"], [["slab"], ["section_no"]], "chapter_index").drop("slab")
     fallback = F.concat(F.lit("Chapter "), F.col("section_no") + 1)
     named = sections.join(titles, ["doc", "section_no"], "left").withColumn("title", F.coalesce("own", fallback))
-    placed = body.join(named.drop("own"), ["doc", "section_no"])
-    return row_numbers(placed, ["doc", "section_no"], levels, "block_index")
+    return body.join(named.drop("own"), ["doc", "section_no"])
 
 
 def fb2_metadata(xml: Column) -> tuple[Column, Column, Column]:

@@ -57,7 +57,8 @@ def chapter_markers(timed: DataFrame, chapter_columns: list[str], levels: Levels
         F.min("start_s").alias("start_s"),
         F.max(F.col("start_s") + F.coalesce("duration_s", F.lit(0.0))).alias("own_end_s"),
     )
-    following = neighbour(spans, ["job_id"], levels, F.col("start_s"), "next_start_s", ahead=True)
+    # One row per chapter; kept, because finding the next chapter reads it again.
+    following = neighbour(cut_lineage(spans), ["job_id"], levels, F.col("start_s"), "next_start_s", ahead=True)
     return following.withColumn("end_s", F.coalesce("next_start_s", "own_end_s")).drop("own_end_s", "next_start_s")
 
 

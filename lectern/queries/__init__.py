@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog", "timeline", "ingest"]
+AREAS = ["catalog", "timeline", "ingest", "layout"]
 
 
 def _load():

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.strings import strip
 from lectern.operators import fold, html, language, structured
-from lectern.queries.registry import query, table
+from lectern.queries.registry import query, table, texts
 from lectern.queries.views import sql
 from lectern.sources import files as S
 from lectern.sources import model as M
@@ -23,7 +23,7 @@ CUT_TITLE = "CASE WHEN length({t}) <= 80 THEN {t} ELSE substr({t}, 1, 77) || '..
 
 def lines(spark, sf):
     """Non-empty trimmed lines of the documents with their position."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     rows = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return (
         rows.select("doc_id", "lang", "source", F.col("pos").cast("bigint").alias("pos"), strip(F.col("line")).alias("text"))
@@ -34,7 +34,7 @@ def lines(spark, sf):
 
 def spaced_documents(spark, sf):
     """Documents whose lines are set apart by blank lines, as plain-text books are."""
-    return table(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n \r\n")))
+    return texts(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\r\n \r\n")))
 
 
 # ----------------------------------------------------------------------- files
@@ -47,7 +47,7 @@ def spaced_documents(spark, sf):
 )
 def intake_limit(spark, sf):
     """Document sizes against a limit of 4 KiB (scaled so that one MiB stands for 256)."""
-    found = table(spark, sf, "documents").select(
+    found = texts(spark, sf, "documents").select(
         F.col("source").alias("path"), (F.octet_length("text") * 256).cast("bigint").alias("length")
     )
     taken, rejected = S.split_by_size(found, max_mb=1)
@@ -69,8 +69,8 @@ def sniffable(spark, sf):
         .otherwise(F.concat(F.lpad(tail, 60, "."), F.lit("BOOKMOBI ........")))
     )
     name = F.concat(F.lit("e/"), F.col("event_id"), F.when(F.col("value") > 50, ".LIT").when(F.col("value") > 20, ".txt").otherwise(""))
-    page = table(spark, sf, "pages")
-    docs = table(spark, sf, "documents")
+    page = texts(spark, sf, "pages")
+    docs = texts(spark, sf, "documents")
     ext = M.choose(F.col("lang"), {"en": ".txt", "fr": ".HTM", "de": ".rtf"}, ".xyz")
     return (
         e.select(name.alias("path"), body.cast("binary").alias("content"))
@@ -141,7 +141,7 @@ def format_listing(spark, sf):
 @query("decode_text", "SELECT doc_id, text FROM documents")
 def decode_text(spark, sf):
     """French, German and Spanish texts as Latin bytes where that is possible, all others as UTF-8."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     latin = (F.col("lang") != "en") & ~F.col("text").rlike("[^\\x00-\\x7f\u00a0-\u00ff]") & F.col("text").rlike("[\u00e0-\u00f6\u00f8-\u00ff]")
     utf8 = F.col("text").cast("binary")
     content = F.when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1")).otherwise(utf8)
@@ -164,7 +164,7 @@ def heading_lines(spark, sf):
 
 @query("joined_lines", sql("SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS text FROM lines GROUP BY 1", lines=LINES))
 def joined_lines(spark, sf):
-    joined = table(spark, sf, "documents").select("doc_id", fold.join_lines(F.col("text")).alias("text"))
+    joined = texts(spark, sf, "documents").select("doc_id", fold.join_lines(F.col("text")).alias("text"))
     return joined.filter("text <> ''")
 
 
@@ -242,18 +242,18 @@ _META = f"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)<title\\b') THEN
 
 @query("html_boilerplate", f"SELECT page_id, {_strip_sql(html.SKIPPED_TAGS)} AS html FROM pages")
 def html_boilerplate(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html.strip_boilerplate(F.col("html")).alias("html"))
+    return texts(spark, sf, "pages").select("page_id", html.strip_boilerplate(F.col("html")).alias("html"))
 
 
 @query("html_blocks", sql(f"SELECT page_id, pos, {_KIND.format(t='tag')} AS kind, text FROM b", b=_HTML_BLOCKS))
 def html_blocks(spark, sf):
-    rows = table(spark, sf, "pages").select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("pos", "b"))
+    rows = texts(spark, sf, "pages").select("page_id", F.posexplode(html.blocks(F.col("html"))).alias("pos", "b"))
     return rows.select("page_id", "pos", html.kind_of(F.col("b.tag")).alias("kind"), "b.text")
 
 
 @query("html_metadata", _META)
 def html_metadata(spark, sf):
-    return table(spark, sf, "pages").select(
+    return texts(spark, sf, "pages").select(
         "page_id", html.title(F.col("html"), F.col("url")).alias("title"), html.language(F.col("html")).alias("language")
     )
 
@@ -270,7 +270,7 @@ def html_metadata(spark, sf):
     ),
 )
 def html_chapters(spark, sf):
-    docs = table(spark, sf, "pages").select(
+    docs = texts(spark, sf, "pages").select(
         "page_id", html.html_chapters(F.col("html"), html.title(F.col("html"), F.col("url"))).alias("chapters")
     )
     return fold.explode_chapters(docs, ["page_id"])
@@ -290,7 +290,7 @@ _TOC = """SELECT doc, 'p' || spine_pos || '.xhtml' AS href, spine_pos * 2 + k AS
 
 
 def epub_parts(spark, sf):
-    p = table(spark, sf, "pages")
+    p = texts(spark, sf, "pages")
     return p.select(
         _host("url").alias("doc"), F.col("page_id").alias("spine_pos"),
         F.when(F.col("url").contains("page=9"), "no").otherwise("yes").alias("linear"),
@@ -445,7 +445,7 @@ _MODEL = """SELECT lang AS language, gram, CAST(round(ln(n + 1) * 1000000) AS BI
 
 def _detected(spark, sf):
     kept = F.filter(F.transform(F.split("text", "\n"), lambda t: strip(t)), lambda t: t != "")
-    labelled = table(spark, sf, "documents").select(
+    labelled = texts(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("language"), language.sample_of(kept).alias("sample")
     )
     model = language.train(labelled.select("language", "sample"))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.session import spread
 from lectern.sources.model import read as table
 
-__all__ = ["ORACLE", "QUERIES", "query", "table"]
+__all__ = ["ORACLE", "QUERIES", "query", "table", "texts"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,3 +27,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return keep
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, spread over the cores."""
+    return spread(table(spark, sf_dir, name), TEXT_KEYS[name])

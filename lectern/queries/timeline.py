@@ -7,6 +7,7 @@ from lectern.plans import publish as P
 from lectern.plans import timeline as T
 from lectern.queries.registry import query, table
 from lectern.queries.views import sql
+from lectern.session import cut_lineage
 from lectern.sources import model as M
 
 LEVELS = [["placed_on"], ["chapter_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]]
@@ -66,7 +67,8 @@ def parted(spark, sf):
 
 
 def cues(spark, sf):
-    return P.subtitle_cues(timed(spark, sf))
+    """Cues of the kept timeline, which numbering reads more than once."""
+    return P.subtitle_cues(cut_lineage(timed(spark, sf)))
 
 
 def track_jobs(spark, sf):

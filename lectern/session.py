@@ -44,6 +44,16 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly per-row work all cores when the input has fewer pieces than that.
+
+    A small input in one file is shuffled once by ``keys``; a large one already
+    has more splits than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the cluster's shared folder, so that lost executors cost no recomputation.
 
