@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog", "timeline", "ingest", "layout"]
+AREAS = ["catalog", "timeline", "ingest", "layout", "text"]
 
 
 def _load():
