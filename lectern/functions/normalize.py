@@ -397,10 +397,12 @@ class NormalizerRegistry:
 RULESETS = {"en": _english(), "de": _german(), "pl": _polish(), "zh": _chinese()}
 
 
-def default_registry() -> NormalizerRegistry:
+def default_registry(languages: list[str] | None = None) -> NormalizerRegistry:
+    """The built-in rules; a job that knows its languages need not carry the others' expressions."""
     registry = NormalizerRegistry()
     for code, ruleset in RULESETS.items():
-        registry.register(code, ruleset.apply, ruleset.version)
+        if languages is None or code in languages:
+            registry.register(code, ruleset.apply, ruleset.version)
     return registry
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog", "timeline", "ingest", "layout", "text"]
+AREAS = ["catalog", "timeline", "ingest", "layout", "text", "plan"]
 
 
 def _load():

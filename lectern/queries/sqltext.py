@@ -393,7 +393,7 @@ def _pl_rules() -> list:
         ("abbreviations", None, _abbreviate(PL_ABBR, True)),
         ("heading", "(?i)\\b(?:Rozdział|Część|Tom|Akt)\\s+[IVXLCDM]+\\b", _heading(pl_ordinal)),
         ("currency", f"[$£€]\\s?{AMOUNT}", lambda h: _money(number(h), pl_cardinal, _pl_forms(sign(h)), ", ")),
-        ("zloty", "[0-9][0-9\\s]*(?:[.,][0-9]+)?\\s?(?:zł|PLN)\\b", lambda h: _money(comma_number(h), pl_cardinal, _pl_forms("'zł'"), ", ")),
+        ("zloty", "[0-9][0-9\\s]*(?:[.,][0-9]+)?\\s?(?:zł|PLN\\b)", lambda h: _money(comma_number(h), pl_cardinal, _pl_forms("'zł'"), ", ")),
         ("percent", "[0-9]+(?:[.,][0-9]+)?\\s?%", lambda h: f"{bind(comma_number(h), lambda n: _decimals(n, PL_U, 'przecinek', pl_cardinal))} || ' procent'"),
         *_years(" do ", pl_ordinal),
         *_comma_tail(pl_cardinal, PL_U, "przecinek"),

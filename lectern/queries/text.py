@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.functions import lexicon as X
 from lectern.functions import numbers as N
 from lectern.functions import segment as G
-from lectern.functions.normalize import RULESETS, default_registry, normalize
+from lectern.functions.normalize import RULESETS, default_registry
 from lectern.operators.catalog import LANGUAGE_ROUTING
 from lectern.queries import sqltext as Q
 from lectern.queries.registry import query, table, texts
@@ -84,8 +84,10 @@ _register_rules()
     ),
 )
 def normalize_documents(spark, sf):
-    docs = texts(spark, sf, "documents").withColumnRenamed("lang", "language").filter(F.col("language").isin(list(LANGUAGE_ROUTING)))
-    return docs.select("doc_id", normalize(F.col("text"), F.col("language")).alias("text"))
+    """The documents are English, German, French and Spanish; the last two have no normalizer."""
+    docs = texts(spark, sf, "documents").filter(F.col("lang").isin(list(LANGUAGE_ROUTING)))
+    rules = default_registry(["en", "de"])
+    return docs.select("doc_id", rules.normalize(F.col("text"), F.col("lang")).alias("text"))
 
 
 @query(
