@@ -341,23 +341,28 @@ def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- lexicon
 
 
-@F.pandas_udf(BooleanType())
-def compiles(patterns: pd.Series) -> pd.Series:
-    import re
+def compiles(patterns: Column) -> Column:
+    """Whether each pattern is a valid regular expression."""
 
-    def ok(pattern: str) -> bool:
-        try:
-            re.compile(pattern)
-        except (re.error, TypeError):
-            return False
-        return True
+    # Local, so that it travels to executors by value.
+    def check(batch: pd.Series) -> pd.Series:
+        import re
 
-    return patterns.map(ok)
+        def ok(pattern):
+            try:
+                re.compile(pattern)
+            except (re.error, TypeError):
+                return False
+            return True
+
+        return batch.map(ok)
+
+    return F.pandas_udf(check, BooleanType())(patterns)
 
 
 def check_lexicon(entries: DataFrame) -> DataFrame:
     """A pattern must compile only where the entry says it is a regex."""
-    bad = entries.filter("is_regex").select("pattern").distinct().filter(~compiles("pattern"))
+    bad = entries.filter("is_regex").select("pattern").distinct().filter(~compiles(F.col("pattern")))
     flagged = bad.withColumn("bad", F.lit(True))
     invalid = F.col("is_regex") & F.coalesce("bad", F.lit(False))
     return (

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ["catalog", "timeline", "ingest", "layout", "text", "plan"]
+AREAS = ["catalog", "timeline", "ingest", "layout", "text", "plan", "stream"]
 
 
 def _load():

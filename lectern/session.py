@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     )
     if folder:
         return folder
-    if fallback:
+    if fallback is not None:
         return fallback
     raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
 
@@ -54,16 +54,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder, so that lost executors cost no recomputation.
+def local_fallback(spark: SparkSession) -> str | None:
+    """A temporary folder for local sessions, where every task shares this machine; none on a cluster."""
+    return tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else None
 
-    Only a local session, where every task shares this machine, may fall back to
-    a temporary folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        local = context.master.startswith("local")
-        context.setCheckpointDir(
-            shared_folder(df.sparkSession, tempfile.mkdtemp(prefix="spark-") if local else None)
-        )
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the cluster's shared folder, so that lost executors cost no recomputation."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, local_fallback(spark)))
     return df.checkpoint()
