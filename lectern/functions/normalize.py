@@ -76,7 +76,11 @@ def plain_symbols(quotes: str, conjunction: str) -> Rule:
     def rule(text: Column) -> Column:
         text = F.translate(text, quotes + "\xa0", plain + " ")
         text = F.replace(text, F.lit("…"), F.lit("..."))
-        return F.regexp_replace(text, U + r"(?<=\w)\s*&\s*(?=\w)", f" {conjunction} ")
+        joined = U + r"(?<=\w)\s*&\s*(?=\w)"
+        return bind(
+            text,
+            lambda t: F.when(t.contains("&"), F.regexp_replace(t, joined, f" {conjunction} ")).otherwise(t),
+        )
 
     return rule
 
@@ -91,6 +95,7 @@ def calm_capitals(letters: str, keep: list[str]) -> Rule:
             lambda w: F.when(w.isin(keep), w).otherwise(
                 F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, F.lit(2), F.length(w))))
             ),
+            hint=f"[{letters}]{{4}}",
         )
 
     return rule
@@ -104,9 +109,13 @@ def expand_abbreviations(table: dict[str, str], *, sentence_case: bool) -> Rule:
             pairs.setdefault(short[0].upper() + short[1:], full[0].upper() + full[1:])
 
     def rule(text: Column) -> Column:
+        def expand(short: str, full: str) -> Rule:
+            pattern = U + r"(?<!\w)" + short.replace(".", r"\.")
+            return lambda t: F.when(t.contains(short), F.regexp_replace(t, pattern, full)).otherwise(t)
+
         def fold(t: Column) -> Column:
             for short, full in pairs.items():
-                t = F.regexp_replace(t, U + r"(?<!\w)" + short.replace(".", r"\."), full)
+                t = bind(t, expand(short, full))
             return t
 
         return bind(text, lambda t: F.when(t.contains("."), fold(t)).otherwise(t))
@@ -127,7 +136,7 @@ def heading_roman(words: str, reading: Rule, *, any_case: bool = False) -> Rule:
         )
         return F.when(value > 0, spoken).otherwise(hit)
 
-    return lambda text: regex_transform(text, pattern, read)
+    return lambda text: regex_transform(text, pattern, read, hint=f"{'(?iu)' if any_case else ''}(?:{words})")
 
 
 def prefixed_currency(signs: dict[str, str], reader: N.Reader) -> Rule:
@@ -139,7 +148,7 @@ def prefixed_currency(signs: dict[str, str], reader: N.Reader) -> Rule:
         amount = F.regexp_replace(hit, r"[^0-9.]", "")
         return F.coalesce(reader.money(amount, code, sorted(signs.values())), hit)
 
-    return lambda text: regex_transform(text, pattern, read)
+    return lambda text: regex_transform(text, pattern, read, hint="[" + "".join(signs) + "]")
 
 
 def suffixed_currency(pattern: str, code: str, reader: N.Reader, amount: Rule) -> Rule:
@@ -153,25 +162,25 @@ def percent(pattern: str, word: str, reader: N.Reader) -> Rule:
         number = F.replace(F.regexp_replace(hit, U + r"\s?%$", ""), F.lit(","), F.lit("."))
         return F.concat(reader.quantity(number), F.lit(f" {word}"))
 
-    return lambda text: regex_transform(text, pattern, read)
+    return lambda text: regex_transform(text, pattern, read, hint="%")
 
 
 def year_range(pattern: str, joiner: str, reading: Rule) -> Rule:
     def read(hit: Column) -> Column:
         return F.concat(reading(F.left(hit, F.lit(4))), F.lit(joiner), reading(F.right(hit, F.lit(4))))
 
-    return lambda text: regex_transform(text, pattern, read)
+    return lambda text: regex_transform(text, pattern, read, hint="[0-9].?[-–—].?[12]")
 
 
-def reread(pattern: str, reading: Rule) -> Rule:
+def reread(pattern: str, reading: Rule, hint: str = "[0-9]") -> Rule:
     """Plain case: the whole match is handed to ``reading``."""
-    return lambda text: regex_transform(text, pattern, reading)
+    return lambda text: regex_transform(text, pattern, reading, hint)
 
 
 def _years(joiner: str, reading: Rule) -> list[tuple[str, Rule]]:
     return [
         ("year_range", year_range(U + rf"\b{YEAR}\s?[-–—]\s?{YEAR}\b", joiner, reading)),
-        ("year", reread(U + rf"\b{YEAR}\b", reading)),
+        ("year", reread(U + rf"\b{YEAR}\b", reading, hint=YEAR)),
     ]
 
 
@@ -219,9 +228,10 @@ def _english() -> Ruleset:
                 reread(
                     U + r"(?i)\b[0-9]{1,3}(?:,[0-9]{3})*(?:st|nd|rd|th)\b",
                     lambda hit: r.ordinal(digits_of(hit)),
+                    hint="[0-9](?i:st|nd|rd|th)",
                 ),
             ),
-            ("decimal", reread(U + r"\b[0-9]+\.[0-9]+\b", r.quantity)),
+            ("decimal", reread(U + r"\b[0-9]+\.[0-9]+\b", r.quantity, hint=r"[0-9]\.[0-9]")),
             (
                 "integer",
                 reread(

@@ -35,24 +35,41 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
-def regex_transform(value: Column, pattern: str, body: Callable[[Column], Column]) -> Column:
-    """Replace every match of ``pattern`` by ``body(match)``; all JVM-side."""
+SEPARATOR = "\x1e"
+
+
+def regex_split(text: Column, pattern: str) -> Column:
+    """Pieces between the matches of ``pattern``.
+
+    ``split`` compiles its pattern for every row, ``regexp_replace`` once per
+    task; so matches become one separator character, unless the text has it.
+    """
+    quick = F.split(F.regexp_replace(text, pattern, SEPARATOR), SEPARATOR, -1)
+    return F.when(text.contains(SEPARATOR), F.split(text, pattern, -1)).otherwise(quick)
+
+
+def regex_transform(
+    value: Column, pattern: str, body: Callable[[Column], Column], hint: str | None = None
+) -> Column:
+    """Replace every match of ``pattern`` by ``body(match)``; all JVM-side.
+
+    ``hint`` is a cheaper pattern that every text with a match contains; texts
+    without it are passed on at once.
+    """
 
     def step(text: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
         hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), body)
-        woven = F.zip_with(gaps, hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit(""))))
-        return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+        woven = F.zip_with(
+            regex_split(text, pattern), hits, lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))
+        )
+        return F.when(text.rlike(hint or pattern), F.array_join(woven, "")).otherwise(text)
 
     return bind(value, step)
 
 
 def word_count(value: Column) -> Column:
-    """Number of whitespace-separated words; an empty text has none."""
-    return bind(
-        strip(value),
-        lambda t: F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"(?U)\s+"))),
-    ).cast("bigint")
+    """Number of runs without white space."""
+    return F.regexp_count(value, F.lit(r"(?U)\S+")).cast("bigint")
 
 
 def excerpt(value: Column, limit: int, keep: int, tail: str) -> Column:

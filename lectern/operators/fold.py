@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.strings import bind, excerpt, strip
+from lectern.functions.strings import bind, excerpt, regex_split, strip
 from lectern.operators.ordered import Levels, neighbour, row_numbers, running_sums
 from lectern.session import cut_lineage
 
@@ -26,7 +26,7 @@ TITLE_LIMIT, TITLE_KEPT, TITLE_TAIL = 80, 77, "..."
 def split_paragraphs(text: Column) -> Column:
     """Trimmed, non-empty paragraphs between blank lines; any line ending."""
     lines = F.regexp_replace(text, "\r\n?", "\n")
-    pieces = F.split(lines, r"(?U)\n\s*\n+", -1)
+    pieces = regex_split(lines, r"(?U)\n\s*\n+")
     return F.filter(F.transform(pieces, lambda p: strip(p)), lambda p: p != "")
 
 

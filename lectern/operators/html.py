@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.strings import bind, blank_to_null, regex_transform, strip
+from lectern.functions.strings import bind, blank_to_null, regex_split, regex_transform, strip
 from lectern.operators.fold import chapter_title, fold_array
 
 # ---------------------------------------------------------------- fixed values
@@ -57,7 +57,7 @@ def unescape(text: Column) -> Column:
 
 def inner_text(markup: Column) -> Column:
     """Texts between tags, trimmed, empty ones dropped, joined by a blank."""
-    pieces = F.transform(F.split(markup, "<[^>]*>"), lambda p: strip(unescape(p)))
+    pieces = F.transform(regex_split(markup, "<[^>]*>"), lambda p: strip(unescape(p)))
     return F.array_join(F.filter(pieces, lambda p: p != ""), " ")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.strings import strip
 from lectern.operators.ordered import Levels, running_sums
+from lectern.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 SAMPLE_CHARS = 800
@@ -15,6 +16,9 @@ UNKNOWN = ["", "und"]
 DEFAULT_LANGUAGE = "en"
 # ------------------------------------------------------------ end fixed values
 
+# A model of up to this many rows (about 100 MB) is sent to every executor.
+BROADCAST_ROWS = 1000000
+
 SCALE = 1000000  # log weights are summed as whole numbers, so sums do not depend on order
 
 
@@ -61,22 +65,27 @@ def train(labelled: DataFrame) -> DataFrame:
     )
 
 
-def detect(samples: DataFrame, model: DataFrame, key: str) -> DataFrame:
+def detect(samples: DataFrame, model: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Most likely language per row (key, sample); null under 20 characters or without known grams.
 
-    A document's grams are counted before the join; a language none of whose
-    grams occur is no candidate.
+    A language none of whose grams occur is no candidate. The model's size is
+    checked: a small one goes to the grams, and only the sums move. Otherwise
+    each document's grams are counted first and then meet the model in a shuffle.
     """
+    model = cut_lineage(model)
     text = strip(F.col("sample"))
-    size = F.greatest(F.length(F.lower(text)) - 2, F.lit(0))
-    usable = samples.filter(F.length(text) >= MIN_CHARS).select(
-        key, size.alias("size"), F.explode(trigrams(text)).alias("gram")
-    )
-    counts = usable.groupBy(key, "size", "gram").agg(F.count("*").alias("n"))
-    hits = counts.join(model, "gram").groupBy(key, "language").agg(
-        F.sum(F.col("n") * F.col("weight")).alias("fit"), F.max(F.col("base") * F.col("size")).alias("floor")
+    usable = samples.filter(F.length(text) >= MIN_CHARS)
+    grams = usable.select(key, F.explode(trigrams(text)).alias("gram"))
+    if model.count() <= broadcast_rows:
+        met = grams.withColumn("n", F.lit(1)).join(F.broadcast(model), "gram")
+    else:
+        met = grams.groupBy(key, "gram").agg(F.count("*").alias("n")).join(model, "gram")
+    hits = met.groupBy(key, "language").agg(
+        F.sum(F.col("n") * F.col("weight")).alias("fit"), F.max("base").alias("base")
     )
-    scored = hits.withColumn("score", F.col("fit") + F.col("floor"))
+    # Sizes are taken beside the explode: above it they would be computed for every gram.
+    sizes = usable.select(key, F.greatest(F.length(F.lower(text)) - 2, F.lit(0)).alias("size"))
+    scored = hits.join(sizes, key).withColumn("score", F.col("fit") + F.col("base") * F.col("size"))
     best = scored.groupBy(key).agg(F.max_by("language", F.struct("score", "language")).alias("detected"))
     return samples.select(key).join(best, key, "left")
 
