@@ -106,7 +106,8 @@ def enabled_chapters(chapters: DataFrame, levels: Levels) -> DataFrame:
 
 
 def books_without_enabled(books: DataFrame, chapters: DataFrame) -> DataFrame:
-    return books.join(chapters.filter("enabled"), "book_id", "left_anti").withColumn(
+    active = chapters.filter("enabled").select("book_id").distinct()
+    return books.join(active, "book_id", "left_anti").withColumn(
         "error", F.concat(F.lit("book "), F.col("book_id"), F.lit(" has no enabled chapters"))
     )
 
@@ -244,7 +245,7 @@ RETRYABLE = ["failed", "cancelled"]
 def retry(jobs: DataFrame, requested: DataFrame) -> DataFrame:
     """New queued jobs with the settings of failed or cancelled ones."""
     return (
-        jobs.join(requested.select("job_id"), "job_id", "left_semi")
+        jobs.join(requested.select("job_id").distinct(), "job_id", "left_semi")
         .filter(F.col("status").isin(RETRYABLE))
         .select(
             F.concat(F.lit("retry-"), F.col("job_id")).alias("job_id"), "book_id",
@@ -254,7 +255,7 @@ def retry(jobs: DataFrame, requested: DataFrame) -> DataFrame:
 
 
 def retry_conflicts(jobs: DataFrame, requested: DataFrame) -> DataFrame:
-    asked = jobs.join(requested.select("job_id"), "job_id", "left_semi")
+    asked = jobs.join(requested.select("job_id").distinct(), "job_id", "left_semi")
     return asked.filter(~F.col("status").isin(RETRYABLE)).withColumn(
         "error", F.concat(F.lit("job is "), F.col("status"), F.lit(", not failed or cancelled"))
     )
@@ -318,7 +319,7 @@ def storage_usage(files: DataFrame) -> DataFrame:
 
 def unreferenced(cache: DataFrame, segments: DataFrame) -> DataFrame:
     """Cache entries no segment uses."""
-    return cache.join(segments, "cache_key", "left_anti")
+    return cache.join(segments.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
 def check_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:

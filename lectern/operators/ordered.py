@@ -3,7 +3,7 @@
 A window over one key runs in one task. Here an ordering is given as levels, from
 coarse to fine: rows are windowed inside one slab (key and coarse levels), slabs
 are summed with map-side combine, and the short slab table carries the offsets.
-A key that holds a third of all rows is then spread over its slabs.
+A key that holds a third of all rows is then spread over its slabs. Keys and coarse levels must not be null.
 """
 
 from __future__ import annotations

@@ -150,7 +150,7 @@ def work_list(segments: DataFrame, cache: DataFrame) -> DataFrame:
     """Each missing key once. Duplicates collapse on the map side before the anti-join,
     so a key that many segments share is no hot spot."""
     wanted = segments.groupBy("cache_key").agg(F.min("text").alias("text"))
-    return wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
+    return wanted.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
 def batches(requests: DataFrame, levels: Levels, size: int = BATCH_SIZE) -> DataFrame:

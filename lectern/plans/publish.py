@@ -56,7 +56,8 @@ def subtitle_cues(segments: DataFrame) -> DataFrame:
 
 
 def _without_rows(jobs: DataFrame, rows: DataFrame) -> DataFrame:
-    return jobs.select("job_id").join(rows, "job_id", "left_anti")
+    # Distinct first: a long job then crosses the network as a few rows.
+    return jobs.select("job_id").join(rows.select("job_id").distinct(), "job_id", "left_anti")
 
 
 def _lines(df: DataFrame, number: Column, line: Column) -> DataFrame:

@@ -286,7 +286,7 @@ def _host(url):
 _PARTS = """SELECT regexp_extract(url, 'https?://([^/]+)', 1) AS doc, page_id AS spine_pos, CASE WHEN contains(url, 'page=9') THEN 'no' ELSE 'yes' END AS linear,
   starts_with(url, 'https') AND contains(url, '#top') AS is_nav, 'p' || page_id || '.xhtml' AS href FROM pages"""
 _TOC = """SELECT doc, 'p' || spine_pos || '.xhtml' AS href, spine_pos * 2 + k AS pos, 'Entry ' || (spine_pos * 2 + k) AS title FROM _parts, (VALUES (0), (1)) t(k)
-  WHERE spine_pos % 3 <> 0"""
+  WHERE NOT ends_with(doc, '.com')"""
 
 
 def epub_parts(spark, sf):
@@ -300,10 +300,10 @@ def epub_parts(spark, sf):
 
 
 def epub_toc(spark, sf):
-    """Two entries for each page but every third one, so titles also come from headings."""
+    """Two entries for each page outside .com hosts, so that titles also come from headings."""
     parts = epub_parts(spark, sf).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
     pos = F.col("spine_pos") * 2 + F.col("k")
-    return parts.withColumn("has_entry", F.col("spine_pos") % 3 != 0).filter("has_entry").select(
+    return parts.filter(~F.col("doc").endswith(".com")).select(
         "doc", F.concat("href", F.lit("#x"), "k").alias("href"), pos.alias("pos"), F.concat(F.lit("Entry "), pos).alias("title")
     )
 
