@@ -217,42 +217,52 @@ READ_LEVELS = [["page"], ["page_no"]]
 OUTPUT = ["doc", "chapter_index", "title", "block_index", "kind", "text"]
 
 
-def chapters_from_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
-    """Each block belongs to the last top-level entry at or before its page.
+def chapters(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """Outline where a document has one, headings otherwise; one fold for both.
 
-    Entries and blocks are merged into one ordering and folded, so a block meets
-    its entry without pairing every block with every entry of the document.
-    ``outline``: doc, level, page (from 1), pos, title.
+    With an outline, a block belongs to the last top-level entry at or before its
+    page: entries and blocks are merged into one ordering and folded, so a block
+    meets its entry without pairing every block with every entry of the document.
+    Without one, heading blocks open the chapters. ``outline``: doc, level, page
+    (from 1), pos, title.
     """
     top = outline.groupBy("doc").agg(F.min("level").alias("level"))
+    none = F.lit(None).cast("string")
     entries = outline.join(top, ["doc", "level"]).select(
         "doc", (F.col("page") - 1).cast("bigint").alias("page"), F.lit(0).alias("rank"),
-        F.col("pos").cast("bigint").alias("page_no"), F.lit(None).cast("string").alias("kind"), F.col("title").alias("text"),
+        F.col("pos").cast("bigint").alias("page_no"), none.alias("kind"), F.col("title").alias("text"),
+        F.lit(True).alias("outlined"),
     )
-    body = blocks.join(top.select("doc"), "doc", "left_semi").select(
-        "doc", F.col("page").cast("bigint").alias("page"), F.lit(1).alias("rank"), "page_no", "kind",
-        clean_text(F.col("text")).alias("text"),
+    body = blocks.join(top.select("doc", F.lit(True).alias("found")), "doc", "left").select(
+        "doc", F.col("page").cast("bigint").alias("page"), F.lit(1).alias("rank"), "page_no", "kind", "text",
+        F.coalesce("found", F.lit(False)).alias("outlined"),
     )
-    merged = entries.unionByName(body)
-    out = fold_rows(
-        merged, ["doc"], [["page", "rank"], ["page_no"]], F.col("rank") == 0, F.col("text"), F.lit(FRONT_MATTER)
+    entry = F.col("rank") == 0
+    folded = fold_rows(
+        entries.unionByName(body),
+        ["doc"],
+        [["page", "rank"], ["page_no"]],
+        entry | (~F.col("outlined") & (F.col("kind") == "heading")),
+        F.when(entry, F.col("text")).otherwise(strip(F.col("text"))),
+        none,
     )
-    return out.select(*OUTPUT)
+    first = F.when(F.col("outlined"), FRONT_MATTER).otherwise(FIRST_TITLE)
+    return folded.withColumns({"title": F.coalesce("title", first), "text": clean_text(F.col("text"))}).select(*OUTPUT)
+
+
+def chapters_from_outline(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """Only the documents that have an outline."""
+    return chapters(blocks.join(outline.select("doc").distinct(), "doc", "left_semi"), outline)
 
 
 def chapters_from_headings(blocks: DataFrame) -> DataFrame:
+    """All documents by their headings, whether or not they have an outline."""
     out = fold_rows(
         blocks, ["doc"], READ_LEVELS, F.col("kind") == "heading", strip(F.col("text")), F.lit(FIRST_TITLE)
     )
     return out.withColumn("text", clean_text(F.col("text"))).select(*OUTPUT)
 
 
-def chapters(blocks: DataFrame, outline: DataFrame) -> DataFrame:
-    """Outline where a document has one, headings otherwise."""
-    plain = blocks.join(outline.select("doc").distinct(), "doc", "left_anti")
-    return chapters_from_outline(blocks, outline).unionByName(chapters_from_headings(plain))
-
-
 def without_text(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Documents that give no block at all, with the reason."""
     return pages.join(blocks.select("doc").distinct(), "doc", "left_anti").select(
