@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import table
+from lectern.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,12 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.merkle import compared
 
     return compared(table(spark, sf_dir, "documents"))
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.language import identified
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    return identified(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
