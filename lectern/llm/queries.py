@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import crc_mod, table
@@ -55,3 +55,19 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     return identified(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def trains_quality() -> Column:
+    return F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.quality import classified
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = F.col("quality_score")
+    return classified(docs, labels, trains_quality()).select(
+        "doc_id", (~trains_quality()).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
+    )
