@@ -71,3 +71,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified(docs, labels, trains_quality()).select(
         "doc_id", (~trains_quality()).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op9_rules")
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.rules import judged
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return judged(table(spark, sf_dir, "documents"), labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
