@@ -7,6 +7,7 @@ that words, hashes and windows are whole-array operations; a chunk holds at most
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -120,7 +121,11 @@ class Words:
         total = np.concatenate(
             [[np.uint64(0)], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * up[: len(self.bytes)])]
         )
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        out = mix((total[self.end] - total[self.start]) * down[self.start])
+        for i in np.flatnonzero(self.end - self.start > 256):  # long words could be built to collide
+            word = self.bytes[self.start[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=str(base).encode()).digest(), "little")
+        return out
 
 
 def window_hashes(words: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
