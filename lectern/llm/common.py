@@ -43,9 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A broadcast hint if the (stored) table is short; else Spark shuffles both sides."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint if the (stored) table has at most ``limit`` rows; else Spark shuffles both sides."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def content_key(text: Column) -> Column:

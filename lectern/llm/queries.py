@@ -108,3 +108,16 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
+
+
+@query("op8_lines")
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those deleted, and the digest of what is left."""
+    from lectern.llm.lines import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("lines_total").alias("n_lines"),
+        F.col("lines_removed").alias("n_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )

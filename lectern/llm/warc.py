@@ -62,7 +62,7 @@ def decide(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
         joined = rows.join(F.broadcast(firsts), "digest", "left")
     else:
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
-        spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
         joined = salted.join(spread, ["digest", "salt"], "left")
     copy = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
