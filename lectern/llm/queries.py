@@ -121,3 +121,29 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lines_removed").alias("n_removed"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op4_passages",
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+    k AS (SELECT doc_id, i, md5(array_to_string(w[i:i+49], ' ')) AS h FROM s),
+    m AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS least FROM k) WHERE least < doc_id),
+    g AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM m) GROUP BY doc_id),
+    j AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (doc_id)),
+    n AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p, gone FROM j),
+    r AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS kept FROM n LEFT JOIN (SELECT doc_id, unnest(gone) AS p, TRUE AS cut FROM j) USING (doc_id, p) WHERE cut IS NULL GROUP BY doc_id)
+    SELECT j.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM j LEFT JOIN r USING (doc_id)""",
+)
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.common import GAPS, WORD_GAP
+    from lectern.llm.passages import deduplicated
+
+    kept = F.regexp_replace(F.btrim(F.coalesce("text", F.lit("")), F.lit(GAPS)), WORD_GAP, " ")
+    return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id",
+        F.col("words_total").alias("n_words"),
+        F.col("words_removed").alias("n_removed"),
+        F.sha2(kept, 256).alias("kept_sha256"),
+    )

@@ -20,9 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import WORD_GAP, stored
+from lectern.llm.common import GAPS, WORD_GAP, stored
 
-GAPS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Strata with thresholds of their own; further values of the column share one stratum.
