@@ -147,3 +147,10 @@ def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("words_removed").alias("n_removed"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
+
+
+@query("op10_ngrams")
+def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.ngrams import joined
+
+    return joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
