@@ -1,5 +1,8 @@
 """What the driver's entry file adds: one query for each operator, and the pipeline."""
 
-from lectern.llm.queries import ORACLE, QUERIES
+import corpus_pipeline
+from lectern.llm.queries import ORACLE, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLE", "QUERIES"]
