@@ -140,7 +140,7 @@ def extended(texts: DataFrame, length: int, again: bool) -> DataFrame:
                     text, h, first, last = choices(w, one, length)
                     sums = np.concatenate([[0], np.cumsum(wanted)])
                     origin = w.bounds[text]
-                    held = sums[origin + last + 1] - sums[origin + first] == last + 1 - first if len(text) else np.empty(0, bool)
+                    held = sums[origin + last + 1] > sums[origin + first] if len(text) else np.empty(0, bool)
                     columns = [h[held], first[held].astype(np.int32), last[held].astype(np.int32)]
                     text, names = text[held], ["h", "first", "last"]
                 else:

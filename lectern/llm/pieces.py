@@ -19,7 +19,6 @@ from os.path import commonprefix
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.llm.common import Words, chunks
@@ -134,7 +133,11 @@ class MarkedWords(Words):
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
-    """All columns of ``docs`` with ``ids`` (array of int): a null text has null ids, an empty one none."""
+    """All columns of ``docs`` with ``ids`` (array of int; replaces a column of this name).
+
+    A null text has null ids, an empty one none.
+    """
+    docs = docs.drop("ids")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +156,8 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, model: str, name: str = "decoded") -> DataFrame:
-    """All columns of ``rows`` with the text of ``ids``; null for null."""
+    """All columns of ``rows`` with the text of ``ids`` (replaces a column of this name); null for null."""
+    rows = rows.drop(name)
     at = rows.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +172,3 @@ def decoded(rows: DataFrame, model: str, name: str = "decoded") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, name])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, StringType())]))
-
-
-__all__ = ["F", "decoded", "encoded", "loaded"]

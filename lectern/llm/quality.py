@@ -167,7 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score`` (0 to 1); a null or empty text gets the share of label 1."""
+    """All columns of ``docs`` with ``quality_score`` (0 to 1; replaces a column of this name).
+
+    A null or empty text gets the share of label 1.
+    """
+    docs = docs.drop("quality_score")
     handed = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
