@@ -70,8 +70,8 @@ def split_into_parts(markers: DataFrame, limit_s: float = PART_LIMIT_S, fold_lim
 
     ``markers`` has job_id, idx (0, 1, … inside the job), start_s and end_s. The
     greedy rule is sequential. Jobs of ordinary size fold over their markers
-    inside one row; larger jobs use pointer doubling, which gives the same parts
-    without gathering the job anywhere.
+    inside one row; larger jobs use pointer doubling, which takes the same
+    decisions, to the last bit, without gathering the job anywhere.
     """
     markers = cut_lineage(markers.withColumn("idx", F.col("idx").cast("bigint")))
     sizes = markers.groupBy("job_id").agg(F.count("*").alias("n"))
@@ -104,6 +104,18 @@ def _fold_parts(markers: DataFrame, limit_s: float) -> DataFrame:
     )
 
 
+def _latest_end(start_s: Column, limit_s: float) -> Column:
+    """The largest number whose distance to the start, as floating point subtracts it, is within the limit.
+
+    ``start + limit`` is rounded and may be a unit or two in the last place off, so its neighbours are tried:
+    comparing ends with this number is then the same as comparing ``end - start`` with the limit.
+    """
+    near = start_s + F.lit(float(limit_s))
+    unit = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.abs(near), F.lit(1e-300)))) - 52)
+    tries = F.array(*[near + k * unit for k in range(-3, 4)])
+    return F.coalesce(F.array_max(F.filter(tries, lambda x: x - start_s <= limit_s)), near)
+
+
 def _number_parts(markers: DataFrame, flags: DataFrame) -> DataFrame:
     marked = markers.join(flags, ["job_id", "idx"], "left").withColumn("slab", F.floor(F.col("idx") / 4096))
     opens = F.coalesce("opens", F.lit(0)).cast("bigint")
@@ -116,7 +128,7 @@ def _jump_parts(markers: DataFrame, limit_s: float) -> DataFrame:
     to open one. The openers are what chapter 0 reaches; hops double every round."""
     spans = markers.select("job_id", "idx", "start_s", "end_s")
     ends = spans.select("job_id", F.col("end_s").alias("at"), F.lit(0).alias("kind"), "idx")
-    asks = spans.select("job_id", (F.col("start_s") + limit_s).alias("at"), F.lit(1).alias("kind"), "idx")
+    asks = spans.select("job_id", _latest_end(F.col("start_s"), limit_s).alias("at"), F.lit(1).alias("kind"), "idx")
     line = ends.unionByName(asks).withColumn("slab", F.floor(F.col("at") / 600))
     is_end = F.when(F.col("kind") == 0, 1).otherwise(0).cast("bigint")
     counted = running_sums(line, ["job_id"], [["slab"], ["at", "kind", "idx"]], {"reach": is_end})

@@ -52,6 +52,20 @@ def test_parts_match_brute_force_on_both_paths(spark, seed):
     assert _split(spark, rows, 250.0, fold_limit=20) == want
 
 
+@pytest.mark.parametrize("limit", [0.3, 0.7, 1.1, 0.0, -0.5, 2.5])
+def test_parts_of_fractional_times_do_not_depend_on_size(spark, limit):
+    rng, rows = random.Random(7), [(0, i, i * 0.1, (i + 1) * 0.1, "t") for i in range(60)]
+    for job in range(1, 6):
+        at = rng.random() * 1000
+        for i in range(50):
+            end = at + rng.choice([0.1, 0.2, 0.3, 1 / 3, 0.7, 0.0])
+            rows.append((job, i, at, end, "t"))
+            at = end
+    want = _brute(rows, limit)
+    assert _split(spark, rows, limit) == want
+    assert _split(spark, rows, limit, fold_limit=0) == want
+
+
 def test_ordered_helpers_match_plain_windows(spark):
     rng = random.Random(5)
     rows = [(rng.choice([1, 1, 1, 2]), i // 7, i, rng.randint(0, 9)) for i in range(200)]
