@@ -30,8 +30,8 @@ SHINGLE = 4
 PERCENT = 85
 #: Counters of the sketch that orders shingles; any order gives the same links.
 SKETCH = 1 << 18
-#: 64-bit words of a bitmap.
-BITMAP = 32
+#: Least number of 64-bit words of a bitmap; it has a bit for each shingle or more, as a power of two.
+BITMAP = 4
 LEAF = 8
 BLOCK = 1024
 
@@ -64,6 +64,19 @@ def set_keys(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def bitmap_words(n: np.ndarray) -> np.ndarray:
+    """Words of the bitmap of a set of n shingles."""
+    return np.maximum(BITMAP, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64)).clip(0).astype(np.int64))
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    width = int(bitmap_words(np.array([len(tokens)]))[0])
+    out = np.zeros(width, np.uint64)
+    bit = mix(tokens) & np.uint64(width * 64 - 1)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
 def sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Counts of documents by shingle bucket, over all documents; of fixed size."""
 
@@ -99,9 +112,11 @@ def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
                 place = np.arange(len(h)) - bounds[doc]
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 prefix = h[order][place < length[doc]].view(np.int64)
-                bits = np.zeros((len(n), BITMAP * 8), np.uint8)
-                bit = mix(h) % np.uint64(BITMAP * 64)
-                np.bitwise_or.at(bits, (doc, (bit >> np.uint64(3)).astype(np.int64)), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
+                width = bitmap_words(n)
+                first = np.concatenate([[0], np.cumsum(width)])
+                bits = np.zeros(first[-1], np.uint64)
+                bit = mix(h) & (width[doc] * 64 - 1).astype(np.uint64)
+                np.bitwise_or.at(bits, first[doc] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
                 a, b = set_keys(h, bounds)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays(
@@ -109,7 +124,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
                         batch.column(0).slice(part.start, part.stop - part.start),
                         pa.array(n, pa.int64()), pa.array(a), pa.array(b),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix)),
-                        pa.array([x.tobytes() for x in bits], pa.binary()),
+                        pa.array([bits[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary()),
                     ],
                     ["doc_id", "n", "a", "b", "prefix", "bits"],
                 )
@@ -138,8 +153,8 @@ class Roots:
 class Tree:
     """A signature tree over sets sorted by size: levels from the leaves (``LEAF`` sets each) to the root."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray):
-        self.n, self.bits = n, bits
+    def __init__(self, n: np.ndarray, bits: np.ndarray, names: np.ndarray):
+        self.n, self.bits, self.names = n, bits, names
         self.spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)  # shingles beyond one for each bit
         level = (bits, n, n, self.spare)
         self.levels = []
@@ -182,7 +197,7 @@ class Tree:
         for x, y in self.leaf_pairs(percent):
             i = np.arange(x * LEAF, min(total, (x + 1) * LEAF))
             j = np.arange(y * LEAF, min(total, (y + 1) * LEAF))
-            apart = np.array([roots.find(k) for k in i])[:, None] != np.array([roots.find(k) for k in j])[None, :]
+            apart = np.array([roots.find(k) for k in self.names[i]])[:, None] != np.array([roots.find(k) for k in self.names[j]])
             if x == y:
                 apart &= i[:, None] < j[None, :]
             if not apart.any():
@@ -192,7 +207,7 @@ class Tree:
             overlap = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1).astype(np.int64) + np.minimum(self.spare[a], self.spare[b])
             overlap = np.minimum(overlap, np.minimum(n[a], n[b]))
             good = (100 + percent) * overlap >= percent * (n[a] + n[b])
-            yield from zip(a[good].tolist(), b[good].tolist(), strict=True)
+            yield from zip(self.names[a[good]].tolist(), self.names[b[good]].tolist(), strict=True)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -200,11 +215,20 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    out = np.zeros(BITMAP, np.uint64)
-    bit = mix(tokens) % np.uint64(BITMAP * 64)
-    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-    return out
+def possible_pairs(n: np.ndarray, bits: list[np.ndarray], percent: int, roots: Roots) -> Iterator[tuple[int, int]]:
+    """Pairs of a block that bitmaps and sizes allow, in different components as of the time they are drawn.
+
+    There is a tree for each width of bitmap, which also holds the sets of the next width that are small enough to
+    be linked with one of this; their bitmaps are folded.
+    """
+    width = np.array([len(b) for b in bits])
+    for w in np.unique(width):
+        near = (width == w) | ((width == 2 * w) & (percent * n <= 100 * 64 * w))
+        at = np.flatnonzero(near)
+        at = at[np.argsort(n[at], kind="stable")]
+        if len(at) > 1:
+            folded = np.stack([np.bitwise_or.reduce(bits[i].reshape(-1, w), axis=0) for i in at])
+            yield from Tree(n[at], folded, at).pairs(percent, roots)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -233,11 +257,9 @@ def survivors(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, 2):
             n = t["n"].to_numpy()
-            order = np.argsort(n, kind="stable")
-            t = t.take(pa.array(order))
-            bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP)
+            bits = [np.frombuffer(x, np.uint64) for x in t["bits"].to_pylist()]
             keep = np.zeros(len(n), bool)
-            for a, b in Tree(n[order], bits).pairs(percent, Roots(t["comp"].to_pylist())):
+            for a, b in possible_pairs(n, bits, percent, Roots(t["comp"].to_pylist())):
                 keep[a] = keep[b] = True
             if keep.any():
                 yield from t.select(["block", "part", "cls", "node", "comp"]).filter(pa.array(keep)).to_batches()
@@ -275,11 +297,9 @@ def links(members: DataFrame, percent: int) -> DataFrame:
         for t in groups_of(batches, 2):
             sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
             n = np.array([len(x) for x in sets], np.int64)
-            order = np.argsort(n, kind="stable").tolist()
-            sets = [sets[i] for i in order]
-            node, comp = t["node"].to_numpy()[order], t["comp"].to_numpy()[order]
-            roots, out = Roots(comp.tolist()), []
-            for a, b in Tree(n[order], np.stack([bitmap(x) for x in sets])).pairs(percent, roots):
+            node = t["node"].to_numpy()
+            roots, out = Roots(t["comp"].to_pylist()), []
+            for a, b in possible_pairs(n, [bitmap(x) for x in sets], percent, roots):
                 if roots.find(a) != roots.find(b) and linked(sets[a], sets[b], percent):
                     roots.join(a, b)
                     out.append((node[a], node[b]))
@@ -319,6 +339,15 @@ def parts(members: DataFrame, wide: bool) -> DataFrame:
     return joined.withColumn("part", F.explode(F.when(F.col("lead_n").isNull(), one).otherwise(dealt))).drop("lead_n", "rest_n")
 
 
+def once_each(members: DataFrame) -> DataFrame:
+    """Of blocks (or parts) with the same members only one; stored."""
+    same = members.groupBy("block", "part").agg(
+        F.count("*").alias("m"), F.bit_xor("cls").alias("x"), F.bit_xor(F.xxhash64("cls")).alias("y")
+    )
+    kept = same.groupBy("m", "x", "y").agg(F.min(F.struct("block", "part")).alias("one")).select("one.block", "one.part")
+    return stored(members.join(kept, ["block", "part"]), "ngrams-once")
+
+
 def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -358,7 +387,7 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     chosen = stored(mixed.select("block", "least"), "ngrams-blocks")
     held = stored(keys.select("block", "cls").join(chosen, "block"), "ngrams-held")
     wide = parts(held.join(labelled.select("cls", "node", "comp", "n", "bits"), "cls"), True)
-    left = stored(survivors(wide, percent), "ngrams-survivors")
+    left = once_each(stored(survivors(wide, percent), "ngrams-survivors"))
     more = stored(links(with_sets(docs, left, size), percent), "ngrams-links")
     stars = early.select(F.col("component").alias("a"), F.col("node").alias("b"))
     final = components(more.union(stars), "ngrams-final")

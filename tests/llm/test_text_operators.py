@@ -88,10 +88,13 @@ def test_tree_leaves_out_no_link():
         keep = r.random(len(base)) < (0.95 if i % 2 else 0.6)
         sets.append(np.unique(np.concatenate([base[keep], r.integers(0, 1 << 60, 10).astype(np.uint64)])))
     sets.sort(key=len)
-    tree = ngrams.Tree(np.array([len(s) for s in sets]), np.stack([ngrams.bitmap(s) for s in sets]))
-    found = set(tree.pairs(85, ngrams.Roots(list(range(90)))))
-    assert {(a, b) for a in range(90) for b in range(a + 1, 90) if ngrams.linked(sets[a], sets[b], 85)} <= found
-    assert len(found) < 90 * 89 / 2
+    sets += [np.concatenate([s, r.integers(0, 1 << 60, 280).astype(np.uint64)]) for s in sets[:20]]
+    sets += [np.unique(np.concatenate([sets[0], s])) for s in sets[-9:]]
+    total, n = len(sets), np.array([len(s) for s in sets])
+    found = {tuple(sorted(p)) for p in ngrams.possible_pairs(n, [ngrams.bitmap(s) for s in sets], 85, ngrams.Roots(list(range(total))))}
+    want = {(a, b) for a in range(total) for b in range(a + 1, total) if ngrams.linked(sets[a], sets[b], 85)}
+    assert want and want <= found
+    assert len(found) < total * (total - 1) / 3
 
 
 def test_line_dedup(spark):
