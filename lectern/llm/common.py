@@ -25,6 +25,8 @@ BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
 #: Most rows of a table of ids that is broadcast, after they are counted.
 BROADCAST_ROWS = 1_000_000
+#: Most array entries of a broadcast table with arrays of small structs (some 80 bytes each, rows included).
+BROADCAST_ENTRIES = 2_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,9 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the (stored) table has at most ``limit`` rows; else Spark shuffles both sides."""
-    return F.broadcast(df) if df.count() <= limit else df
+def checked_broadcast(df: DataFrame, entries: Column | None = None) -> DataFrame:
+    """A broadcast hint if the (stored) table has at most ``BROADCAST_ROWS`` rows, or array entries where these are
+    given at most ``BROADCAST_ENTRIES``; beyond the bound Spark shuffles both sides."""
+    if entries is None:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if (df.agg(F.sum(entries + 1)).first()[0] or 0) <= BROADCAST_ENTRIES else df
 
 
 def content_key(text: Column) -> Column:

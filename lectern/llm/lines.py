@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, checked_broadcast, content_key, stored
+from lectern.llm.common import checked_broadcast, content_key, stored
 
 #: A line counts as evidence from so many code points on (without white space around it).
 MIN_CHARS = 24
@@ -190,7 +190,7 @@ def deduplicated(docs: DataFrame, total: str = "lines_total", removed: str = "li
     )
     text = F.col("text").cast("string")
     joined = docs.join(
-        checked_broadcast(cut, BROADCAST_ROWS // 4),
+        checked_broadcast(cut, F.size("__ld_gone")),
         (docs["doc_id"].cast("bigint") == F.col("__ld_id")) & (content_key(text) == F.col("__ld_key")),
         "left",
     ).withColumn("__ld_lines", F.split(text, "\n", -1))

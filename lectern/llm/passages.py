@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from lectern.llm.common import (
-    BROADCAST_ROWS,
     OTHER_BASE,
     Words,
     checked_broadcast,
@@ -113,8 +112,12 @@ def first_level(rows: DataFrame, length: int) -> DataFrame:
 
 
 def repeated(windows: DataFrame, by: list[str]) -> DataFrame:
-    """The windows that more than one document holds, with the smallest of these: (by, least)."""
-    return windows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    """The windows that more than one document holds, with the smallest of these: (by, least).
+
+    Stored, so that the join back has an exchange on both sides and hot windows can be split.
+    """
+    ends = windows.groupBy(*by).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    return stored(ends.where("least < most").drop("most"), "passages-repeated")
 
 
 def extended(texts: DataFrame, length: int, again: bool) -> DataFrame:
@@ -168,7 +171,7 @@ def candidates(windows: DataFrame, name: str) -> DataFrame:
 
 
 def with_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    return rows.join(checked_broadcast(spans, BROADCAST_ROWS // 4), ["doc_id", "key"])
+    return rows.join(checked_broadcast(spans, F.size("spans")), ["doc_id", "key"])
 
 
 def covered(docs: DataFrame, target: int = TARGET, levels: int | None = None) -> DataFrame:
@@ -197,7 +200,7 @@ def covered(docs: DataFrame, target: int = TARGET, levels: int | None = None) ->
         spans = candidates(windows, "passages-candidates")
     windows = stored(extended(with_spans(rows, spans), target, False), "passages-target")
     least = repeated(windows, ["h", "c"])
-    later = windows.join(least, ["h", "c"]).where("least < doc_id")
+    later = windows.join(least, ["h", "c"]).where("least < doc_id").select("doc_id", "key", "at")
     gone = later.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("at")).mapInArrow(
         merge(target), f"doc_id long, key {rows.schema['key'].dataType.simpleString()}, n_removed long, gone array<struct<first: int, last: int>>"
     )
@@ -235,7 +238,7 @@ def deduplicated(docs: DataFrame, target: int = TARGET, total: str = "words_tota
         F.col("doc_id").alias("__pd_id"), F.col("key").alias("__pd_key"), F.col("gone").alias("__pd_gone")
     )
     joined = docs.join(
-        checked_broadcast(cut, BROADCAST_ROWS // 4),
+        checked_broadcast(cut, F.size("__pd_gone")),
         (docs["doc_id"].cast("bigint") == F.col("__pd_id")) & (content_key(docs["text"].cast("string")) == F.col("__pd_key")),
         "left",
     ).select(*[docs[c] for c in docs.columns if c not in (total, removed)], F.col("__pd_gone"))
