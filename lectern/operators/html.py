@@ -1,12 +1,15 @@
 """HTML pages to chapters of blocks, inside the row.
 
-Block-level tags cut the page into pieces; a piece that opens with a text tag is
-a block. Only leaf blocks count: text inside a nested block belongs to the inner
-one and is not repeated for the outer.
+Block-level tags cut the page into pieces. A walk over the pieces keeps the open tags;
+each piece of text is a block of the nearest open text tag, so text before, between and
+behind nested blocks is kept once, in order. Text outside of all text tags is left out.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,29 +33,63 @@ ENTITIES = {
 # ------------------------------------------------------------ end fixed values
 
 CUT = "\x1e"
+UNREADABLE = "\ufffd"
+#: Elements whose content is no markup, so that they end with their first end tag.
+RAW_TAGS = ("script", "style")
 
 
 def strip_boilerplate(html: Column, tags: list[str] = SKIPPED_TAGS) -> Column:
-    paired = [t for t in tags if t != "img"]
+    """Without comments and the named elements, however these are nested.
+
+    An element that is never closed takes the rest of the page with it; an end tag
+    without a start is dropped.
+    """
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
-    for tag in paired:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return F.regexp_replace(out, r"(?i)<img\b[^>]*>", "")
+    for tag in tags:
+        if tag in RAW_TAGS:
+            out = F.regexp_replace(out, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
+    if "img" in tags:
+        out = F.regexp_replace(out, r"(?i)<img\b[^>]*>", "")
+    nested = "|".join(t for t in tags if t != "img" and t not in RAW_TAGS)
+    return bind(out, lambda x: F.when(x.rlike(rf"(?i)</?(?:{nested})\b"), _outside(x, nested)).otherwise(x))
+
+
+def _outside(html: Column, names: str) -> Column:
+    """The parts at depth 0 of the named elements."""
+    pieces = F.split(F.regexp_replace(html, rf"(?i)<(?=/?(?:{names})\b)", CUT + "<"), CUT, -1)
+    opening, closing, single = rf"(?i)^<(?:{names})\b", rf"(?i)^</(?:{names})\b", r"^<[^>]*/>"
+
+    def walk(state: Column, piece: Column) -> Column:
+        step = F.when(piece.rlike(closing), -1).when(piece.rlike(opening) & ~piece.rlike(single), 1).otherwise(0)
+        depth = F.greatest(state["depth"] + step, F.lit(0))
+        tagged = piece.rlike(opening) | piece.rlike(closing)
+        rest = F.when(tagged, F.regexp_replace(piece, "^<[^>]*>?", "")).otherwise(piece)
+        return F.struct(
+            depth.alias("depth"),
+            F.when(depth == 0, F.array_append(state["kept"], rest)).otherwise(state["kept"]).alias("kept"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
+    return F.aggregate(pieces, start, walk, lambda s: F.array_join(s["kept"], ""))
 
 
 def unescape(text: Column) -> Column:
-    """Named and numeric character references, in one pass."""
-    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    """Named and numeric character references, in one pass; references to no character become U+FFFD."""
+    common = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+    every = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k[-1] == ";"})), "map<string,string>")
 
     def read(hit: Column) -> Column:
         name = F.substring(hit, F.lit(2), F.length(hit) - 2)
-        hexed = F.when(name.rlike("^#[xX]"), F.regexp_replace(name, "^#[xX]", "")).otherwise(
-            F.conv(F.regexp_replace(name, "^#", ""), 10, 16)
-        )
-        code = F.decode(F.unhex(F.lpad(hexed, 8, "0")), "UTF-32")
-        return F.when(name.startswith("#"), code).otherwise(F.coalesce(F.try_element_at(names, name), hit))
+        hexed = name.rlike("^#[xX]")
+        digits = F.regexp_replace(name, "^#[xX]?0*", "")
+        short = F.when(F.length(digits) <= 7, digits)
+        code = F.when(hexed, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
+        sound = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(sound, code)), 8, "0")), "UTF-32")
+        named = F.coalesce(F.try_element_at(common, name), F.try_element_at(every, name), hit)
+        return F.when(name.startswith("#"), F.coalesce(char, F.lit(UNREADABLE))).otherwise(named)
 
-    return regex_transform(text, "&(?:#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);", read)
+    return regex_transform(text, "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", read, hint="&[#A-Za-z]")
 
 
 def inner_text(markup: Column) -> Column:
@@ -62,18 +99,48 @@ def inner_text(markup: Column) -> Column:
 
 
 def blocks(html: Column, tags: list[str] = SKIPPED_TAGS) -> Column:
-    """Leaf blocks in document order as array<struct<tag, text>>; empty ones dropped."""
+    """Blocks in document order as array<struct<tag, text>>; empty ones dropped."""
     marked = F.regexp_replace(strip_boilerplate(html, tags), rf"(?i)<(?=/?(?:{BREAKING_TAGS})\b)", CUT + "<")
-    opening = rf"(?is)^<({TEXT_TAGS})\b[^>]*>(.*)$"
-    pieces = F.filter(F.split(marked, CUT, -1), lambda p: p.rlike(opening))
-    found = F.transform(
-        pieces,
+    name = r"(?i)^</?([a-z][a-z0-9]*)"
+    pieces = F.transform(
+        F.split(marked, CUT, -1),
         lambda p: F.struct(
-            F.lower(F.regexp_extract(p, opening, 1)).alias("tag"),
-            inner_text(F.regexp_extract(p, opening, 2)).alias("text"),
+            F.lower(F.regexp_extract(p, name, 1)).alias("tag"),
+            p.startswith("</").alias("closes"),
+            inner_text(F.regexp_replace(p, "^<[^>]*>?", "")).alias("text"),
         ),
     )
-    return F.filter(found, lambda b: b["text"] != "")
+    is_text = lambda tag: tag.rlike(f"^(?:{TEXT_TAGS})$")
+
+    def walk(state: Column, piece: Column) -> Column:
+        tag, open_ = piece["tag"], state["open"]
+        top = F.try_element_at(open_, F.lit(-1))
+        # a paragraph or heading ends where the next block begins, an item where the next item does
+        ended = top.rlike("^(?:p|h[1-6])$") | ((top == tag) & tag.isin("li", "dd", "dt"))
+        without_top = F.when(F.coalesce(ended, F.lit(False)), F.slice(open_, 1, F.size(open_) - 1)).otherwise(open_)
+        back = F.array_position(F.reverse(open_), tag).cast("int")
+        closed = F.when(back > 0, F.slice(open_, 1, F.size(open_) - back)).otherwise(open_)
+        now = F.when(tag == "", open_).when(piece["closes"], closed).otherwise(F.array_append(without_top, tag))
+        return bind(
+            now,
+            lambda now: bind(
+                F.try_element_at(F.filter(now, is_text), F.lit(-1)),
+                lambda owner: F.struct(
+                    now.alias("open"),
+                    F.when(
+                        owner.isNotNull() & (piece["text"] != ""),
+                        F.array_append(state["out"], F.struct(owner.alias("tag"), piece["text"].alias("text"))),
+                    )
+                    .otherwise(state["out"])
+                    .alias("out"),
+                ),
+            ),
+        )
+
+    start = F.struct(
+        F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<tag:string,text:string>>").alias("out")
+    )
+    return F.aggregate(pieces, start, walk, lambda s: s["out"])
 
 
 def kind_of(tag: Column) -> Column:

@@ -53,6 +53,25 @@ def test_html(spark):
     ]
 
 
+def test_html_nesting_and_references(spark):
+    cases = {
+        "<aside>x<aside>y</aside><p>leak</p></aside><p>kept</p>": [("p", "kept")],
+        "<blockquote>Intro<p>inner</p>outro</blockquote>": [("blockquote", "Intro"), ("p", "inner"), ("blockquote", "outro")],
+        "<ul><li>one<ul><li>two</li></ul>more</li></ul>": [("li", "one"), ("li", "two"), ("li", "more")],
+        "<ul><li>one<li>two</ul><p>a<p>b": [("li", "one"), ("li", "two"), ("p", "a"), ("p", "b")],
+        "<blockquote><div>in a <i>box</i></div></blockquote><div>loose</div>": [("blockquote", "in a box")],
+        "<nav><p>a</p></NAV ><p>b</p></nav><figure/><p>c</p><header>open": [("p", "b"), ("p", "c")],
+        "<p>&iacute;&Aacute;&iquest;&#0008211;&#x0002013;&bogus;&amp;lt;</p>": [("p", "íÁ¿––&bogus;&lt;")],
+        "<p>&#1114112;&#xD800;&#0;&#99999999999;&#x1F600;</p>": [("p", "\ufffd\ufffd\ufffd\ufffd\U0001f600")],
+        "<script>'<nav>'</script><p>after</p>": [("p", "after")],
+        "": [],
+    }
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(cases)], "k int, html string").repartition(2)
+    got = {r.k: [(b.tag, b.text) for b in r.b] for r in df.select("k", html.blocks(F.col("html")).alias("b")).collect()}
+    for k, (page, want) in enumerate(cases.items()):
+        assert got[k] == want, page
+
+
 def test_sniff_and_resolve(spark, tmp_path):
     for name, member, body in [("a.bin", "mimetype", "application/epub+zip"), ("b.bin", "word/document.xml", "<x/>"), ("c.bin", "other", "x")]:
         with zipfile.ZipFile(tmp_path / name, "w") as z:
