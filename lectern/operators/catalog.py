@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from lectern.functions.lexicon import with_errors
 from lectern.operators.ordered import Levels, row_numbers
 
 # ---------------------------------------------------------------- fixed values
@@ -362,13 +363,17 @@ def compiles(patterns: Column) -> Column:
 
 
 def check_lexicon(entries: DataFrame) -> DataFrame:
-    """A pattern must compile only where the entry says it is a regex."""
+    """Entries with an error where a regex or its replacement cannot be used.
+
+    A pattern must be one for the rule language and one that the engine runs once translated.
+    """
     bad = entries.filter("is_regex").select("pattern").distinct().filter(~compiles(F.col("pattern")))
     flagged = bad.withColumn("bad", F.lit(True))
     invalid = F.col("is_regex") & F.coalesce("bad", F.lit(False))
     return (
-        entries.join(flagged, "pattern", "left")
-        .withColumn("error", F.when(invalid, F.concat(F.lit("invalid regex: "), F.col("pattern"))))
+        with_errors(entries)
+        .join(flagged, "pattern", "left")
+        .withColumn("error", F.when(invalid, F.concat(F.lit("invalid regex: "), F.col("pattern"))).otherwise(F.col("error")))
         .select(*entries.columns, "error")
     )
 

@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from lectern.functions.lexicon import with_lexicon
+from lectern.functions.lexicon import apply_lexicon, with_lexicon
 from lectern.functions.normalize import NormalizerRegistry
 from lectern.operators import catalog as C
 from lectern.plans import narration as R
@@ -97,3 +97,23 @@ def test_lexicon_validity(spark):
     rows = [(1, 1, "a(b", "", True, True), (1, 2, "a(b", "", False, True), (1, 3, "a+", "", True, True)]
     got = C.check_lexicon(spark.createDataFrame(rows, LEXICON)).collect()
     assert {r.entry: r.error for r in got} == {1: "invalid regex: a(b", 2: None, 3: None}
+
+
+def test_lexicon_rules_that_cannot_run_are_set_aside(spark):
+    """Each rule alone on one text: the result, or the reason why the text stays as it is."""
+    cases = [
+        ("(?P<a>b)(?P=a)", "<\\g<a>>", "abba", "a<b>a", None), ("(a)?(?(1)b|c)", "x", "abc", "abc", "invalid regex"),
+        ("(b)", "\\9", "abc", "abc", "invalid replacement"), ("b", "\\n", "abc", "a\nc", None),
+        ("[a&&b]", "_", "a&b", "___", None), ("b", "\\q", "abc", "abc", "invalid replacement"),
+        ("b", "\\\\", "abc", "a\\c", None), ("b", "$1", "abc", "a$1c", None), ("(b)(c)", "\\2\\1", "abc", "acb", None),
+        ("[[]x", "y", "[x", "[x", "invalid regex"), ("a(b", "y", "ab", "ab", "invalid regex"), ("c\\Z", "d", "cc", "cd", None),
+        ("\\w+", "w", "żółw", "w", None), ("b", "\\g<name>", "abc", "abc", "invalid replacement"), (None, "x", "abc", "abc", "incomplete"),
+    ]
+    rows = [(k, 1, p, r, True, True) for k, (p, r, *_) in enumerate(cases)]
+    entries = spark.createDataFrame(rows, LEXICON)
+    books = spark.createDataFrame([(k, c[2]) for k, c in enumerate(cases)], "book_id long, text string")
+    got = {r.book_id: r.t for r in with_lexicon(books, entries).select("book_id", apply_lexicon(F.col("text"), F.col("lexicon")).alias("t")).collect()}
+    errors = {r.book_id: r.error for r in C.check_lexicon(entries).collect()}
+    for k, (pattern, _, _, want, reason) in enumerate(cases):
+        assert got[k] == want, pattern
+        assert (errors[k] or "").startswith(reason or "") and (errors[k] is None) == (reason is None), (pattern, errors[k])
