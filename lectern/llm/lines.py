@@ -133,11 +133,12 @@ def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nominations(lines: DataFrame) -> DataFrame:
     """(doc_id, key, partner): the earlier documents to align with."""
     each = lines.select("doc_id", "key", F.posexplode("lines").alias("at", "line")).where("line.counts")
-    held = (
+    held = stored(  # so that the join back has an exchange on both sides and frequent lines can be split
         each.groupBy(F.col("line.h").alias("h"), "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
+        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"),
+        "lines-held",
     )
-    shared = each.select("doc_id", "key", "at", F.col("line.h").alias("h")).join(held, "h").where("first < doc_id")
+    shared = each.select("doc_id", "key", "at", F.col("line.h").alias("h")).join(held, "h").where("first < doc_id").drop("h")
     # one array for each document: never longer than its lines
     runs = shared.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "df", "first"))).alias("shared"))
     key = lines.schema["key"].dataType.simpleString()
