@@ -88,18 +88,37 @@ def planned_chunks(
     return F.flatten(F.transform(chapters, plan_chapter))
 
 
+def plan_error(registry: NormalizerRegistry | None = None) -> Column:
+    """Why a book (language, chapters) has no chunks, null if it has: no rules for its language, or nothing to read."""
+    known = (registry or default_registry()).languages()
+    language, chapters = F.col("language"), F.col("chapters")
+    spoken = F.exists(
+        chapters, lambda c: F.exists(c["blocks"], lambda b: (b["kind"] != "skip") & (F.trim(b["text"]) != ""))
+    )
+    return (
+        F.when(language.isNull(), F.lit("no language"))
+        .when(~language.isin(known), F.concat(F.lit("unsupported language: "), language))
+        .when(~F.coalesce(spoken, F.lit(False)), F.lit("nothing to read"))
+    )
+
+
+def plan_rejects(books: DataFrame, keys: list[str], registry: NormalizerRegistry | None = None) -> DataFrame:
+    """The books that ``chunk_plan`` with the same registry leaves out, each with its reason."""
+    return books.select(*keys, "language", plan_error(registry).alias("error")).filter("error IS NOT NULL")
+
+
 def chunk_plan(books: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Numbered chunks of books given as (keys, language, chapters[, lexicon])."""
+    """Numbered chunks of books given as (keys, language, chapters[, lexicon]).
+
+    Books that cannot be planned are not here but in ``plan_rejects``.
+    """
+    books = books.filter(plan_error(options.get("registry")).isNull())
     lexicon = F.col("lexicon") if "lexicon" in books.columns else None
     chunks = planned_chunks(F.col("chapters"), F.col("language"), lexicon, **options)
     numbered = books.select(*keys, "language", F.posexplode(chunks).alias("segment_index", "chunk"))
     return numbered.select(*keys, "language", "segment_index", "chunk.*")
 
 
-def supported(books: DataFrame) -> DataFrame:
-    return books.filter(F.col("language").isin(list(LANGUAGE_ROUTING)))
-
-
 def mark_pauses(chunks: DataFrame, book: str, levels: Levels) -> DataFrame:
     """The pause rule for chunks that arrive as rows with chapter and block ordinals.
 

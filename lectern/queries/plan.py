@@ -32,10 +32,8 @@ def documents(spark, sf, with_rules=True):
 
     Lines of one blank-free run are skip blocks, as footnotes are.
     """
-    docs = R.supported(
-        spread(spaced_documents(spark, sf), "doc_id").select(
-            F.col("doc_id").alias("book_id"), F.col("lang").alias("language"), fold.text_chapters(F.col("text")).alias("chapters")
-        )
+    docs = spread(spaced_documents(spark, sf), "doc_id").select(
+        F.col("doc_id").alias("book_id"), F.col("lang").alias("language"), fold.text_chapters(F.col("text")).alias("chapters")
     )
 
     def mark(block):
@@ -93,6 +91,19 @@ def chunk_plan(spark, sf):
     return chunks(spark, sf)
 
 
+@query(
+    "plan_rejects",
+    sql(
+        """SELECT doc_id AS book_id, lang AS language, CASE WHEN lang IS NULL THEN 'no language' WHEN lang NOT IN ('en','de') THEN 'unsupported language: ' || lang ELSE 'nothing to read' END AS error
+  FROM documents WHERE lang IS NULL OR lang NOT IN ('en','de') OR doc_id NOT IN (SELECT doc_id FROM folded WHERE contains(text, ' '))""",
+        lines=LINES, folded=TEXT_CHAPTERS,
+    ),
+)
+def plan_rejects(spark, sf):
+    """Every document without chunks, with the reason; the plan runs with rules for two languages."""
+    return R.plan_rejects(documents(spark, sf, False), ["book_id"], default_registry(LANGUAGES))
+
+
 @query("segment_keys", sql("SELECT book_id, segment_index, engine, cache_key FROM keyed", **_CHUNKS))
 def segment_keys(spark, sf):
     return keyed_chunks(spark, sf).select("book_id", "segment_index", "engine", "cache_key")

@@ -117,3 +117,15 @@ def test_lexicon_rules_that_cannot_run_are_set_aside(spark):
     for k, (pattern, _, _, want, reason) in enumerate(cases):
         assert got[k] == want, pattern
         assert (errors[k] or "").startswith(reason or "") and (errors[k] is None) == (reason is None), (pattern, errors[k])
+
+
+def test_every_book_is_planned_or_rejected(spark):
+    one = [("One", [("para", "Some words here.")])]
+    books = spark.createDataFrame(
+        [(1, "en", one), (2, "zh", one), (3, "fr", one), (4, None, one), (5, "en", []), (6, "de", [("A", [("skip", "note")])]), (7, "pl", None)], BOOKS
+    )
+    for registry, planned in ((None, {1, 2}), (NormalizerRegistry(), set())):
+        plan = {r.book_id for r in R.chunk_plan(books, ["book_id"], registry=registry).collect()}
+        rejects = {r.book_id: r.error for r in R.plan_rejects(books, ["book_id"], registry).collect()}
+        assert plan == planned and plan | rejects.keys() == set(range(1, 8)) and not plan & rejects.keys()
+    assert rejects[3] == "unsupported language: fr" and rejects[4] == "no language"
