@@ -9,10 +9,11 @@ their shingles and ranges of size; a dual traversal leaves out node pairs whose
 largest possible overlap cannot reach the threshold. What is left is counted exactly.
 
 Pairs that are already connected need no link, which keeps groups of near copies
-linear: a first round has each set in the block of its first shingle alone; the second
-looks into those blocks only that still hold several components, once for each distinct
-membership, and fetches sets only for members that the bitmaps do not rule out. A block
-of more than ``BLOCK`` sets is dealt out as pairs of parts.
+linear: in each of the first rounds a set is in one block alone, by the prefix shingle
+with the least hash of that round; the last round looks at all prefix shingles, but only
+into blocks that still hold several components, once for each distinct membership. Sets
+are fetched only for members that the bitmaps do not rule out. A block of more than
+``BLOCK`` sets is dealt out as pairs of parts.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SKETCH = 1 << 18
 #: Least number of 64-bit words of a bitmap; it has a bit for each shingle or more, as a power of two.
 BITMAP = 4
 LEAF = 8
+#: Rounds that look at one shingle of each set, before the round that looks at all of the prefix.
+ROUNDS = 3
 BLOCK = 1024
 
 
@@ -339,6 +342,10 @@ def parts(members: DataFrame, wide: bool) -> DataFrame:
     return joined.withColumn("part", F.explode(F.when(F.col("lead_n").isNull(), one).otherwise(dealt))).drop("lead_n", "rest_n")
 
 
+def stars(found: DataFrame) -> DataFrame:
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def once_each(members: DataFrame) -> DataFrame:
     """Of blocks (or parts) with the same members only one; stored."""
     same = members.groupBy("block", "part").agg(
@@ -367,15 +374,23 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         F.col("a").alias("cls"), F.col("doc_id").alias("node"), "n", "prefix", "bits"
     )
 
-    heads = sets.select(F.col("prefix")[0].alias("block"), "cls", "node")
-    met = heads.groupBy("block").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1").drop("m")
-    first = stored(heads.join(met, "block").withColumn("comp", F.col("node")), "ngrams-heads")
-    found = stored(links(with_sets(docs, stored(parts(first, False), "ngrams-parts"), size), percent), "ngrams-links")
-    early = components(found.union(same), "ngrams-early")
+    def labelled(found: DataFrame) -> DataFrame:
+        return sets.join(found, "node", "left").select("cls", "node", F.coalesce("component", "node").alias("comp"), "n", "prefix", "bits")
+
+    def linked_in(members: DataFrame, wide: bool) -> DataFrame:
+        dealt = parts(stored(members, "ngrams-members"), wide)
+        return links(with_sets(docs, once_each(stored(survivors(dealt, percent), "ngrams-survivors")), size), percent)
+
+    found = components(same, "ngrams-components")
+    for r in range(ROUNDS):
+        one = F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(r)))).alias("block")  # noqa: B023
+        heads = labelled(found).select(one, "cls", "node", "comp", "n", "bits")
+        met = heads.groupBy("block").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+        more = linked_in(heads.join(met.drop("most"), "block"), False)
+        found = components(more.union(stars(found)), "ngrams-components")
 
-    comp = F.coalesce("component", "node").alias("comp")
-    labelled = sets.join(early.distinct(), "node", "left").select("cls", "node", comp, "n", "prefix", "bits")
-    keys = labelled.select(F.explode("prefix").alias("block"), "cls", "comp")
+    last = labelled(found)
+    keys = last.select(F.explode("prefix").alias("block"), "cls", "comp")
     mixed = (
         keys.groupBy("block")
         .agg(
@@ -386,11 +401,8 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     )
     chosen = stored(mixed.select("block", "least"), "ngrams-blocks")
     held = stored(keys.select("block", "cls").join(chosen, "block"), "ngrams-held")
-    wide = parts(held.join(labelled.select("cls", "node", "comp", "n", "bits"), "cls"), True)
-    left = once_each(stored(survivors(wide, percent), "ngrams-survivors"))
-    more = stored(links(with_sets(docs, left, size), percent), "ngrams-links")
-    stars = early.select(F.col("component").alias("a"), F.col("node").alias("b"))
-    final = components(more.union(stars), "ngrams-final")
+    more = linked_in(held.join(last.select("cls", "node", "comp", "n", "bits"), "cls"), True)
+    final = components(more.union(stars(found)), "ngrams-components")
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(
         final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
     ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
