@@ -139,8 +139,12 @@ def sidecar_metadata(config: Column) -> tuple[Column, Column, Column]:
 
 
 def voices_by_language(voices: DataFrame) -> DataFrame:
-    """Voices listed under their language, sorted by id inside it."""
-    return row_numbers(voices, ["language"], [["voice_id"]], "position")
+    """Voices listed under their language, sorted by id inside it.
+
+    Openings of the ids are the coarse levels, so that a language with most of the voices is spread.
+    """
+    levelled = voices.withColumns({"__a": F.left("voice_id", F.lit(3)), "__b": F.left("voice_id", F.lit(8))})
+    return row_numbers(levelled, ["language"], [["__a"], ["__b"], ["voice_id"]], "position").drop("__a", "__b")
 
 
 def matching_voices(books: DataFrame, voices: DataFrame) -> DataFrame:
@@ -212,8 +216,10 @@ def job_detail(stages: DataFrame, artifacts: DataFrame) -> DataFrame:
 
 
 def jobs_newest_first(jobs: DataFrame) -> DataFrame:
-    ordered = jobs.withColumn("age", -F.unix_micros("created_at"))
-    return row_numbers(ordered, ["book_id"], [["age"], ["job_id"]], "position").drop("age")
+    """Jobs of a book numbered from the newest; days are the coarse level."""
+    age = -F.unix_micros("created_at")
+    ordered = jobs.withColumns({"__day": F.floor(age / 86_400_000_000), "__age": age})
+    return row_numbers(ordered, ["book_id"], [["__day"], ["__age", "job_id"]], "position").drop("__day", "__age")
 
 
 def pick_artifact(artifacts: DataFrame, part: int | None = None) -> DataFrame:

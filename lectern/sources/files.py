@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # ---------------------------------------------------------------- fixed values
 MAX_UPLOAD_MB = 200
@@ -28,6 +30,13 @@ CODE_PAGE_LETTERS = {
     "cp1250": "ąćęłńóśźżĄĆĘŁŃÓŚŹŻäöüßÄÖÜ",
     "cp1252": "àâçéèêëîïôùûüÿñáíóúäöüßÀÂÇÉÈÊËÎÏÔÙÛÑÁÍÓÚÄÖÜ",
 }
+# Encodings with their script's range and its most frequent letters.
+WIDE_ENCODINGS = [
+    ("gb18030", "\u3400", "\u9fff", "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后"),
+    ("big5", "\u3400", "\u9fff", "的一是不了人我在有他這中大來上國個到說們為子和你地出道也時年得就那要下以生會自著去之過家學對可她裡後"),
+    ("cp1251", "\u0400", "\u04ff", "оеаинтсрвл"),
+    ("koi8-r", "\u0400", "\u04ff", "оеаинтсрвл"),
+]
 # ------------------------------------------------------------ end fixed values
 
 
@@ -114,20 +123,81 @@ def _code_page_text(content: Column, page: str) -> Column:
     return F.translate(F.decode(content, "ISO-8859-1"), _HIGH, mapped)
 
 
-def decode_text(content: Column) -> Column:
-    """UTF-8 where valid, else the code page with most of its own letters; earlier pages win ties."""
-    utf8 = F.regexp_replace(content.cast("string"), "^﻿", "")
+def _latin_text(content: Column) -> Column:
+    """The code page with most of its own letters; earlier pages win ties; null if all leave undefined bytes."""
     best = F.lit(None).cast("string")
     score = F.lit(-1)
     for page in CODE_PAGES:
         text = _code_page_text(content, page)
         letters = F.length(F.regexp_replace(text, f"[^{CODE_PAGE_LETTERS[page]}]", ""))
-        bad = F.length(F.regexp_replace(text, "[^�\x80-\x9f]", ""))
+        bad = F.length(F.regexp_replace(text, "[^\ufffd\x80-\x9f]", ""))
         fit = letters - bad * 10
         best = F.when(fit > score, text).otherwise(best)
         score = F.greatest(fit, score)
-    fallback = F.decode(content, "ISO-8859-1")
-    return F.when(F.is_valid_utf8(content.cast("string")), utf8).otherwise(F.coalesce(best, fallback))
+    return best
+
+
+def _wide_text(content: Column) -> Column:
+    """UTF-16 text, or text whose letters are mostly bytes beyond ASCII (Chinese, Cyrillic); null if nothing fits.
+
+    Zero bytes tell UTF-16 and its order where no mark does. Any other candidate must decode every byte, and nearly all that is beyond ASCII must be letters of its script and outnumber
+    ASCII letters; the share of the script's most frequent letters decides between those left.
+    """
+
+    # Local, so that it travels to executors by value.
+    def guess(batch: pd.Series) -> pd.Series:
+        candidates = WIDE_ENCODINGS
+
+        def best(raw):
+            if raw is None:
+                return None
+            raw, found = bytes(raw), []
+            if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+                return raw.decode("utf-16", "replace")
+            if raw.count(0) * 3 > len(raw):
+                return raw.decode("utf-16-le" if raw[1::2].count(0) >= raw[::2].count(0) else "utf-16-be", "replace")
+            for name, low, high, frequent in candidates:
+                try:
+                    text = raw.decode(name)
+                except UnicodeDecodeError:
+                    continue
+                beyond = [c for c in text if ord(c) > 127]
+                own = sum(low <= c <= high or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uffef" or c in "«»—–…№„“”‘’" for c in beyond)
+                ascii_letters = sum(c.isascii() and c.isalpha() for c in text)
+                if beyond and own >= 0.95 * len(beyond) and 2 * ascii_letters <= len(beyond):
+                    found.append((sum(c in frequent for c in beyond) / len(beyond), text))
+            return max(found, key=lambda f: f[0], default=(0, None))[1] if found and max(found)[0] > 0.05 else None
+
+        return batch.map(best)
+
+    return F.pandas_udf(guess, StringType())(content)
+
+
+def decode_text(content: Column) -> Column:
+    """Text of a file's bytes; null if no encoding fits.
+
+    A byte order mark decides; then UTF-8 where valid, UTF-16 where every other byte is mostly zero, Chinese and
+    Cyrillic encodings where bytes beyond ASCII come in runs, else the Latin code pages.
+    """
+    raw = content.cast("string")
+    latin1 = F.decode(content, "ISO-8859-1")
+    marked = F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF")
+    zeros = F.regexp_count(latin1, F.lit("\\x00"))
+    two_bytes = marked | (zeros * 3 > F.octet_length(content))
+    runs = F.regexp_count(latin1, F.lit("[\\x80-\\xff]+"))
+    dense = F.regexp_count(latin1, F.lit("[\\x80-\\xff]")) > 1.6 * runs
+    plain = F.is_valid_utf8(raw) & ~two_bytes
+    wide = _wide_text(F.when(two_bytes | (~plain & dense), content))
+    return F.when(plain, F.regexp_replace(raw, "^\ufeff", "")).otherwise(F.coalesce(wide, _latin_text(content)))
+
+
+def text_rejects(files: DataFrame) -> DataFrame:
+    """Files (path, text) that give no text, with the reason."""
+    blank = F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) == ""
+    return files.select(
+        "path",
+        F.when(F.col("text").isNull(), F.lit("no text encoding fits")).when(blank, F.lit("contains no text")).alias("error"),
+    ).filter("error IS NOT NULL")
 
 
 Parser = Callable[[DataFrame], DataFrame]

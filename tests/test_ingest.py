@@ -154,3 +154,22 @@ def test_persist(spark, tmp_path):
     back = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in tables}
     joined = back["books"].join(back["chapters"], "book_id").join(back["blocks"].withColumnRenamed("index", "b"), "chapter_id")
     assert sorted((r["index"], r.title, r.b, r.text) for r in joined.collect()) == [(0, "Chapter 1", 0, "Hello there, you."), (1, "Chapter 2", 0, "Good bye, you.")]
+
+
+def test_encodings(spark):
+    russian = "Паром ушёл в полдень. Никто не махал рукой, и на берегу остались только чайки. " * 3
+    simple = "渡船中午就走了。没有人挥手,岸上只有海鸟。他们在那里等了一个下午,不知道要到哪里去。"
+    full = "渡船中午就走了。沒有人揮手,岸上只有海鳥。他們在那裡等了一個下午,不知道要到哪裡去。"
+    polish, french = "Prom odpłynął w południe, żaden człowiek nie machał ręką.", "Le bac est parti à midi ; personne n'a agité la main, hélas."
+    cases = [
+        (russian, "cp1251"), (russian, "koi8-r"), (simple, "gb18030"), (full, "big5"), (polish, "cp1250"), (french, "cp1252"),
+        (french, "utf-16"), (simple, "utf-16"), (french, "utf-16-le"), (french, "utf-16-be"), (full, "utf-8"), (polish, "utf-8-sig"), ("", "utf-8"),
+    ]
+    rows = [(k, bytearray(text.encode(name))) for k, (text, name) in enumerate(cases)]
+    df = spark.createDataFrame([*rows, (99, None)], "k int, content binary").repartition(3)
+    got = {r.k: r.t for r in df.select("k", S.decode_text(F.col("content")).alias("t")).collect()}
+    for k, (text, name) in enumerate(cases):
+        assert got[k] == text, name
+    assert got[99] is None
+    texts = spark.createDataFrame([("a", None), ("b", " \n\t"), ("c", "x")], "path string, text string")
+    assert {r.path: r.error for r in S.text_rejects(texts).collect()} == {"a": "no text encoding fits", "b": "contains no text"}
