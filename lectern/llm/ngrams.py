@@ -12,8 +12,8 @@ Pairs that are already connected need no link, which keeps groups of near copies
 linear: in each of the first rounds a set is in one block alone, by the prefix shingle
 with the least hash of that round; the last round looks at all prefix shingles, but only
 into blocks that still hold several components, once for each distinct membership. Sets
-are fetched only for members that the bitmaps do not rule out. A block of more than
-``BLOCK`` sets is dealt out as pairs of parts.
+are fetched only for members that the bitmaps do not rule out, once for blocks that
+overlap. A block of more than ``BLOCK`` sets is dealt out as pairs of parts.
 """
 
 from __future__ import annotations
@@ -355,6 +355,23 @@ def once_each(members: DataFrame) -> DataFrame:
     return stored(members.join(kept, ["block", "part"]), "ngrams-once")
 
 
+def put_together(members: DataFrame) -> DataFrame:
+    """Blocks that overlap become one, so that a set is fetched once: the members that hang together over blocks.
+
+    Where more than ``BLOCK`` sets hang together their own blocks stay.
+    """
+    ends = members.groupBy("block", "part").agg(F.min("node").alias("a"))
+    edges = members.join(ends, ["block", "part"]).select("a", F.col("node").alias("b"))
+    found = components(edges, "ngrams-overlaps")
+    named = members.join(checked_broadcast(found), "node", "left").withColumn("whole", F.coalesce("component", "node"))
+    sizes = named.groupBy("whole").agg(F.count_distinct("cls").alias("m"))
+    sized = stored(named.join(sizes, "whole").select(*members.columns, "whole", "m"), "ngrams-sized")
+    small = sized.where(F.col("m") <= BLOCK).select(
+        F.col("whole").alias("block"), F.lit(-1).cast("bigint").alias("part"), "cls", "node", "comp"
+    )
+    return stored(small.distinct().union(once_each(sized.where(F.col("m") > BLOCK).select(*members.columns))), "ngrams-together")
+
+
 def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row.
 
@@ -370,16 +387,17 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     )
     copies = live.select("doc_id", "a", "b", "n").join(several, ["a", "b", "n"]).where("doc_id <> least")
     same = copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sets = live.join(several, ["a", "b", "n"], "left").where("least is null or least = doc_id").select(
+    sets = live.join(checked_broadcast(several), ["a", "b", "n"], "left").where("least is null or least = doc_id").select(
         F.col("a").alias("cls"), F.col("doc_id").alias("node"), "n", "prefix", "bits"
     )
 
     def labelled(found: DataFrame) -> DataFrame:
-        return sets.join(found, "node", "left").select("cls", "node", F.coalesce("component", "node").alias("comp"), "n", "prefix", "bits")
+        return sets.join(checked_broadcast(found), "node", "left").select("cls", "node", F.coalesce("component", "node").alias("comp"), "n", "prefix", "bits")
 
     def linked_in(members: DataFrame, wide: bool) -> DataFrame:
         dealt = parts(stored(members, "ngrams-members"), wide)
-        return links(with_sets(docs, once_each(stored(survivors(dealt, percent), "ngrams-survivors")), size), percent)
+        left = stored(survivors(dealt, percent), "ngrams-survivors")
+        return links(with_sets(docs, put_together(left) if wide else left, size), percent)
 
     found = components(same, "ngrams-components")
     for r in range(ROUNDS):
