@@ -148,6 +148,28 @@ def decode_text(spark, sf):
     return docs.select("doc_id", content.alias("content")).select("doc_id", S.decode_text(F.col("content")).alias("text"))
 
 
+@query(
+    "registered_parsers",
+    sql(
+        """SELECT 'd/' || doc_id AS path, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, text FROM lines JOIN documents d USING (doc_id) WHERE d.lang = 'en'
+  UNION ALL SELECT 'd/' || doc_id, -1, CASE lang WHEN 'fr' THEN 'no decoder registered for rtf' ELSE 'no parser' END FROM documents WHERE lang IS NULL OR lang <> 'en'""".replace("text FROM lines JOIN", "l.text FROM lines l JOIN"),
+        lines=LINES,
+    ),
+)
+def registered_parsers(spark, sf):
+    """Texts through a registered parser, and the files that no parser takes with the reason (position -1)."""
+    lang = F.col("lang")
+    resolved = spaced_documents(spark, sf).select(
+        F.concat(F.lit("d/"), "doc_id").alias("path"),
+        F.when(lang == "en", "txt").when(lang == "fr", "rtf").alias("parser"),
+        F.when(lang.isNull() | ~lang.isin("en", "fr"), "no parser").alias("error"), "text",
+    )
+    registry = S.ParserRegistry()
+    registry.register("txt", lambda files: files.select("path", F.posexplode(fold.split_paragraphs(F.col("text"))).alias("pos", "text")))
+    rejects = registry.unregistered(resolved).select("path", F.lit(-1).alias("pos"), F.col("error").alias("text"))
+    return registry.parse(resolved)["txt"].unionByName(rejects).withColumn("pos", F.col("pos").cast("bigint"))
+
+
 # ------------------------------------------------------------------ plain text
 
 

@@ -1,5 +1,7 @@
 """Timeline and publishing queries: customers as jobs, orders as chapters, line items as segments."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.operators.ordered import row_numbers
@@ -7,8 +9,9 @@ from lectern.plans import publish as P
 from lectern.plans import timeline as T
 from lectern.queries.registry import query, table
 from lectern.queries.views import sql
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, local_fallback, shared_folder
 from lectern.sources import model as M
+from lectern.sources.sinks import write_documents
 
 LEVELS = [["placed_on"], ["chapter_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]]
 CHAPTER = ["placed_on", "chapter_id"]
@@ -186,16 +189,28 @@ def subtitle_clocks(spark, sf):
     )
 
 
+_SRT = f"""SELECT job_id, no AS line_no, CASE WHEN no > 1 THEN chr(10) ELSE '' END || no || chr(10) || {_clock_sql('start_s', ',')} || ' --> ' || {_clock_sql('end_s', ',')} || chr(10) || text AS line FROM cues
+  UNION ALL SELECT job_id, 1, '' FROM jobs WHERE job_id NOT IN (SELECT job_id FROM cues)"""
+
+
+@query("srt_documents", sql(_SRT, "books", track=_TRACK, timed=_TIMED, cues=_CUES, jobs=_JOBS))
+def srt_documents(spark, sf):
+    return P.srt_lines(cues(spark, sf), track_jobs(spark, sf), LEVELS)
+
+
 @query(
-    "srt_documents",
+    "written_documents",
     sql(
-        f"""SELECT job_id, no AS line_no, CASE WHEN no > 1 THEN chr(10) ELSE '' END || no || chr(10) || {_clock_sql('start_s', ',')} || ' --> ' || {_clock_sql('end_s', ',')} || chr(10) || text AS line FROM cues
-  UNION ALL SELECT job_id, 1, '' FROM jobs WHERE job_id NOT IN (SELECT job_id FROM cues)""",
-        "books", track=_TRACK, timed=_TIMED, cues=_CUES, jobs=_JOBS,
+        """SELECT job_id, CAST(sum(len(string_split(line, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(replace(line, chr(10), ''))) AS BIGINT) AS chars FROM srt GROUP BY 1""",
+        "books", track=_TRACK, timed=_TIMED, cues=_CUES, jobs=_JOBS, srt=_SRT,
     ),
 )
-def srt_documents(spark, sf):
-    return P.srt_lines(cues(spark, sf), track_jobs(spark, sf), LEVELS)
+def written_documents(spark, sf):
+    """The subtitle documents as files, read back: physical lines and characters of each job."""
+    folder = f"{shared_folder(spark, local_fallback(spark))}/documents-{uuid.uuid4().hex}"
+    write_documents(srt_documents(spark, sf), folder)
+    lines = spark.read.text(folder).select(F.col("job_id").cast("bigint").alias("job_id"), "value")
+    return lines.groupBy("job_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).cast("bigint").alias("chars"))
 
 
 @query(
