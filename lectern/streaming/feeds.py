@@ -1,8 +1,9 @@
 """Live feeds: job changes, the current stage board, document intake, chunk dedupe.
 
 Streams read folders of files, so each run takes what is new and stops
-(``availableNow``). Sinks are files; a repeated micro-batch overwrites its own
-folder, which makes every sink safe to replay.
+(``availableNow``). A run given the ``folder`` of an earlier one goes on where that
+ended; without it a fresh folder is made and all is read. Sinks are files; a repeated
+micro-batch overwrites its own folder, which makes every sink safe to replay.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def job_change_stream(log: DataFrame) -> DataFrame:
     )
 
 
-def run_job_changes(spark: SparkSession, log: DataFrame) -> DataFrame:
+def run_job_changes(spark: SparkSession, log: DataFrame, folder: str | None = None) -> DataFrame:
     """Run the change feed over what is there and read its output back."""
-    folder = stream_folder(spark, "job-changes")
+    folder = folder or stream_folder(spark, "job-changes")
     before = spark.conf.get(STATE_PROVIDER, None)
     spark.conf.set(STATE_PROVIDER, ROCKSDB)
     try:
@@ -135,9 +136,9 @@ def run_job_changes(spark: SparkSession, log: DataFrame) -> DataFrame:
 # ----------------------------------------------------------------- stage board
 
 
-def run_stage_board(spark: SparkSession, log: DataFrame) -> DataFrame:
+def run_stage_board(spark: SparkSession, log: DataFrame, folder: str | None = None) -> DataFrame:
     """Latest progress per job and stage. Batches write only changed rows; the last batch wins."""
-    folder = stream_folder(spark, "stage-board")
+    folder = folder or stream_folder(spark, "stage-board")
     latest = log.groupBy("job_id", "stage").agg(F.max(F.struct("ts", "event_id", "progress")).alias("last"))
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -153,9 +154,11 @@ def run_stage_board(spark: SparkSession, log: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- document intake
 
 
-def run_intake(spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def run_intake(
+    spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFrame], DataFrame], folder: str | None = None
+) -> DataFrame:
     """Run the batch ingest functions on new documents; they are narrow, so no state is kept."""
-    folder = stream_folder(spark, "intake")
+    folder = folder or stream_folder(spark, "intake")
     prepared = prepare(stream)
     schema = prepared.schema
     run_once(prepared, folder, "append", _keep_batches(folder))
@@ -165,21 +168,21 @@ def run_intake(spark: SparkSession, stream: DataFrame, prepare: Callable[[DataFr
 # ----------------------------------------------------------------- chunk dedupe
 
 
-def run_dedupe(spark: SparkSession, chunks: DataFrame, known: DataFrame) -> DataFrame:
+def run_dedupe(spark: SparkSession, chunks: DataFrame, known: DataFrame, folder: str | None = None) -> DataFrame:
     """Each key is worked once over all batches: anti-join with earlier output, then once per batch.
 
     The output itself is the memory, so no unbounded stream state is needed. A
     replayed batch ignores its own earlier output.
     """
-    folder = stream_folder(spark, "chunk-dedupe")
+    folder = folder or stream_folder(spark, "chunk-dedupe")
     schema = "cache_key string, text string"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         done = known.select("cache_key")
         if batch_id > 0:
-            earlier = [f"{folder}/data/batch={i}" for i in range(batch_id)]
-            done = done.unionByName(session.read.schema(schema).parquet(*earlier).select("cache_key"))
+            earlier = session.read.schema(f"{schema}, batch int").parquet(f"{folder}/data").filter(F.col("batch") < batch_id)
+            done = done.unionByName(earlier.select("cache_key"))
         work_list(batch, done).write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
 
     run_once(chunks, folder, "append", write)
