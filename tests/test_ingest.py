@@ -14,12 +14,12 @@ def _chapters(spark, text):
 
 def test_text_chapters(spark):
     text = (
-        "Before it all.\r\n\r\nChapter 1: The Beginning\r\n\r\nIt was a dark\r\n  and stormy night.\r\n \r\n\r\nSecond one.\n\n"
+        "Before it all.\r\n\r\nChapter 1: Low Water\r\n\r\nThe ferry lay\r\n  on the mud.\r\n \r\n\r\nSecond one.\n\n"
         "Chapter 2\n\nNext part.\n\nchapters of life. And so on."
     )
     assert _chapters(spark, text) == [
         ("Chapter 1", ["Before it all."]),
-        ("Chapter 1: The Beginning", ["It was a dark and stormy night.", "Second one."]),
+        ("Chapter 1: Low Water", ["The ferry lay on the mud.", "Second one."]),
         ("Chapter 2", ["Next part."]),
     ]
     assert _chapters(spark, "One Title\n\nOther Title") == [("Chapter 1", ["One Title", "Other Title"])]

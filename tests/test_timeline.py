@@ -99,15 +99,15 @@ def _text(lines):
 
 def test_subtitles(spark):
     cues = spark.createDataFrame(
-        [(1, 0, 0.0, 1.234, "Hello there."), (1, 1, 1.5, 3661.789, "Second line.")],
+        [(1, 0, 0.0, 2.345, "Cast off now."), (1, 1, 1.5, 3725.125, "Mind the rope.")],
         "job_id long, i int, start_s double, end_s double, text string",
     )
     jobs = spark.createDataFrame([(1,), (2,)], "job_id long")
     srt, vtt = P.srt_lines(cues, jobs, [["i"]]), P.vtt_lines(cues.filter("i = 0"), jobs, [["i"]])
     assert _text(srt.filter("job_id = 1")) == (
-        "1\n00:00:00,000 --> 00:00:01,234\nHello there.\n\n2\n00:00:01,500 --> 01:01:01,789\nSecond line.\n"
+        "1\n00:00:00,000 --> 00:00:02,345\nCast off now.\n\n2\n00:00:01,500 --> 01:02:05,125\nMind the rope.\n"
     )
-    assert _text(vtt.filter("job_id = 1")) == "WEBVTT\n\n00:00:00.000 --> 00:00:01.234\nHello there.\n"
+    assert _text(vtt.filter("job_id = 1")) == "WEBVTT\n\n00:00:00.000 --> 00:00:02.345\nCast off now.\n"
     assert _text(srt.filter("job_id = 2")) == "\n" and _text(vtt.filter("job_id = 2")) == "WEBVTT\n\n\n"
     assert spark.range(1).select(P.srt_timestamp(F.lit(-0.5)).alias("t")).first().t == "00:00:00,000"
 
@@ -128,7 +128,7 @@ def test_metadata_and_names(spark):
     marks = spark.createDataFrame([(1, 0, 0.0, 1.5, "a=b;c#d\\e")], MARK)
     jobs = spark.createDataFrame([(1, "T", None)], "job_id long, title string, author string")
     assert _text(P.metadata_lines(marks, jobs)) == (
-        ";FFMETADATA1\ntitle=T\nalbum=T\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=1500\ntitle=a\\=b\;c\\#d\\\\e\n"
+        ";FFMETADATA1\ntitle=T\nalbum=T\n[CHAPTER]\nTIMEBASE=1/1000\nSTART=0\nEND=1500\ntitle=a\\=b\\;c\\#d\\\\e\n"
     )
     row = spark.range(1).select(
         P.part_filename(F.lit("B"), F.lit("mp4"), F.lit(2), F.lit(3)).alias("a"),
