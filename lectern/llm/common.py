@@ -144,6 +144,11 @@ def window_hashes(words: np.ndarray, length: int, base: int = BASE) -> np.ndarra
     return mix((total[length:] - total[:-length]) * down[: n - length + 1] + np.uint64(length))
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Number of the distinct edges and 128 bits over all of them."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over the links (a, b).
 
@@ -153,6 +158,7 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     edges = stored(
         links.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), name
     )
+    before = _checksum(edges)
     for _ in range(rounds):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -162,11 +168,11 @@ def components(links: DataFrame, name: str, rounds: int = 60) -> DataFrame:
         out = small.select(F.col("m").alias("u"), "v").union(
             small.where("u <> m").select(F.col("m").alias("u"), F.col("u").alias("v"))
         )
-        new = stored(out.distinct(), name)
-        changed = new.exceptAll(edges).limit(1).count() + edges.exceptAll(new).limit(1).count()
-        edges = new
-        if not changed:
+        edges = stored(out.distinct(), name)
+        now = _checksum(edges)
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError("links did not settle")
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component"))
