@@ -418,7 +418,7 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         .where("least < most").groupBy("m", "x", "y").agg(F.min("block").alias("block"), F.min("least").alias("least"))
     )
     chosen = stored(mixed.select("block", "least"), "ngrams-blocks")
-    held = stored(keys.select("block", "cls").join(chosen, "block"), "ngrams-held")
+    held = stored(keys.select("block", "cls").join(checked_broadcast(chosen), "block"), "ngrams-held")
     more = linked_in(held.join(last.select("cls", "node", "comp", "n", "bits"), "cls"), True)
     final = components(more.union(stars(found)), "ngrams-components")
     return signed.select("doc_id", F.col("n").alias("n_shingles")).join(
