@@ -73,17 +73,25 @@ class LetterRuns:
         self.counts = np.diff(self.bounds)
         self.script = _CODES[np.searchsorted(_STARTS, points[self.start], side="right") - 1]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of every n-gram, and where those of each word begin."""
-        size = self.end - self.start
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The place of one of each word, and for every word the place among these."""
+        up, down = powers(0x9E3779B97F4A7C15, len(self.points))
+        total = np.concatenate([[np.uint64(0)], np.cumsum((self.points.astype(np.uint64) + np.uint64(1)) * up[: len(self.points)])])
+        _, at, inverse = np.unique(mix((total[self.end] - total[self.start]) * down[self.start]), return_index=True, return_inverse=True)
+        return at, inverse
+
+    def grams(self, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket of every n-gram of the words at these places (all by default), and where those of each word begin."""
+        start = self.start if at is None else self.start[at]
+        size = (self.end if at is None else self.end[at]) - start
         if not len(size):
             return np.empty(0, np.int64), np.zeros(1, np.int64)
         # each word with one border before and behind it
         width = size + 2
         first = np.concatenate([[0], np.cumsum(width)])
-        at = np.arange(first[-1]) - np.repeat(first[:-1], width) - 1
-        inside = (at >= 0) & (at < np.repeat(size, width))
-        source = np.where(inside, np.repeat(self.start, width) + at, 0)
+        place = np.arange(first[-1]) - np.repeat(first[:-1], width) - 1
+        inside = (place >= 0) & (place < np.repeat(size, width))
+        source = np.where(inside, np.repeat(start, width) + place, 0)
         c = np.where(inside, self.points[source].astype(np.uint64) + np.uint64(1), np.uint64(0))
         a = c * np.uint64(0x9E3779B97F4A7C15)
         two = a[:-1] + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -122,13 +130,15 @@ def train(rows: DataFrame, smoothing: float = 0.5, script_share: float = 0.01) -
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in chunks(texts, 500_000):
+            for part in chunks(texts, 1_000_000):
                 runs = LetterRuns(texts[part])
-                grams, begin = runs.grams()
+                one, which = runs.distinct()
+                grams, begin = runs.grams(one)
                 for lang in set(langs[part]):
                     mine = np.repeat(np.array([x == lang for x in langs[part]]), runs.counts)
                     t = tables.setdefault(lang, np.zeros(BUCKETS + len(SCRIPTS), np.int64))
-                    t[:BUCKETS] += np.bincount(grams[np.repeat(mine, np.diff(begin))], minlength=BUCKETS)
+                    times = np.repeat(np.bincount(which[mine], minlength=len(one)), np.diff(begin))
+                    t[:BUCKETS] += np.bincount(grams, times, minlength=BUCKETS).astype(np.int64)
                     weight = (runs.end - runs.start)[mine]
                     t[BUCKETS:] += np.bincount(runs.script[mine], weight, minlength=len(SCRIPTS)).astype(np.int64)
         for lang, t in tables.items():
@@ -160,17 +170,18 @@ def train(rows: DataFrame, smoothing: float = 0.5, script_share: float = 0.01) -
 
 def word_scores(model: Model, runs: LetterRuns) -> np.ndarray:
     """Mean log probability of each word's n-grams times the square root of their number, by language."""
-    grams, begin = runs.grams()
     n = len(model.languages)
     if not len(runs.start):
         return np.empty((0, n), np.float32)
-    sums = np.empty((len(runs.start), n), np.float32)
+    one, which = runs.distinct()  # each distinct word of the chunk is scored once
+    grams, begin = runs.grams(one)
+    sums = np.empty((len(one), n), np.float32)
     for j in range(n):
         sums[:, j] = np.add.reduceat(model.scores[grams, j], begin[:-1])
     sums /= np.sqrt(np.diff(begin))[:, None]
-    may = model.allowed[runs.script]
+    may = model.allowed[runs.script[one]]
     may[~may.any(axis=1)] = True  # a script that no language uses: all are candidates
-    return np.where(may, sums, sums.min(axis=1, keepdims=True) - 1e3)
+    return np.where(may, sums, sums.min(axis=1, keepdims=True) - 1e3).astype(np.float32)[which]
 
 
 def viterbi(scores: np.ndarray, bounds: np.ndarray, penalty: float) -> np.ndarray:
@@ -227,7 +238,7 @@ def label_spans(docs: DataFrame, model: Model, penalty: float = 12.0, keep: list
         names = [*model.languages, UNKNOWN]
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
-            for part in chunks(texts, 500_000):
+            for part in chunks(texts, 1_000_000):
                 runs = LetterRuns(texts[part])
                 labels = viterbi(word_scores(model, runs), runs.bounds, penalty)
                 size = (runs.end - runs.start).astype(np.float64)
