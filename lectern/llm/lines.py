@@ -1,10 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired with the earlier ones they overlap by shared rare lines (held by at
-most ``RARE`` documents): each names the first document that holds it. A run of shared lines
-with no rare one among them is named by its rarest line, so that frequent lines are treated
-as well, without pairing their holders out: a document has at most as many partners as it
-has shared lines. Each pair is aligned by patience diff over line hashes, and the blocks of
+Documents are paired with the earlier ones they overlap by shared lines: each line, frequent
+ones too, names the first document that holds it, so that a document has at most as many
+partners as it has shared lines. Each pair is aligned by patience diff over line hashes, and the blocks of
 the alignment that hold a counted line are deleted from the later document. All is judged
 on the input.
 """
@@ -108,41 +106,16 @@ def line_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def nominate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at, partners = [], []
-        for n, shared in enumerate(batch.column(2).to_pylist()):
-            runs: list[list[dict]] = []
-            for x in shared:
-                if runs and x["at"] == runs[-1][-1]["at"] + 1:
-                    runs[-1].append(x)
-                else:
-                    runs.append([x])
-            named = set()
-            for run in runs:
-                rare = [x["first"] for x in run if x["df"] <= RARE]
-                named.update(rare or [min(run, key=lambda x: (x["df"], x["at"]))["first"]])
-            at += [n] * len(named)
-            partners += sorted(named)
-        rows = pa.array(at, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(partners, pa.int64())], ["doc_id", "key", "partner"]
-        )
-
-
 def nominations(lines: DataFrame) -> DataFrame:
     """(doc_id, key, partner): the earlier documents to align with."""
-    each = lines.select("doc_id", "key", F.posexplode("lines").alias("at", "line")).where("line.counts")
+    each = lines.select("doc_id", "key", F.explode("lines").alias("line")).where("line.counts")
     held = stored(  # so that the join back has an exchange on both sides and frequent lines can be split
         each.groupBy(F.col("line.h").alias("h"), "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"),
+        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df"),
         "lines-held",
     )
-    shared = each.select("doc_id", "key", "at", F.col("line.h").alias("h")).join(held, "h").where("first < doc_id").drop("h")
-    # one array for each document: never longer than its lines
-    runs = shared.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("at", "df", "first"))).alias("shared"))
-    key = lines.schema["key"].dataType.simpleString()
-    return runs.mapInArrow(nominate, f"doc_id long, key {key}, partner long")
+    shared = each.select("doc_id", "key", F.col("line.h").alias("h")).join(held, "h").where("first < doc_id")
+    return shared.select("doc_id", "key", F.col("first").alias("partner")).distinct()
 
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
