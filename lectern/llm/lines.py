@@ -1,8 +1,9 @@
 """Line dedup by pairwise alignment.
 
-Documents are paired with the earlier ones they overlap by shared lines: each line, frequent
-ones too, names the first document that holds it, so that a document has at most as many
-partners as it has shared lines. Each pair is aligned by patience diff over line hashes, and the blocks of
+Documents are paired with the earlier ones they overlap by shared lines: a rare line (held
+by at most ``RARE`` documents) names every earlier document that holds it, a frequent one
+the first, so that a document has at most ``RARE`` - 1 partners for each of its shared
+lines. Each pair is aligned by patience diff over line hashes, and the blocks of
 the alignment that hold a counted line are deleted from the later document. All is judged
 on the input.
 """
@@ -21,7 +22,8 @@ from lectern.llm.common import checked_broadcast, content_key, stored
 MIN_CHARS = 24
 #: Most documents that hold a rare line.
 RARE = 32
-SALTS = 16
+#: About so many of the pairs that name one partner read one copy of its lines.
+SHARE = 64
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -108,14 +110,21 @@ def line_rows(docs: DataFrame) -> DataFrame:
 
 def nominations(lines: DataFrame) -> DataFrame:
     """(doc_id, key, partner): the earlier documents to align with."""
-    each = lines.select("doc_id", "key", F.explode("lines").alias("line")).where("line.counts")
+    each = lines.select("doc_id", "key", F.explode("lines").alias("line")).where("line.counts").select(
+        "doc_id", "key", F.col("line.h").alias("h")
+    )
     held = stored(  # so that the join back has an exchange on both sides and frequent lines can be split
-        each.groupBy(F.col("line.h").alias("h"), "doc_id").agg(F.lit(1).alias("one"))
-        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1").drop("df"),
+        each.groupBy("h", "doc_id").agg(F.lit(1).alias("one"))
+        .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"),
         "lines-held",
     )
-    shared = each.select("doc_id", "key", F.col("line.h").alias("h")).join(held, "h").where("first < doc_id")
-    return shared.select("doc_id", "key", F.col("first").alias("partner")).distinct()
+    shared = stored(each.join(held, "h").distinct(), "lines-shared")
+    rare = shared.where(F.col("df") <= RARE)
+    holders = rare.groupBy("h").agg(F.collect_set("doc_id").alias("holders"))  # at most RARE each
+    earlier = F.filter("holders", lambda p: p < F.col("doc_id"))
+    some = rare.where("first < doc_id").join(holders, "h").select("doc_id", "key", F.explode(earlier).alias("partner"))
+    often = shared.where((F.col("df") > RARE) & (F.col("first") < F.col("doc_id"))).select("doc_id", "key", F.col("first").alias("partner"))
+    return some.union(often).distinct()
 
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +145,13 @@ def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deletions(docs: DataFrame) -> DataFrame:
     """(doc_id, key, gone): positions of the lines to delete, from 0."""
     lines = stored(line_rows(docs).distinct(), "lines-hashes")
-    named = nominations(lines)
-    # Many documents may name one partner: its lines are dealt out under every salt.
-    salted = named.withColumn("salt", F.pmod("doc_id", F.lit(SALTS)))
-    partners = named.select("partner").distinct()
+    named = stored(nominations(lines), "lines-pairs")
+    # Many documents may name one partner: its lines are dealt out under as many salts as its pairs need.
+    sizes = stored(named.groupBy("partner").agg(F.ceil(F.count("*") / SHARE).alias("salts")), "lines-partners")
+    salted = named.join(sizes, "partner").withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), "salts")).drop("salts")
     others = (
-        lines.select(F.col("doc_id").alias("partner"), F.col("lines.h").alias("theirs")).join(partners, "partner")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        lines.select(F.col("doc_id").alias("partner"), F.col("lines.h").alias("theirs")).join(sizes, "partner")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))).drop("salts")
     )
     pairs = salted.join(others, ["partner", "salt"]).join(lines, ["doc_id", "key"])
     key = lines.schema["key"].dataType.simpleString()

@@ -30,3 +30,11 @@ def test_frequent_line_beside_another_shared_line(spark):
     want = all_pairs(texts)
     assert removed(spark, texts) == want
     assert want[51] == 2
+
+
+def test_overlap_with_a_later_holder(spark):
+    a, b = "the first of two lines that stand in three documents", "the second of two lines that stand in three documents"
+    texts = {1: f"{a}\nbetween them in document 1\n{b}", 2: f"before them in document 2\n{b}\n{a}", 3: f"{b}\n{a}\nbehind them in document 3"}
+    want = all_pairs(texts)
+    assert removed(spark, texts) == want
+    assert want == {1: 0, 2: 1, 3: 2}
