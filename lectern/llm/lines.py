@@ -4,8 +4,8 @@ Documents are paired with the earlier ones they overlap by shared lines: a rare
 by at most ``RARE`` documents) names every earlier document that holds it, a frequent one
 the first, so that a document has at most ``RARE`` - 1 partners for each of its shared
 lines. Each pair is aligned by patience diff over line hashes, and the blocks of
-the alignment that hold a counted line are deleted from the later document. All is judged
-on the input.
+the alignment that hold a line that is not blank are deleted from the later document. All
+is judged on the input.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import checked_broadcast, content_key, stored
+from lectern.llm.common import GAPS, checked_broadcast, content_key, stored
 
-#: A line counts as evidence from so many code points on (without white space around it).
-MIN_CHARS = 24
+#: A line counts as evidence from so many code points on (without white space around it): every line that is not blank.
+MIN_CHARS = 1
 #: Most documents that hold a rare line.
 RARE = 32
 #: About so many of the pairs that name one partner read one copy of its lines.
@@ -101,7 +101,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     line = lambda x: F.struct(
-        F.xxhash64(F.btrim(x)).alias("h"), (F.length(F.btrim(x)) >= MIN_CHARS).alias("counts")
+        F.xxhash64(F.btrim(x)).alias("h"), (F.length(F.btrim(x, F.lit(GAPS))) >= MIN_CHARS).alias("counts")
     )
     return rows.select(
         "doc_id", content_key(F.col("text")).alias("key"), F.transform(F.split("text", "\n", -1), line).alias("lines")
@@ -118,7 +118,7 @@ def nominations(lines: DataFrame) -> DataFrame:
         .groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1"),
         "lines-held",
     )
-    shared = stored(each.join(held, "h").distinct(), "lines-shared")
+    shared = stored(each.join(held, "h"), "lines-shared")
     rare = shared.where(F.col("df") <= RARE)
     holders = rare.groupBy("h").agg(F.collect_set("doc_id").alias("holders"))  # at most RARE each
     earlier = F.filter("holders", lambda p: p < F.col("doc_id"))

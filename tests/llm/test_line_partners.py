@@ -6,7 +6,7 @@ from lectern.llm import lines
 def all_pairs(texts):
     """{id: number of deleted lines} where each document is aligned with every earlier one that shares a line with it."""
     split = {i: [x.strip(" ") for x in t.split("\n")] for i, t in texts.items()}
-    counted = {i: {x for x in ls if len(x) >= lines.MIN_CHARS} for i, ls in split.items()}
+    counted = {i: {x for x in ls if len(x.strip()) >= lines.MIN_CHARS} for i, ls in split.items()}
     out = {}
     for i, ls in split.items():
         gone = set()
@@ -38,3 +38,11 @@ def test_overlap_with_a_later_holder(spark):
     want = all_pairs(texts)
     assert removed(spark, texts) == want
     assert want == {1: 0, 2: 1, 3: 2}
+
+
+def test_short_lines(spark):
+    verse = "one\ntwo\n\nthree\nall rights reserved."
+    texts = {1: f"{verse}\nthe end of document 1 and of no other", 2: f"a head of document 2 and of no other\n{verse}", 3: "\n \t\nthree", 4: "\n \t\n"}
+    want = all_pairs(texts)
+    assert removed(spark, texts) == want
+    assert want[2] == 5 and want[3] == 1 and want[4] == 0
