@@ -179,11 +179,20 @@ class Tree:
         overlap = int(np.bitwise_count(bits[i] & bits[j]).sum()) + min(spare[i], spare[j])
         return (100 + percent) * min(overlap, high[i], high[j]) >= percent * (low[i] + low[j])
 
-    def leaf_pairs(self, percent: int) -> Iterator[tuple[int, int]]:
-        """Dual traversal from the root, down to the pairs of leaves that are left."""
+    def leaf_pairs(self, percent: int, roots: Roots) -> Iterator[tuple[int, int]]:
+        """Dual traversal from the root, down to the pairs of leaves that are left; pairs of nodes inside one component are not."""
+        least = most = np.array([roots.find(k) for k in self.names])
+        whole = []  # a member of the component that holds the whole node, or -1
+        for _ in self.levels:
+            cut = np.arange(0, len(least), LEAF)
+            least, most = np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
+            whole.append(np.where(least == most, least, -1))
         work = [(len(self.levels) - 1, 0, 0)]
         while work:
             level, i, j = work.pop()
+            x, y = whole[level][i], whole[level][j]
+            if x >= 0 and y >= 0 and roots.find(x) == roots.find(y):
+                continue
             if i != j and not self.may(level, i, j, percent):
                 continue
             if not level:
@@ -197,7 +206,7 @@ class Tree:
     def pairs(self, percent: int, roots: Roots) -> Iterator[tuple[int, int]]:
         """Pairs of sets in different components that the bitmaps do not rule out."""
         n, total = self.n, len(self.n)
-        for x, y in self.leaf_pairs(percent):
+        for x, y in self.leaf_pairs(percent, roots):
             i = np.arange(x * LEAF, min(total, (x + 1) * LEAF))
             j = np.arange(y * LEAF, min(total, (y + 1) * LEAF))
             apart = np.array([roots.find(k) for k in self.names[i]])[:, None] != np.array([roots.find(k) for k in self.names[j]])
@@ -317,8 +326,8 @@ def parts(members: DataFrame, wide: bool) -> DataFrame:
     """Add ``part``: blocks of more than ``BLOCK`` sets are dealt out.
 
     The members of the block's smallest component are its lead; they are connected with one another. Where
-    ``wide``, every pair with one that is not in the lead meets in some part; else each part has the lead and
-    its own share of the others, which is linear and leaves the rest to the next round.
+    ``wide``, every pair with one that is not in the lead meets in some part; else each part has a share of the
+    lead and one of the others, which is linear and leaves the rest to the next round.
     """
     lead = F.col("comp") == F.col("least")
     sizes = (
@@ -337,7 +346,7 @@ def parts(members: DataFrame, wide: bool) -> DataFrame:
         with_rest = F.transform(upto(kr), lambda j: F.least(own, j) * span + F.greatest(own, j))
         dealt = F.when(lead, of_lead).otherwise(F.concat(with_lead, with_rest))
     else:
-        dealt = F.when(lead, upto(kr)).otherwise(F.array(own))
+        dealt = F.sequence(own, F.greatest(kl, kr) - 1, F.when(lead, kl).otherwise(kr))
     one = F.array(F.lit(0).cast("bigint"))
     return joined.withColumn("part", F.explode(F.when(F.col("lead_n").isNull(), one).otherwise(dealt))).drop("lead_n", "rest_n")
 
