@@ -154,3 +154,35 @@ def op10_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.ngrams import joined
 
     return joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds unrolled: a{r} assigns every vector, c{r} are the centroids after it."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INT) AS c, x FROM v QUALIFY c < {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, v.x, c, CAST({distance} AS BIGINT) AS d FROM v, c{r} AS c"
+            " QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)"
+        )
+        if r < rounds:
+            parts.append(
+                f"s{r} AS MATERIALIZED (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{r} LEFT JOIN "
+                f"(SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{r} GROUP BY c) USING (c))"
+            )
+    return (
+        f"WITH {', '.join(parts)} SELECT vec_id, c AS \"cluster\", d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} AS k USING (c)"
+    )
+
+
+@query("op13_centroids", _cluster_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.centroids import clustered, with_inertia
+
+    return with_inertia(*clustered(table(spark, sf_dir, "embeddings")))
