@@ -63,8 +63,8 @@ def crc_mod(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[slice]:
-    """Consecutive runs of texts of about ``limit`` characters; a longer text is alone."""
+def chunks(texts: list[str | bytes | None], limit: int = CHUNK) -> Iterator[slice]:
+    """Consecutive runs of texts of about ``limit`` characters (or bytes); a longer text is alone."""
     first = size = 0
     for i, text in enumerate(texts):
         n = len(text or "")
@@ -106,8 +106,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """Words of a chunk of texts: byte spans in ``raw`` and the text each belongs to."""
 
-    def __init__(self, texts: list[str | None], lower_ascii: bool = False):
-        parts = [(t or "").encode("utf-8", "replace") for t in texts]
+    def __init__(self, texts: list[str | bytes | None], lower_ascii: bool = False):
+        parts = [t if isinstance(t, bytes) else (t or "").encode("utf-8", "replace") for t in texts]
         self.raw = b" ".join(parts) + b" "
         b = np.frombuffer(self.raw, np.uint8)
         if lower_ascii:

@@ -186,3 +186,57 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.centroids import clustered, with_inertia
 
     return with_inertia(*clustered(table(spark, sf_dir, "embeddings")))
+
+
+@query(
+    "op12_decontamination",
+    r"""WITH t AS (SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), text FROM benchmark),
+    w AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+    i AS (SELECT id AS item, least(len(w), 10) AS n, w FROM w WHERE kind = 'i' AND len(w) > 0),
+    k AS (SELECT DISTINCT item, n, array_to_string(w[s:s+n-1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM i)),
+    d AS (SELECT CAST(id AS BIGINT) AS doc_id, w FROM w WHERE kind = 'd'),
+    o AS (SELECT doc_id, n, s, array_to_string(w[s:s+n-1], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+    h AS (SELECT doc_id, o.n, s, item FROM o JOIN k USING (k) WHERE o.n = k.n),
+    p AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+    m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (doc_id)""",
+)
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.winnow import contaminated
+
+    names = F.sort_array(F.col("items").cast("array<string>"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@query(
+    "op11_divergence",
+    r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    o AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 30),
+    v AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+    gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS t FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+    p AS (SELECT gn.lang, gn.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000 * (coalesce(n, 0) + 5)) // (t + 5 * v) AS p
+      FROM gn JOIN k ON k.lang = gn.lang JOIN v ON v.lang = gn.lang LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+    ln AS (SELECT lang, sum(n) AS t FROM c GROUP BY lang),
+    lp AS (SELECT lang, term, 1 + (1000000000 * (sum(n) + 5)) // (max(t) + 5 * max(v)) AS q FROM c JOIN ln USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS f FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+      FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+    terms AS (SELECT lang, source, 'term' AS part, term AS item, CAST(p - q AS BIGINT) AS value FROM p JOIN lp USING (lang, term) WHERE n > 0 AND p > q),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM (FROM pairs UNION ALL FROM terms))
+    SELECT * FROM r WHERE part = 'pair' OR rank <= 50""",
+)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.divergence import audited
+
+    return audited(table(spark, sf_dir, "documents"))
