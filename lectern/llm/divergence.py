@@ -201,7 +201,7 @@ _OUT = "lang string, source string, part string, item binary, value long"
 
 
 def _result(lang: list[str], source: list[str], part: str, item: list[bytes], value: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([part] * len(lang)), pa.array(item, pa.binary()), pa.array(value, pa.int64())]
+    columns = [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([part] * len(lang), pa.string()), pa.array(item, pa.binary()), pa.array(value, pa.int64())]
     return pa.RecordBatch.from_arrays(columns, ["lang", "source", "part", "item", "value"])
 
 

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from lectern.llm.common import OTHER_BASE, Words, checked_broadcast, chunks, content_key, mix, stored, window_hashes
 from lectern.llm.passages import sliding_argmin
@@ -40,7 +40,9 @@ LENGTH = 10
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Bits of one row of the bitmap while it is built.
 BUCKET = 1 << 15
-_FOUND = "array<struct<length: int, a: bigint, b: bigint, starts: array<int>>>"
+_FOUND = ArrayType(
+    StructType().add("length", IntegerType()).add("a", LongType()).add("b", LongType()).add("starts", ArrayType(IntegerType()))
+)
 
 
 def _word_bytes() -> bytes:

@@ -11,7 +11,7 @@ NAMES = [n for n in QUERIES if n.startswith("op")]
 
 
 def test_one_query_for_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 14))
     assert "pipeline" in QUERIES and [len(s) for s in corpus_pipeline.STAGES] == [2] * 5
 
 
