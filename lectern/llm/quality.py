@@ -10,7 +10,7 @@ them, block by block, and the nearest vote with their similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lectern.llm.common import Words, chunks, mix, powers
+from lectern.llm.common import Words, chunks, mix, powers, stored
 
 #: Most labelled rows that the model is fitted on and holds.
 SAMPLE = 8192
 DIMENSIONS = 64
+#: Most tasks that read the stored sample: each hands a (WIDTH, DIMENSIONS + 16) array to the driver.
+PARTS = 8
 NEIGHBOURS = 25
 BLOCK = 512
 #: Hashed features and weight of each block: shapes, pairs of shapes, words.
@@ -109,29 +111,82 @@ class Model:
         return np.clip(out, 0.0, 1.0)
 
 
-def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
-    """Singular vectors by subspace iteration from a fixed start; without rows every score is 0.5."""
-    if not len(labels):
-        return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
-    seen = (counts > 0).sum(axis=0)
-    idf = (np.log((1 + len(labels)) / (1 + seen)) + 1).astype(np.float32)
-    model = Model(idf, np.eye(WIDTH, 1, dtype=np.float32), np.empty(0), labels, float(labels.mean()))
-    x = model.weighted(counts)
-    rank = min(dimensions, len(labels), WIDTH)
-    axes = np.random.default_rng(7).standard_normal((WIDTH, min(rank + 16, WIDTH))).astype(np.float32)
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Blocks of rows (at, n, ...) with their counts, (rows, WIDTH)."""
+    for batch in batches:
+        for i in range(0, len(batch), BLOCK):
+            some = batch.slice(i, BLOCK)
+            counts = np.zeros((len(some), WIDTH), np.float32)
+            for row, at, n in zip(counts, some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                row[np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.float32)
+            yield some, counts
+
+
+def _summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all rows of what ``part`` makes of a block of counts; a task gives one array of ``shape``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for _, counts in _dense(batches):
+            total += part(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["part"])
+
+    total = np.zeros(shape)
+    for r in rows.select("at", "n").mapInArrow(run, "part binary").collect():  # at most PARTS
+        total += np.frombuffer(r["part"], np.float64).reshape(shape)
+    return total
+
+
+def fit(rows: DataFrame, dimensions: int = DIMENSIONS) -> Model:
+    """From the stored counts (doc_id, at, n, label) of the sample; without rows every score is 0.5.
+
+    Singular vectors by subspace iteration from a fixed start. Counts stay in the tasks: an iteration sums one
+    (WIDTH, dimensions + 16) array over them, in double precision, and the driver gets the short vectors alone.
+    """
+    known = rows.agg(F.count("*").alias("n"), F.avg((F.col("label") >= 0.5).cast("double")).alias("prior")).first()
+    if not known["n"]:
+        return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.empty(0), 0.5)
+    seen = _summed(rows, lambda counts: (counts > 0).sum(axis=0, dtype=np.float64), (WIDTH,))
+    idf = (np.log((1 + known["n"]) / (1 + seen)) + 1).astype(np.float32)
+    model = Model(idf, np.eye(WIDTH, 1, dtype=np.float32), np.empty(0), np.empty(0), known["prior"])
+    rank = min(dimensions, known["n"], WIDTH)
+    wide = min(rank + 16, WIDTH)
+    axes = np.random.default_rng(7).standard_normal((WIDTH, wide)).astype(np.float32)
     for _ in range(6):
-        axes, _ = np.linalg.qr(x.T @ (x @ axes))
-    _, _, rows = np.linalg.svd(x @ axes, full_matrices=False)
-    model.axes = np.ascontiguousarray((axes @ rows.T)[:, :rank])
-    model.vectors = model.project(counts)
+
+        def spread(counts: np.ndarray, axes: np.ndarray = axes) -> np.ndarray:
+            x = model.weighted(counts)
+            return x.T @ (x @ axes)
+
+        axes, _ = np.linalg.qr(_summed(rows, spread, (WIDTH, wide)))
+        axes = axes.astype(np.float32)
+
+    def inner(counts: np.ndarray) -> np.ndarray:
+        y = (model.weighted(counts) @ axes).astype(np.float64)
+        return y.T @ y
+
+    _, turn = np.linalg.eigh(_summed(rows, inner, (wide, wide)))
+    model.axes = np.ascontiguousarray(axes @ turn[:, ::-1].astype(np.float32))[:, :rank]
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, counts in _dense(batches):
+            vectors = [v.tobytes() for v in model.project(counts)]
+            yield pa.RecordBatch.from_arrays([some.column(2), some.column(3), pa.array(vectors, pa.binary())], ["doc_id", "label", "v"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    short = rows.select("at", "n", "doc_id", "label").mapInArrow(project, f"doc_id {kind}, label double, v binary").collect()
+    short.sort(key=lambda r: r["doc_id"])
+    model.vectors = np.stack([np.frombuffer(r["v"], np.float32) for r in short])
+    model.labels = np.array([float(r["label"] >= 0.5) for r in short])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> Model:
     """From ``labels`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
     Rows with a null id, label or text do not count; of repeated ids the labels are averaged and one
-    text is taken. The ``sample`` rows with the smallest hash of their id are used.
+    text is taken. The ``sample`` rows with the smallest hash of their id are used; they are stored as
+    counts, and of equal cosines the rows with smaller ids come first.
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("string"))
@@ -142,28 +197,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = batch.column(0).to_pylist()
+            all_ = batch.column(2).to_pylist()
             for part in chunks(all_):
                 at, n = [], []
-                for row in features(all_[part]):
-                    hit = np.flatnonzero(row)
-                    at.append(hit.astype(np.uint16).tobytes())
-                    n.append(row[hit].tobytes())
+                for texts_ in _blocks(all_[part]):
+                    for row in features(texts_):
+                        hit = np.flatnonzero(row)
+                        at.append(hit.astype(np.uint16).tobytes())
+                        n.append(row[hit].tobytes())
+                some = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.binary()), pa.array(n, pa.binary()), batch.column(1)[part.start : part.stop]], ["at", "n", "label"]
+                    [some.column(0), some.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["doc_id", "label", "at", "n"]
                 )
 
+    kind = texts.schema["doc_id"].dataType.simpleString()
     rows = (
         texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
         .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-        .select("text", "label").mapInArrow(sparse, "at binary, n binary, label double").collect()
+        .select("doc_id", "label", "text").mapInArrow(sparse, f"doc_id {kind}, label double, at binary, n binary")
     )
-    counts = np.zeros((len(rows), WIDTH), np.float32)
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.float32)
-    order = np.lexsort([*counts.T[:8], np.array([r["label"] for r in rows])]) if rows else []
-    y = np.array([float(r["label"] >= 0.5) for r in rows])
-    return fit(counts[order], y[order])
+    return fit(stored(rows, "quality-sample").coalesce(PARTS), dimensions)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

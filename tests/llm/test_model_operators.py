@@ -123,10 +123,19 @@ def test_quality_of_awkward_rows(spark):
     assert quality.classified(empty(spark), none, F.lit(True)).count() == 0
 
 
-def test_quality_votes_are_the_nearest():
+def test_quality_votes_are_the_nearest(spark):
+    """Votes against all cosines, the projection against the leading singular vectors of the whole matrix."""
     r = np.random.default_rng(4)
     counts, labels = r.poisson(0.05, (300, quality.WIDTH)).astype(np.float32), (r.random(300) < 0.6).astype(float)
-    model = quality.fit(counts, labels, 16)
+    counts[:150, :200] += r.poisson(0.5, (150, 200)).astype(np.float32)
+    cells = [np.flatnonzero(c) for c in counts]
+    rows = [(i, bytearray(at.astype(np.uint16).tobytes()), bytearray(c[at].tobytes()), y) for i, (at, c, y) in enumerate(zip(cells, counts, labels.tolist()))]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, at binary, n binary, label double").repartition(5), 4)
+    assert (model.labels == labels).all() and model.prior == labels.mean()
+    x = model.weighted(counts).astype(np.float64)
+    _, size, axes = np.linalg.svd(x, full_matrices=False)
+    assert np.abs(np.linalg.norm(x @ model.axes, axis=0)[0] - size[0]) < 1e-2 * size[0]
+    assert abs(axes[0] @ model.axes[:, 0]) > 0.999
     new = r.poisson(0.05, (700, quality.WIDTH)).astype(np.float32)
     cosines = model.project(new) @ model.vectors.T
     near = np.argsort(-cosines, axis=1)[:, : quality.NEIGHBOURS]
