@@ -11,14 +11,18 @@ largest possible overlap cannot reach the threshold. What is left is counted exa
 Pairs that are already connected need no link, which keeps groups of near copies
 linear: in each of the first rounds a set is in one block alone, by the prefix shingle
 with the least hash of that round; the last round looks at all prefix shingles, but only
-into blocks that still hold several components, once for each distinct membership. Sets
-are fetched only for members that the bitmaps do not rule out, once for blocks that
+into blocks that still hold several components, once for each distinct membership. Links
+are between components; a round hands its links on to the labels in two steps, which need
+not be all there are, since equal labels only save work. Components are completed once,
+before the last round, and its links, of components alone, are completed by themselves.
+Sets are fetched only for members that the bitmaps do not rule out, once for blocks that
 overlap. A block of more than ``BLOCK`` sets is dealt out as pairs of parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -303,22 +307,25 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
 
 def links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components inside each block; exact counts decide."""
+    """Links (a, b) of components that meet inside a block, the least of them (a) with each other one; exact counts decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups_of(batches, 2):
             sets = [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
             n = np.array([len(x) for x in sets], np.int64)
-            node = t["node"].to_numpy()
-            roots, out = Roots(t["comp"].to_pylist()), []
+            comp = t["comp"].to_pylist()
+            roots, least = Roots(comp), {}
             for a, b in possible_pairs(n, [bitmap(x) for x in sets], percent, roots):
                 if roots.find(a) != roots.find(b) and linked(sets[a], sets[b], percent):
                     roots.join(a, b)
-                    out.append((node[a], node[b]))
+            for i, c in enumerate(comp):
+                root = roots.find(i)
+                least[root] = min(least.get(root, c), c)
+            out = {(a, c) for i, c in enumerate(comp) if (a := least[roots.find(i)]) != c}
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*sorted(out))], ["a", "b"])
 
-    rows = members.select("block", "part", "cls", "node", "comp", "tokens")
+    rows = members.select("block", "part", "cls", "comp", "tokens")
     return rows.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(run, "a long, b long")
 
 
@@ -351,8 +358,16 @@ def parts(members: DataFrame, wide: bool) -> DataFrame:
     return joined.withColumn("part", F.explode(F.when(F.col("lead_n").isNull(), one).otherwise(dealt))).drop("lead_n", "rest_n")
 
 
-def stars(found: DataFrame) -> DataFrame:
-    return found.select(F.col("component").alias("a"), F.col("node").alias("b"))
+def relabelled(found: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, component) after links (a, b) of components, a < b: each b takes its least a, and that one's in turn; stored.
+
+    Nodes with one component are connected; that connected nodes have one is for ``components``.
+    """
+    up = more.groupBy("b").agg(F.min("a").alias("m"))
+    far = up.join(up.select(F.col("b").alias("m"), F.col("m").alias("next")), "m", "left").select("b", F.coalesce("next", "m").alias("m"))
+    moved = found.join(far.withColumnRenamed("b", "component"), "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    new = far.select(F.col("b").alias("node"), F.col("m").alias("component"))
+    return stored(moved.union(new).groupBy("node").agg(F.min("component").alias("component")), "ngrams-labels")
 
 
 def once_each(members: DataFrame) -> DataFrame:
@@ -365,20 +380,22 @@ def once_each(members: DataFrame) -> DataFrame:
 
 
 def put_together(members: DataFrame) -> DataFrame:
-    """Blocks that overlap become one, so that a set is fetched once: the members that hang together over blocks.
+    """Blocks that overlap become one, so that a set is fetched once.
 
-    Where more than ``BLOCK`` sets hang together their own blocks stay.
+    Members take the least node of their blocks, and of the blocks of these, and once more. Blocks whose members
+    then agree go together, where these are ``BLOCK`` sets at most; the others stay.
     """
-    ends = members.groupBy("block", "part").agg(F.min("node").alias("a"))
-    edges = members.join(ends, ["block", "part"]).select("a", F.col("node").alias("b"))
-    found = components(edges, "ngrams-overlaps")
-    named = members.join(checked_broadcast(found), "node", "left").withColumn("whole", F.coalesce("component", "node"))
-    sizes = named.groupBy("whole").agg(F.count_distinct("cls").alias("m"))
-    sized = stored(named.join(sizes, "whole").select(*members.columns, "whole", "m"), "ngrams-sized")
-    small = sized.where(F.col("m") <= BLOCK).select(
-        F.col("whole").alias("block"), F.lit(-1).cast("bigint").alias("part"), "cls", "node", "comp"
-    )
-    return stored(small.distinct().union(once_each(sized.where(F.col("m") > BLOCK).select(*members.columns))), "ngrams-together")
+    label = members.select("node", F.col("node").alias("whole")).distinct()
+    for _ in range(3):
+        ends = members.select("block", "part", "node").join(label, "node").groupBy("block", "part").agg(F.min("whole").alias("whole"))
+        label = stored(members.select("block", "part", "node").join(ends, ["block", "part"]).groupBy("node").agg(F.min("whole").alias("whole")), "ngrams-overlaps")
+    named = members.join(label, "node")
+    agreed = named.groupBy("block", "part").agg(F.min("whole").alias("least"), F.max("whole").alias("most"))
+    named = stored(named.join(agreed, ["block", "part"]).withColumn("one", F.col("least") == F.col("most")).drop("least", "most"), "ngrams-sized")
+    sizes = named.where("one").groupBy("whole").agg(F.count_distinct("cls").alias("m"))
+    sized = named.join(sizes, "whole", "left").withColumn("one", F.col("one") & (F.col("m") <= BLOCK))
+    small = sized.where("one").select(F.col("whole").alias("block"), F.lit(-1).cast("bigint").alias("part"), "cls", "node", "comp")
+    return stored(small.distinct().union(once_each(sized.where("not one").select(*members.columns))), "ngrams-together")
 
 
 def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -408,13 +425,15 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
         left = stored(survivors(dealt, percent), "ngrams-survivors")
         return links(with_sets(docs, put_together(left) if wide else left, size), percent)
 
-    found = components(same, "ngrams-components")
+    found = stored(same.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "ngrams-labels")
+    edges = [same]
     for r in range(ROUNDS):
         one = F.array_min(F.transform("prefix", lambda t: F.xxhash64(t, F.lit(r)))).alias("block")  # noqa: B023
         heads = labelled(found).select(one, "cls", "node", "comp", "n", "bits")
         met = heads.groupBy("block").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-        more = linked_in(heads.join(met.drop("most"), "block"), False)
-        found = components(more.union(stars(found)), "ngrams-components")
+        edges.append(stored(linked_in(heads.join(met.drop("most"), "block"), False), "ngrams-links"))
+        found = relabelled(found, edges[-1])
+    found = components(reduce(DataFrame.union, edges), "ngrams-components")
 
     last = labelled(found)
     keys = last.select(F.explode("prefix").alias("block"), "cls", "comp")
@@ -429,10 +448,13 @@ def joined(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     chosen = stored(mixed.select("block", "least"), "ngrams-blocks")
     held = stored(keys.select("block", "cls").join(checked_broadcast(chosen), "block"), "ngrams-held")
     more = linked_in(held.join(last.select("cls", "node", "comp", "n", "bits"), "cls"), True)
-    final = components(more.union(stars(found)), "ngrams-components")
-    return signed.select("doc_id", F.col("n").alias("n_shingles")).join(
-        final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    final = components(more, "ngrams-components").select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return (
+        signed.select("doc_id", F.col("n").alias("n_shingles"))
+        .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .withColumn("component", F.coalesce("component", "doc_id")).join(final, "component", "left")
+        .select("doc_id", "n_shingles", F.coalesce("further", "component").alias("component_id"))
+    )
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
