@@ -124,29 +124,23 @@ def rule_counts(text):
     return len(w), sum(map(len, w)), symbols, len(full) - len(set(full)), len(covered)
 
 
-def line_deletions(docs, align, blocks, min_chars, rare):
-    """{id: set of deleted positions} by the definition of partners, over texts by distinct id."""
+def line_deletions(docs, align, blocks, min_chars, rare=None):
+    """{id: set of deleted positions} over texts by distinct id: each document against every earlier one that shares a line with it.
+
+    With ``rare`` a line that more documents hold names the first of these alone.
+    """
     split = {i: [x.strip(" ") for x in t.split("\n")] for i, t in docs.items() if t is not None}
-    holders = defaultdict(set)
-    for i, ls in split.items():
-        for x in ls:
-            if len(x) >= min_chars:
-                holders[x].add(i)
+    counted = {i: {x for x in ls if len(x.strip(" \t\n\v\f\r")) >= min_chars} for i, ls in split.items()}
+    holders = defaultdict(list)
+    for i in sorted(split):
+        for x in counted[i]:
+            holders[x].append(i)
     out = {}
     for i, ls in split.items():
-        runs, last = [], -2
-        for k, x in enumerate(ls):
-            if len(holders.get(x, ())) > 1 and min(holders[x]) < i:
-                runs.append([]) if k != last + 1 else None
-                runs[-1].append((len(holders[x]), k, min(holders[x])))
-                last = k
-        partners = set()
-        for run in runs:
-            partners |= {p for df, _, p in run if df <= rare} or {min(run)[2]}
-        gone = set()
-        for p in partners:
+        named = [h if rare is None or len(h) <= rare else h[:1] for h in (holders[x] for x in counted[i])]
+        out[i] = set()
+        for p in {p for h in named for p in h if p < i}:
             for a, b in blocks(align(ls, split[p])):
-                if any(len(x) >= min_chars for x in ls[a:b]):
-                    gone.update(range(a, b))
-        out[i] = gone
+                if any(x in counted[i] for x in ls[a:b]):
+                    out[i].update(range(a, b))
     return out

@@ -103,7 +103,7 @@ def test_line_dedup(spark):
     assert got.columns == [c for c in docs.columns if c != "lines_total"] + ["lines_total", "lines_removed"]
     kept = by_id(got, "lines_total", "lines_removed", "text")
     texts = brute.texts()
-    want = brute.line_deletions(texts, lines.patience, lines.blocks, lines.MIN_CHARS, lines.RARE)
+    want = brute.line_deletions(texts, lines.patience, lines.blocks, lines.MIN_CHARS)
     for i, gone in want.items():
         before = texts[i].split("\n")
         left = "\n".join(x for k, x in enumerate(before) if k not in gone)
