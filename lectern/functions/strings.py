@@ -35,6 +35,41 @@ def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def scan(
+    items: Column, start: Column, kind: str, step: Callable[[Column, Column], Column], value: Callable[[Column, Column], Column]
+) -> Column:
+    """Walk an array with a state, by ``step`` of state and item; the ``value`` of each next state and item, nulls left out.
+
+    Appending copies an array, so the walk goes in slices as long as the root of the array: values, of type
+    ``kind``, are appended to their slice's array, and that to the array of slices.
+    """
+
+    def inside(state: Column, part: Column) -> Column:
+        def one(at: Column, item: Column) -> Column:
+            grown = lambda v: F.when(v.isNotNull(), F.array_append(at["out"], v)).otherwise(at["out"])
+            return bind(
+                step(at["state"], item), lambda now: F.struct(now.alias("state"), bind(value(now, item), grown).alias("out"))
+            )
+
+        return F.aggregate(part, F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out")), one)
+
+    def walk(all_items: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(all_items))).cast("int"), F.lit(1))
+        first = F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), width)
+        parts = F.transform(first, lambda i: F.slice(all_items, i, width))
+        return F.aggregate(
+            parts,
+            F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+            lambda at, part: bind(
+                inside(at["state"], part),
+                lambda r: F.struct(r["state"].alias("state"), F.array_append(at["out"], r["out"]).alias("out")),
+            ),
+            lambda at: F.flatten(at["out"]),
+        )
+
+    return bind(items, walk)
+
+
 SEPARATOR = "\x1e"
 
 

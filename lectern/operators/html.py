@@ -13,7 +13,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lectern.functions.strings import bind, blank_to_null, regex_split, regex_transform, strip
+from lectern.functions.strings import bind, blank_to_null, regex_split, regex_transform, scan, strip
 from lectern.operators.fold import chapter_title, fold_array
 
 # ---------------------------------------------------------------- fixed values
@@ -59,18 +59,15 @@ def _outside(html: Column, names: str) -> Column:
     pieces = F.split(F.regexp_replace(html, rf"(?i)<(?=/?(?:{names})\b)", CUT + "<"), CUT, -1)
     opening, closing, single = rf"(?i)^<(?:{names})\b", rf"(?i)^</(?:{names})\b", r"^<[^>]*/>"
 
-    def walk(state: Column, piece: Column) -> Column:
+    def depth(before: Column, piece: Column) -> Column:
         step = F.when(piece.rlike(closing), -1).when(piece.rlike(opening) & ~piece.rlike(single), 1).otherwise(0)
-        depth = F.greatest(state["depth"] + step, F.lit(0))
+        return F.greatest(before + step, F.lit(0))
+
+    def rest(now: Column, piece: Column) -> Column:
         tagged = piece.rlike(opening) | piece.rlike(closing)
-        rest = F.when(tagged, F.regexp_replace(piece, "^<[^>]*>?", "")).otherwise(piece)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(depth == 0, F.array_append(state["kept"], rest)).otherwise(state["kept"]).alias("kept"),
-        )
+        return F.when(now == 0, F.when(tagged, F.regexp_replace(piece, "^<[^>]*>?", "")).otherwise(piece))
 
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("kept"))
-    return F.aggregate(pieces, start, walk, lambda s: F.array_join(s["kept"], ""))
+    return F.array_join(scan(pieces, F.lit(0), "string", depth, rest), "")
 
 
 def unescape(text: Column) -> Column:
@@ -110,37 +107,32 @@ def blocks(html: Column, tags: list[str] = SKIPPED_TAGS) -> Column:
             inner_text(F.regexp_replace(p, "^<[^>]*>?", "")).alias("text"),
         ),
     )
-    is_text = lambda tag: tag.rlike(f"^(?:{TEXT_TAGS})$")
+    owner = lambda stack: F.try_element_at(stack, F.lit(-1))["owner"]
 
-    def walk(state: Column, piece: Column) -> Column:
-        tag, open_ = piece["tag"], state["open"]
-        top = F.try_element_at(open_, F.lit(-1))
+    def walk(open_: Column, piece: Column) -> Column:
+        """The open tags, each with the text tag that owns the text there."""
+        tag, top = piece["tag"], F.try_element_at(open_, F.lit(-1))["tag"]
         # a paragraph or heading ends where the next block begins, an item where the next item does
-        ended = top.rlike("^(?:p|h[1-6])$") | ((top == tag) & tag.isin("li", "dd", "dt"))
-        without_top = F.when(F.coalesce(ended, F.lit(False)), F.slice(open_, 1, F.size(open_) - 1)).otherwise(open_)
-        back = F.array_position(F.reverse(open_), tag).cast("int")
-        closed = F.when(back > 0, F.slice(open_, 1, F.size(open_) - back)).otherwise(open_)
-        now = F.when(tag == "", open_).when(piece["closes"], closed).otherwise(F.array_append(without_top, tag))
-        return bind(
-            now,
-            lambda now: bind(
-                F.try_element_at(F.filter(now, is_text), F.lit(-1)),
-                lambda owner: F.struct(
-                    now.alias("open"),
-                    F.when(
-                        owner.isNotNull() & (piece["text"] != ""),
-                        F.array_append(state["out"], F.struct(owner.alias("tag"), piece["text"].alias("text"))),
-                    )
-                    .otherwise(state["out"])
-                    .alias("out"),
-                ),
+        ended = F.coalesce(top.rlike("^(?:p|h[1-6])$") | ((top == tag) & tag.isin("li", "dd", "dt")), F.lit(False))
+        without_top = F.slice(open_, 1, F.size(open_) - 1)
+        opened = bind(
+            F.when(ended, without_top).otherwise(open_),
+            lambda now: F.array_append(
+                now,
+                F.struct(tag.alias("tag"), F.when(tag.rlike(f"^(?:{TEXT_TAGS})$"), tag).otherwise(owner(now)).alias("owner")),
             ),
         )
+        back = F.array_position(F.reverse(F.transform(open_, lambda o: o["tag"])), tag).cast("int")
+        inner = bind(back, lambda n: F.when(n > 0, F.slice(open_, 1, F.size(open_) - n)).otherwise(open_))
+        closed = F.when(top == tag, without_top).otherwise(inner)
+        return F.when(tag == "", open_).when(piece["closes"], closed).otherwise(opened)
 
-    start = F.struct(
-        F.array().cast("array<string>").alias("open"), F.array().cast("array<struct<tag:string,text:string>>").alias("out")
-    )
-    return F.aggregate(pieces, start, walk, lambda s: s["out"])
+    def block(now: Column, piece: Column) -> Column:
+        held = F.struct(owner(now).alias("tag"), piece["text"].alias("text"))
+        return F.when(owner(now).isNotNull() & (piece["text"] != ""), held)
+
+    nothing = F.array().cast("array<struct<tag:string,owner:string>>")
+    return scan(pieces, nothing, "struct<tag:string,text:string>", walk, block)
 
 
 def kind_of(tag: Column) -> Column:
