@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -25,6 +27,9 @@ from lectern.session import local_fallback, shared_folder
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FEED = "job_id long, ts timestamp, event_id long, status string"
+KEYS, WORKED = "cache_key string, prefix string", "cache_key string, text string"
+#: Hexadecimal digits of a key that name its folder; batches after which the keys are put together.
+PREFIX, COMPACT = 2, 16
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -80,30 +85,39 @@ def job_changes(log: DataFrame, levels: Levels) -> DataFrame:
     )
 
 
-def _change_processor(terminal: list[str]) -> StatefulProcessor:
+def _change_processor(terminal: list[str], keep_ms: int) -> StatefulProcessor:
     """Defined locally, so that it travels to executors by value."""
 
     class ChangeFeed(StatefulProcessor):
         """State of a job: its last status, and whether it has ended.
 
-        The flag of an ended job stays, so that late events remain silent.
+        An ended job sets a timer; when the watermark has passed its end by ``keep_ms`` its state goes.
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.last = handle.getValueState("last", "status string, ended boolean")
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-            status, ended = self.last.get() if self.last.exists() else (None, False)
-            out = []
-            if not ended:
-                # One micro-batch of one job, put in order; its size is set by the trigger.
-                for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-                    if ended or row.status == status:
-                        continue
-                    status, ended = row.status, row.status in terminal
-                    out.append((key[0], row.ts, row.event_id, row.status))
-                self.last.update((status, ended))
-            yield pd.DataFrame(out, columns=["job_id", "ts", "event_id", "status"])
+            before, ended = self.last.get() if self.last.exists() else (None, False)
+            seen = pd.concat(list(rows))  # of one job in one micro-batch; the trigger sets its size
+            if ended or seen.empty:
+                return
+            seen = seen.sort_values(["ts", "event_id"])[["job_id", "ts", "event_id", "status"]]
+            status = seen["status"].to_numpy(dtype=object)
+            last = np.isin(status.astype(str), terminal)
+            stop = int(last.argmax()) + 1 if last.any() else len(status)
+            status = status[:stop]
+            changed = status != np.concatenate([[before], status[:-1]])
+            self.last.update((status[-1], bool(last.any())))
+            if last.any():
+                ended_at = pd.Timestamp(seen["ts"].iloc[stop - 1])
+                self.handle.registerTimer(int(ended_at.timestamp() * 1000) + keep_ms)
+            yield seen.iloc[:stop][changed.astype(bool)]
+
+        def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+            self.last.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
@@ -111,25 +125,39 @@ def _change_processor(terminal: list[str]) -> StatefulProcessor:
     return ChangeFeed()
 
 
-def job_change_stream(log: DataFrame) -> DataFrame:
-    """Streaming form: the same rows, with one small state per job."""
-    return log.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=_change_processor(list(TERMINAL)),
-        outputStructType=FEED,
-        outputMode="Append",
-        timeMode="None",
+def job_change_stream(log: DataFrame, late: str = "1 hour", keep: timedelta = timedelta(days=1)) -> DataFrame:
+    """Streaming form: the same rows, with one small state for each job that runs or has ended of late.
+
+    The watermark follows the latest ``ts`` by ``late``; events before it are dropped. A job's state is cleared when
+    the watermark is ``keep`` beyond its end, and an event that comes later still begins the job anew.
+    """
+    columns = ["job_id", "ts", "event_id", "status"]
+    return (
+        log.select(*columns)
+        .withWatermark("ts", late)
+        .groupBy("job_id")
+        .transformWithStateInPandas(
+            statefulProcessor=_change_processor(list(TERMINAL), int(keep.total_seconds() * 1000)),
+            outputStructType=FEED,
+            outputMode="Append",
+            timeMode="EventTime",
+        )
     )
 
 
-def run_job_changes(spark: SparkSession, log: DataFrame, folder: str | None = None) -> DataFrame:
-    """Run the change feed over what is there and read its output back."""
+def run_job_changes(
+    spark: SparkSession, log: Callable[[SparkSession], DataFrame], folder: str | None = None, **expiry: Any
+) -> DataFrame:
+    """Run the change feed over what is there and read its output back.
+
+    ``log`` opens the stream in the session it is given: one of the feed's own, whose state store keeps timers.
+    """
     folder = folder or stream_folder(spark, "job-changes")
-    before = spark.conf.get(STATE_PROVIDER, None)
-    spark.conf.set(STATE_PROVIDER, ROCKSDB)
-    try:
-        run_once(job_change_stream(log), folder, "append", _keep_batches(folder))
-    finally:
-        spark.conf.set(STATE_PROVIDER, before) if before else spark.conf.unset(STATE_PROVIDER)
+    own = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    own.conf.set(STATE_PROVIDER, ROCKSDB)
+    run_once(job_change_stream(log(own), **expiry), folder, "append", _keep_batches(folder))
     return spark.read.schema(FEED).parquet(f"{folder}/data/*")
 
 
@@ -168,22 +196,53 @@ def run_intake(
 # ----------------------------------------------------------------- chunk dedupe
 
 
+def _prefix(key: Column) -> Column:
+    return F.substring(key, 1, PREFIX)
+
+
+def _write_keys(rows: DataFrame, folder: str) -> None:
+    """Keys alone, a folder for each prefix."""
+    keys = rows.select("cache_key", _prefix(F.col("cache_key")).alias("prefix"))
+    keys.repartition("prefix").write.mode("overwrite").partitionBy("prefix").parquet(folder)
+
+
+def earlier_keys(
+    spark: SparkSession, folder: str, batch_id: int, prefixes: list[str] | None = None, base: int | None = None
+) -> DataFrame:
+    """(cache_key, prefix) of all batches before ``batch_id``; only files of the ``prefixes`` are read.
+
+    Every ``COMPACT`` batches the keys of all batches before are put together (``base``), so that a prefix has one
+    folder there and one for each batch since.
+    """
+    base = batch_id // COMPACT * COMPACT if base is None else base
+    folders = [f"{folder}/keys/before={base}"] * (base > 0) + [f"{folder}/keys/batch={n}" for n in range(base, batch_id)]
+    out = spark.createDataFrame([], KEYS)
+    for one in folders:
+        keys = spark.read.schema(KEYS).option("basePath", one).parquet(one)
+        out = out.unionByName(keys if prefixes is None else keys.where(F.col("prefix").isin(prefixes)))
+    return out
+
+
 def run_dedupe(spark: SparkSession, chunks: DataFrame, known: DataFrame, folder: str | None = None) -> DataFrame:
-    """Each key is worked once over all batches: anti-join with earlier output, then once per batch.
+    """Each key is worked once over all batches: anti-join with the keys of earlier batches, then once per batch.
 
-    The output itself is the memory, so no unbounded stream state is needed. A
-    replayed batch ignores its own earlier output.
+    The keys put out are the memory, so no unbounded stream state is needed. They lie by prefix, and a batch reads
+    the prefixes that it holds. A replayed batch overwrites its own keys and output and reads those before it alone.
     """
     folder = folder or stream_folder(spark, "chunk-dedupe")
-    schema = "cache_key string, text string"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        done = known.select("cache_key")
-        if batch_id > 0:
-            earlier = session.read.schema(f"{schema}, batch int").parquet(f"{folder}/data").filter(F.col("batch") < batch_id)
-            done = done.unionByName(earlier.select("cache_key"))
-        work_list(batch, done).write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
+        if batch_id and batch_id % COMPACT == 0:
+            _write_keys(earlier_keys(session, folder, batch_id, base=batch_id - COMPACT), f"{folder}/keys/before={batch_id}")
+        batch = batch.persist()
+        try:
+            held = [r[0] for r in batch.select(_prefix(F.col("cache_key"))).distinct().collect() if r[0] is not None]  # 16 ** PREFIX at most
+            done = known.select("cache_key").unionByName(earlier_keys(session, folder, batch_id, held).select("cache_key"))
+            work_list(batch, done).write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
+        finally:
+            batch.unpersist()
+        _write_keys(session.read.schema(WORKED).parquet(f"{folder}/data/batch={batch_id}"), f"{folder}/keys/batch={batch_id}")
 
     run_once(chunks, folder, "append", write)
-    return spark.read.schema(schema).parquet(f"{folder}/data/*")
+    return spark.read.schema(WORKED).parquet(f"{folder}/data/*")
