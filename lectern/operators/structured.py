@@ -42,6 +42,59 @@ def epub_chapters(parts: DataFrame, toc: DataFrame) -> DataFrame:
     )
 
 
+def epub_metadata(entries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, title, author, language): the first Dublin Core entry of each name.
+
+    ``entries``: doc, pos, name (title, creator, language), value. ``docs``: doc, path; a book without a title has
+    the name of its file, without its extension.
+    """
+    first = lambda name: F.min_by(F.when(F.col("name") == name, F.col("value")), F.when(F.col("name") == name, F.col("pos")))
+    found = entries.groupBy("doc").agg(first("title").alias("title"), first("creator").alias("author"), first("language").alias("code"))
+    stem = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return docs.join(found, "doc", "left").select(
+        "doc", F.coalesce("title", stem).alias("title"), "author",
+        F.lower(F.substring_index(F.coalesce("code", F.lit("und")), "-", 1)).alias("language"),
+    )
+
+
+# ---------------------------------------------------------------------- rejects
+
+
+def _rejects(docs: DataFrame, error: Column) -> DataFrame:
+    return docs.select("doc", error.alias("error")).filter("error IS NOT NULL")
+
+
+def page_rejects(pages: DataFrame) -> DataFrame:
+    """Web pages (doc, html) that give no block, with the reason."""
+    return _rejects(pages, F.when(~F.coalesce(H.readable(H.blocks(F.col("html"))), F.lit(False)), F.lit("no text in any text element")))
+
+
+def spine_rejects(parts: DataFrame) -> DataFrame:
+    """Books none of whose spine items gives a block; ``parts`` as for ``epub_chapters``."""
+    told = (F.col("linear") != "no") & ~F.col("is_nav")
+    found = F.coalesce(F.when(told, H.readable(H.blocks(F.when(told, F.col("html")), H.SKIPPED_TAGS_EPUB))), F.lit(False))
+    return _rejects(parts.groupBy("doc").agg(F.max(found).alias("found")), F.when(~F.col("found"), F.lit("no text in any spine item")))
+
+
+def section_rejects(nodes: DataFrame) -> DataFrame:
+    """Books without an unnamed body, or without text in its sections; ``nodes`` as for ``fb2_chapters``."""
+    main = F.col("body_name").isNull()
+    told = F.col("tag").isin("title", "subtitle", "p", *QUOTE_TAGS) & ~((F.col("tag") == "title") & (F.col("depth") == 1))
+    found = nodes.groupBy("doc").agg(
+        F.max(main).alias("main"), F.max(main & told & (strip(F.col("text")) != "")).alias("found")
+    )
+    return _rejects(found, F.when(~F.col("main"), F.lit("no main body")).when(~F.col("found"), F.lit("no text in any section")))
+
+
+def paragraph_rejects(paras: DataFrame) -> DataFrame:
+    """Documents all of whose paragraphs (doc, text) are blank."""
+    found = paras.groupBy("doc").agg(F.max(F.coalesce(strip(F.col("text")) != "", F.lit(False))).alias("found"))
+    return _rejects(found, F.when(~F.col("found"), F.lit("no text in any paragraph")))
+
+
+# ------------------------------------------------------------------------ parts
+
+
 def pick_cover(items: DataFrame) -> DataFrame:
     """Cover item of each document: named by metadata, else by property, else an image so called.
 

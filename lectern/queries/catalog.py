@@ -495,32 +495,16 @@ def settings_upsert(spark, sf):
     return C.upsert_settings(_stored(spark, sf), _updates(spark, sf))
 
 
-@query(
-    "storage_usage",
-    "SELECT source AS area, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY 1",
-)
-def storage_usage(spark, sf):
-    files = table(spark, sf, "documents").select(
-        F.col("source").alias("area"), F.octet_length("text").cast("bigint").alias("length")
-    )
-    return C.storage_usage(files)
-
-
 @query(
     "cache_unreferenced",
     """SELECT count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT p_partkey, p_size AS size FROM part
-  WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linestatus = 'F' AND l_quantity > 49))""",
+  WHERE (p_partkey, p_size) NOT IN (SELECT (l_partkey, CAST(l_quantity AS INT)) FROM lineitem))""",
 )
 def cache_unreferenced(spark, sf):
-    """Parts stand for cached files, large finished line items for the segments that use them."""
-    cache = table(spark, sf, "part").select(
-        F.sha2(F.concat(F.lit("Part "), F.col("p_partkey")), 256).alias("cache_key"), F.col("p_size").alias("length")
-    )
-    used = (
-        table(spark, sf, "lineitem")
-        .filter((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49))
-        .select(F.sha2(F.concat(F.lit("Part "), F.col("l_partkey")), 256).alias("cache_key"))
-    )
+    """Parts stand for cached files, line items for the segments; a text names the part and its size or quantity."""
+    key = lambda part, size: F.sha2(F.concat(F.lit("Part "), part, F.lit(" x"), F.col(size).cast("int")), 256).alias("cache_key")
+    cache = table(spark, sf, "part").select(key(F.col("p_partkey"), "p_size"), F.col("p_size").alias("length"))
+    used = table(spark, sf, "lineitem").select(key(F.col("l_partkey"), "l_quantity"))
     left = C.unreferenced(cache, used)
     return left.agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 

@@ -1,11 +1,17 @@
 """Ingest queries over documents, pages and events."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.strings import strip
+from lectern.operators import catalog as C
 from lectern.operators import fold, html, language, structured
 from lectern.queries.registry import query, table, texts
 from lectern.queries.views import sql
+from lectern.session import local_fallback, shared_folder
 from lectern.sources import files as S
 from lectern.sources import model as M
 
@@ -40,21 +46,47 @@ def spaced_documents(spark, sf):
 # ----------------------------------------------------------------------- files
 
 
+#: Documents of one area that share a file, in the files that the queries write.
+SHELF = 256
+SHELVES = f"""SELECT source AS area, doc_id // {SHELF} AS shelf, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length FROM documents GROUP BY ALL"""
+
+
+def _area():
+    return F.regexp_extract("path", "/area=([^/]*)/", 1)
+
+
+def shelved(spark, sf):
+    """The documents as text files, one for each area and shelf; their folder."""
+    folder = f"{shared_folder(spark, local_fallback(spark))}/shelves-{uuid.uuid4().hex}"
+    docs = table(spark, sf, "documents").select(F.col("source").alias("area"), F.floor(F.col("doc_id") / SHELF).alias("shelf"), "text")
+    docs.repartition("area", "shelf").write.partitionBy("area", "shelf").text(folder)
+    return folder
+
+
 @query(
     "intake_limit",
-    """SELECT source AS area, count(*) FILTER (bytes <= 1048576 // 256) AS accepted, count(*) FILTER (bytes > 1048576 // 256) AS rejected
-  FROM (SELECT source, strlen(text) AS bytes FROM documents) GROUP BY 1""",
+    sql(
+        """SELECT area, count(*) FILTER (length <= 32768) AS accepted, count(*) FILTER (length > 32768) AS rejected,
+  CAST(coalesce(sum(length) FILTER (length <= 32768), 0) AS BIGINT) AS accepted_bytes, max(CASE WHEN length > 32768 THEN 'file exceeds the 0.03125MB upload limit' END) AS error FROM shelves GROUP BY 1""",
+        shelves=SHELVES,
+    ),
 )
 def intake_limit(spark, sf):
-    """Document sizes against a limit of 4 KiB (scaled so that one MiB stands for 256)."""
-    found = texts(spark, sf, "documents").select(
-        F.col("source").alias("path"), (F.octet_length("text") * 256).cast("bigint").alias("length")
-    )
-    taken, rejected = S.split_by_size(found, max_mb=1)
-    both = taken.select("path", F.lit(1).alias("ok")).unionByName(rejected.select("path", F.lit(0).alias("ok")))
-    return both.groupBy(F.col("path").alias("area")).agg(
-        F.count_if(F.col("ok") == 1).alias("accepted"), F.count_if(F.col("ok") == 0).alias("rejected")
+    """Files against a limit of 32 KiB; the accepted are read whole, the rejected not at all."""
+    taken, rejected = S.read_files(spark, shelved(spark, sf), max_mb=1 / 32)
+    both = taken.select("path", F.octet_length("content").alias("bytes"), F.lit(None).cast("string").alias("error")).unionByName(
+        rejected.select("path", F.lit(None).cast("int").alias("bytes"), "error")
     )
+    return both.groupBy(_area().alias("area")).agg(
+        F.count_if(F.col("error").isNull()).alias("accepted"), F.count("error").alias("rejected"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("bigint").alias("accepted_bytes"), F.max("error").alias("error"),
+    )
+
+
+@query("storage_usage", sql("SELECT area, count(*) AS files, CAST(sum(length) AS BIGINT) AS bytes FROM shelves GROUP BY 1", shelves=SHELVES))
+def storage_usage(spark, sf):
+    """Files and bytes of each area, without opening a file."""
+    return C.storage_usage(S.file_sizes(spark, shelved(spark, sf), _area()))
 
 
 def sniffable(spark, sf):
@@ -227,6 +259,18 @@ def catalog_sizes(spark, sf):
     )
 
 
+@query("catalog_rows", sql("SELECT doc_id, chapter_index, title, block_index, kind, sha256(text) AS text_sha256 FROM folded", lines=LINES, folded=TEXT_CHAPTERS))
+def catalog_rows(spark, sf):
+    """The persisted rows put together again by their ids: every block under its chapter and book, once."""
+    docs = spaced_documents(spark, sf).select("doc_id", fold.text_chapters(F.col("text")).alias("chapters"))
+    t = fold.catalog_tables(docs, "doc_id")
+    chapters = t["chapters"].select("book_id", "chapter_id", F.col("index").alias("chapter_index"), "title")
+    blocks = t["blocks"].dropDuplicates(["block_id"]).select(
+        "chapter_id", F.col("index").alias("block_index"), "kind", F.sha2("text", 256).alias("text_sha256")
+    )
+    return t["books"].join(chapters, "book_id").join(blocks, "chapter_id").select("doc_id", "chapter_index", "title", "block_index", "kind", "text_sha256")
+
+
 # ------------------------------------------------------------------------ html
 
 
@@ -345,6 +389,33 @@ def epub_chapters(spark, sf):
     return out.select("doc", "chapter_index", "spine_pos", "title", F.size("blocks").cast("bigint").alias("blocks"))
 
 
+_ENTRIES = """SELECT 'b' || c_nationkey AS doc, c_custkey AS pos, CASE c_mktsegment WHEN 'BUILDING' THEN 'title' WHEN 'AUTOMOBILE' THEN 'creator' WHEN 'MACHINERY' THEN 'language' ELSE 'publisher' END AS name,
+  CASE c_mktsegment WHEN 'MACHINERY' THEN CASE WHEN c_acctbal < 0 THEN 'PL' ELSE 'En-GB' END ELSE c_name END AS value FROM customer"""
+
+
+@query(
+    "epub_metadata",
+    sql(
+        """SELECT doc, coalesce(arg_min(value, pos) FILTER (name = 'title'), any_value(stem)) AS title, arg_min(value, pos) FILTER (name = 'creator') AS author,
+  lower(split_part(coalesce(arg_min(value, pos) FILTER (name = 'language'), 'und'), '-', 1)) AS language
+  FROM (SELECT 'b' || n_nationkey AS doc, n_name AS stem FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region) LEFT JOIN entries USING (doc) GROUP BY doc""",
+        entries=_ENTRIES,
+    ),
+)
+def epub_metadata(spark, sf):
+    """Customers give the entries of their nation's book; the books of regions have none."""
+    kind = F.col("c_mktsegment")
+    code = F.when(F.col("c_acctbal") < 0, "PL").otherwise("En-GB")
+    entries = table(spark, sf, "customer").select(
+        F.concat(F.lit("b"), "c_nationkey").alias("doc"), F.col("c_custkey").alias("pos"),
+        M.choose(kind, {"BUILDING": "title", "AUTOMOBILE": "creator", "MACHINERY": "language"}, "publisher").alias("name"),
+        F.when(kind == "MACHINERY", code).otherwise(F.col("c_name")).alias("value"),
+    )
+    books = lambda name, id, stem: table(spark, sf, name).select(id.alias("doc"), F.concat(F.lit("/in/"), stem, F.lit(".epub")).alias("path"))
+    docs = books("nation", F.concat(F.lit("b"), "n_nationkey"), "n_name").unionByName(books("region", F.concat(F.lit("r"), "r_regionkey"), "r_name"))
+    return structured.epub_metadata(entries, docs)
+
+
 _ITEMS = """SELECT p_brand AS doc, p_partkey AS pos, CASE p_type WHEN 'PROMO' THEN 'Cover-' ELSE 'item-' END || p_partkey AS id,
   CASE WHEN p_size > 25 THEN 'image/jpeg' ELSE 'text/css' END AS media_type,
   CASE WHEN p_type = 'SMALL' AND p_size > 45 THEN 'svg cover-image' ELSE '' END AS properties, p_type = 'LARGE' AND p_size = 50 AS is_meta_cover FROM part"""
@@ -410,14 +481,17 @@ _NODES = """SELECT doc_id AS doc, pos, CASE WHEN length(text) > 400 THEN 'notes'
     ),
 )
 def fb2_chapters(spark, sf):
+    out = structured.fb2_chapters(fb2_nodes(spark, sf), LINE_LEVELS)
+    return out.select("doc", "chapter_index", "title", "block_index", "kind", "text")
+
+
+def fb2_nodes(spark, sf):
     size = F.length("text")
     tag = F.when(size < 60, "title").when(size < 90, "subtitle").when(size < 120, "cite").when(size < 130, "image").otherwise("p")
-    nodes = lines(spark, sf).select(
+    return lines(spark, sf).select(
         F.col("doc_id").alias("doc"), "pos", "slab", F.when(size > 400, "notes").alias("body_name"),
         F.floor(F.col("pos") / 5).alias("section_no"), F.when(size < 45, 1).otherwise(2).alias("depth"), tag.alias("tag"), "text",
     )
-    out = structured.fb2_chapters(nodes, LINE_LEVELS)
-    return out.select("doc", "chapter_index", "title", "block_index", "kind", "text")
 
 
 @query(
@@ -438,6 +512,44 @@ def fb2_metadata(spark, sf):
     return c.select("c_custkey", title.alias("title"), author.alias("author"), language_.alias("language"))
 
 
+# --------------------------------------------------------------------- rejects
+
+_CUT_SQL = "contains(url, '?page=')"
+_REJECTS = f"""SELECT 'html' AS format, 'p' || page_id AS doc, 'no text in any text element' AS error FROM pages WHERE {_CUT_SQL} OR page_id NOT IN (SELECT page_id FROM b)
+  UNION ALL SELECT 'epub', doc, 'no text in any spine item' FROM (SELECT regexp_extract(url, 'https?://([^/]+)/([a-z]+)', 1) || regexp_extract(url, 'https?://([^/]+)/([a-z]+)', 2) AS doc,
+    NOT {_CUT_SQL} AND NOT (starts_with(url, 'https') AND contains(url, '#top')) AND page_id IN (SELECT page_id FROM e) AS told FROM pages) GROUP BY doc HAVING NOT bool_or(told)
+  UNION ALL SELECT 'fb2', 'd' || doc, CASE WHEN bool_and(body_name IS NOT NULL) THEN 'no main body' ELSE 'no text in any section' END FROM nodes GROUP BY doc
+    HAVING NOT bool_or(body_name IS NULL AND tag <> 'image' AND NOT (tag = 'title' AND depth = 1))
+  UNION ALL SELECT 'docx', 'd' || doc_id, 'no text in any paragraph' FROM lines GROUP BY doc_id HAVING bool_and(length(text) > 60)
+  UNION ALL SELECT 'txt', 'd' || doc_id, CASE WHEN source = 'src1' THEN 'no text encoding fits' ELSE 'contains no text' END FROM documents WHERE source IN ('src1', 'src2') OR regexp_full_match(text, '\\s*')"""
+
+
+@query("parser_rejects", sql(_REJECTS, b=_HTML_BLOCKS, e=_EPUB_BLOCKS, lines=LINES, nodes=_NODES))
+def parser_rejects(spark, sf):
+    """What each parser cannot read, with the reason: pages of a series lose their body, long lines their words, and so on."""
+    page = texts(spark, sf, "pages")
+    cut = F.when(F.col("url").contains("?page="), F.regexp_extract("html", r"(?s)^(.*?)<body", 1)).otherwise(F.col("html"))
+    host = F.concat(F.regexp_extract("url", "https?://([^/]+)/([a-z]+)", 1), F.regexp_extract("url", "https?://([^/]+)/([a-z]+)", 2))
+    parts = page.select(
+        host.alias("doc"), F.lit("yes").alias("linear"), (F.col("url").startswith("https") & F.col("url").contains("#top")).alias("is_nav"), cut.alias("html")
+    )
+    name = lambda letter, id: F.concat(F.lit(letter), id).alias("doc")
+    line = lines(spark, sf)
+    paras = line.select(name("d", "doc_id"), F.when(F.length("text") > 60, " ").otherwise(F.col("text")).alias("text"))
+    source, text = F.col("source"), F.col("text")
+    files = texts(spark, sf, "documents").select(
+        name("d", "doc_id").alias("path"), F.when(source == "src2", F.regexp_replace(text, r"\S", "")).when(source != "src1", text).alias("text")
+    )
+    found = {
+        "html": structured.page_rejects(page.select(name("p", "page_id"), cut.alias("html"))),
+        "epub": structured.spine_rejects(parts),
+        "fb2": structured.section_rejects(fb2_nodes(spark, sf).withColumn("doc", name("d", "doc"))),
+        "docx": structured.paragraph_rejects(paras),
+        "txt": S.text_rejects(files).withColumnRenamed("path", "doc"),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("format"), "doc", "error") for kind, df in found.items()])
+
+
 # -------------------------------------------------------------------- language
 
 _SAMPLES = """SELECT doc_id, lang, CASE WHEN sum(length(text)) >= 800 THEN substr(string_agg(text, ' ' ORDER BY pos), 1, 800) ELSE string_agg(text, ' ' ORDER BY pos) END AS sample

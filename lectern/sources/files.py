@@ -40,19 +40,31 @@ WIDE_ENCODINGS = [
 # ------------------------------------------------------------ end fixed values
 
 
-def read_files(spark: SparkSession, path: str, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
-    """Files within the size limit, and the rejected ones with the reason (metadata only)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return split_by_size(files, max_mb)
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files below a folder (path, modificationTime, length, content); a column that is not asked for is not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
-def split_by_size(files: DataFrame, max_mb: int = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
-    limit = max_mb * 1024 * 1024
+def read_files(spark: SparkSession, path: str, max_mb: float = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
+    """Files within the size limit, and the rejected ones with the reason.
+
+    The scan leaves out files by their length before it opens them; of rejected ones only metadata is read.
+    """
+    return split_by_size(scan_files(spark, path), max_mb)
+
+
+def split_by_size(files: DataFrame, max_mb: float = MAX_UPLOAD_MB) -> tuple[DataFrame, DataFrame]:
+    limit = int(max_mb * 1024 * 1024)
     rejected = files.filter(F.col("length") > limit).select("path", "length")
-    reason = F.lit(f"file exceeds the {max_mb}MB upload limit")
+    reason = F.lit(f"file exceeds the {max_mb:g}MB upload limit")
     return files.filter(F.col("length") <= limit), rejected.withColumn("error", reason)
 
 
+def file_sizes(spark: SparkSession, path: str, area: Column) -> DataFrame:
+    """(area, path, length) of the files below a folder, from their metadata; ``area`` is taken of the path."""
+    return scan_files(spark, path).select(area.alias("area"), "path", "length")
+
+
 def formats(spark: SparkSession, converter_available: bool = False) -> DataFrame:
     """The format dimension: one row per extension, in order of preference."""
     rows = [

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def write_documents(lines: DataFrame, path: str) -> None:
@@ -21,6 +22,15 @@ def write_documents(lines: DataFrame, path: str) -> None:
     )
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(job_id, file, at, value): the lines of written documents, by the name of their file and their place in it.
+
+    A file is a run of a job's lines, of the size of a partition; names rise with the lines.
+    """
+    files = spark.read.option("wholetext", True).text(path).select("job_id", F.col("_metadata.file_name").alias("file"), "value")
+    return files.select("job_id", "file", F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)).alias("at", "value"))
+
+
 def write_catalog(tables: dict[str, DataFrame], folder: str) -> None:
     """Each table as Parquet under its own name."""
     for name, df in tables.items():
