@@ -40,10 +40,7 @@ DE_UNITS = (
 ).split()
 DE_TENS = "- zehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
 DE_SCALES = "- tausend Million Milliarde Billion Billiarde Trillion Trilliarde Quadrillion Quadrilliarde".split()
-DE_ORDINAL_STEMS = {
-    "eins": "ers", "drei": "drit", "acht": "ach", "sieben": "sieb",
-    "ig": "igs", "ert": "erts", "end": "ends", "ion": "ions",
-}
+DE_IRREGULAR_ORDINALS = {1: "erste", 3: "dritte", 7: "siebte", 8: "achte"}
 
 PL_UNITS = (
     "zero jeden dwa trzy cztery pięć sześć siedem osiem dziewięć dziesięć jedenaście "
@@ -79,7 +76,16 @@ PL_HUNDRED_ORDINALS = (
     "- setny dwusetny trzysetny czterysetny pięćsetny sześćsetny siedemsetny osiemsetny "
     "dziewięćsetny"
 ).split()
-PL_THOUSAND_PREFIXES = ["", "", "dwu", "trzy", "cztero", "pięcio", "sześcio", "siedmio", "ośmio", "dziewięcio"]
+# First parts of compounds with a scale, as in "dwudziestopięciotysięczny".
+PL_UNIT_COMPOUNDS = (
+    "- jedno dwu trzy cztero pięcio sześcio siedmio ośmio dziewięcio dziesięcio jedenasto dwunasto "
+    "trzynasto czternasto piętnasto szesnasto siedemnasto osiemnasto dziewiętnasto"
+).split()
+PL_TEN_COMPOUNDS = (
+    "- dziesięcio dwudziesto trzydziesto czterdziesto pięćdziesięcio sześćdziesięcio siedemdziesięcio "
+    "osiemdziesięcio dziewięćdziesięcio"
+).split()
+PL_HUNDRED_COMPOUNDS = "- stu dwustu trzystu czterystu pięćset sześćset siedemset osiemset dziewięćset".split()
 
 ZH_DIGITS = "零一二三四五六七八九"
 ZH_PLACES = ["", "十", "百", "千"]
@@ -144,6 +150,10 @@ _PL_TWO_ORDINAL = _two_digits(PL_UNIT_ORDINALS, PL_TEN_ORDINALS, lambda ten, uni
 PL_THREE_ORDINAL = _three_digits(_PL_TWO_ORDINAL, lambda h: PL_HUNDREDS[h], " ")
 for _h in range(1, 10):
     PL_THREE_ORDINAL[100 * _h] = PL_HUNDRED_ORDINALS[_h]
+_PL_TWO_COMPOUND = _two_digits(PL_UNIT_COMPOUNDS, PL_TEN_COMPOUNDS, lambda ten, unit: ten + unit)
+#: What stands before a scale's adjective; one thousand, one million and so on have nothing there.
+PL_THREE_COMPOUND = ["" if n == 1 else w for n, w in enumerate(_three_digits(_PL_TWO_COMPOUND, lambda h: PL_HUNDRED_COMPOUNDS[h], ""))]
+PL_SCALE_ORDINALS = ["", "tysięczny", *(f"{one}owy" for one, _, _ in PL_SCALES[2:])]
 
 
 def _canonical(digits: Column) -> Column:
@@ -151,17 +161,17 @@ def _canonical(digits: Column) -> Column:
 
 
 def _read_groups(
-    digits: Column, scales: int, body: Callable[[Column, Column], Column], glue: str, zero: str
+    digits: Column, scales: int, body: Callable[[Column, Column], Column], glue: str, units: list[str]
 ) -> Column:
     """Join ``body(value, scale)`` of the three-digit groups; null groups are skipped.
 
-    Numbers beyond the last scale word have no name and stay as written.
+    Numbers beyond the last scale word are read digit by digit.
     """
     groups = F.regexp_extract_all(F.reverse(F.ltrim(digits, F.lit("0"))), F.lit("[0-9]{1,3}"), F.lit(0))
     words = F.transform(groups, lambda g, scale: body(F.reverse(g).cast("int"), scale))
     return (
-        F.when(F.length(digits) > 3 * scales, digits)
-        .when(digits.rlike("^0*$"), zero)
+        F.when(F.length(F.ltrim(digits, F.lit("0"))) > 3 * scales, _spell(digits, units))
+        .when(digits.rlike("^0*$"), units[0])
         .otherwise(F.array_join(F.reverse(words), glue))
     )
 
@@ -183,7 +193,7 @@ def en_cardinal(digits: Column) -> Column:
         return F.when(value > 0, F.when(scale == 0, _pick(last, value)).otherwise(
             F.concat(_pick(EN_THREE, value), _pick(scales, scale))))
 
-    joined = _read_groups(digits, len(EN_SCALES), read, ", ", EN_UNITS[0])
+    joined = _read_groups(digits, len(EN_SCALES), read, ", ", EN_UNITS)
     return F.regexp_replace(F.replace(joined, F.lit(", &"), F.lit(" and ")), "^&", "")
 
 
@@ -229,16 +239,34 @@ def de_cardinal(digits: Column) -> Column:
             .otherwise(F.concat(_pick(DE_THREE, value), _pick(several, scale)))
         )
 
-    return F.rtrim(_read_groups(digits, len(DE_SCALES), read, "", DE_UNITS[0]))
+    return F.rtrim(_read_groups(digits, len(DE_SCALES), read, "", DE_UNITS))
+
+
+_DE_UNIT_ORDINALS = [DE_IRREGULAR_ORDINALS.get(n, f"{unit}te") for n, unit in enumerate(DE_UNITS)]
 
 
 def de_ordinal(digits: Column) -> Column:
+    """Of the last number word: a unit below twenty takes -te (with four irregular ones), any other takes -ste.
+
+    A bare scale is one word with its count and without its plural ending: zweimillionste, dreimilliardste. Only
+    *hundertste*, *tausendste*, *millionste* and so on stand without a leading one.
+    """
+    number = F.ltrim(digits, F.lit("0"))
+    spelled = F.length(number) > 3 * len(DE_SCALES)
+    last = F.when(spelled, F.right(number, F.lit(1))).otherwise(F.right(number, F.lit(2))).cast("int")
+    whole_scale = number.rlike("000000$") & ~spelled
+
     def turn(words: Column) -> Column:
-        stem = words
-        for ending, change in reversed(DE_ORDINAL_STEMS.items()):
-            cut = F.regexp_replace(words, ending + "$", change)
-            stem = F.when(words.endswith(ending), cut).otherwise(stem)
-        return F.regexp_replace(F.concat(stem, F.lit("te")), "^ein(tausendste|hundertste)$", "$1")
+        unit = F.concat(F.left(words, F.length(words) - F.length(_pick(DE_UNITS, last))), _pick(_DE_UNIT_ORDINALS, last))
+        before = F.regexp_extract(words, r"^(.* )?\S+ \S+$", 1)
+        count = F.regexp_replace(F.regexp_extract(words, r"(\S+) \S+$", 1), "^eine$", F.when(before == "", "").otherwise("ein"))
+        scale = F.regexp_replace(F.regexp_extract(words, r"(\S+)$", 1), "(illi)(on|ard)(?:e|en)?$", "$1$2")
+        return (
+            F.when(number == "", "nullte")
+            .when(spelled | last.between(1, 19), unit)
+            .when(whole_scale, F.concat(before, count, scale, F.lit("ste")))
+            .otherwise(F.regexp_replace(F.concat(words, F.lit("ste")), "^ein(tausendste|hundertste)$", "$1"))
+        )
 
     return bind(F.lower(de_cardinal(digits)), turn)
 
@@ -275,22 +303,30 @@ def pl_cardinal(digits: Column) -> Column:
             .otherwise(F.concat(_pick(PL_THREE, value), F.lit(" "), name))
         )
 
-    return _read_groups(digits, len(PL_SCALES), read, " ", PL_UNITS[0])
+    return _read_groups(digits, len(PL_SCALES), read, " ", PL_UNITS)
 
 
 def pl_ordinal(digits: Column) -> Column:
-    """Ordinals: leading groups stay cardinal, the last group takes ordinal endings."""
+    """Leading groups stay cardinal; the last group that is not zero takes ordinal endings.
+
+    If that group counts thousands or a higher scale, it is one word with the scale's adjective:
+    dziesięciotysięczny, dwumilionowy. Beyond the last scale word the digits are read, the last as an ordinal.
+    """
 
     def read(d: Column) -> Column:
-        low, high = F.right(d, F.lit(3)), F.regexp_replace(d, "[0-9]{1,3}$", "")
-        prefixes = F.when(F.length(high) == 1, _pick(PL_THOUSAND_PREFIXES, high)).otherwise(
-            F.concat(pl_cardinal(high), F.lit(" "))
+        tail = F.regexp_extract(d, "((?:000)*)$", 1)
+        level = F.length(tail) / 3
+        head = F.left(d, F.length(d) - F.length(tail))
+        low, high = F.right(head, F.lit(3)), F.regexp_replace(head, "[0-9]{1,3}$", "")
+        lead = F.when(high != "", pl_cardinal(F.concat(high, F.lit("000"), tail)))
+        ending = F.when(tail == "", _pick(PL_THREE_ORDINAL, low)).otherwise(
+            F.concat(_pick(PL_THREE_COMPOUND, low), _pick(PL_SCALE_ORDINALS, level))
         )
-        lead = F.when(high != "", pl_cardinal(F.concat(high, F.lit("000"))))
+        spelled = F.concat_ws(" ", _spell(F.left(d, F.length(d) - 1), PL_UNITS), _pick(PL_UNIT_ORDINALS, F.right(d, F.lit(1))))
         return (
-            F.when(d == "0", PL_UNIT_ORDINALS[0])
-            .when(low.rlike("^0+$"), F.concat(prefixes, F.lit("tysięczny")))
-            .otherwise(F.concat_ws(" ", lead, _pick(PL_THREE_ORDINAL, low)))
+            F.when(F.length(d) > 3 * len(PL_SCALES), spelled)
+            .when(d == "0", PL_UNIT_ORDINALS[0])
+            .otherwise(F.concat_ws(" ", lead, ending))
         )
 
     return bind(_canonical(digits), read)
@@ -304,7 +340,7 @@ def zh_direct(digits: Column) -> Column:
 
 
 def zh_cardinal(number: Column) -> Column:
-    """Numerals with 十百千 and the 万/亿 groups; decimals digit by digit."""
+    """Numerals with 十百千 and the 万/亿 groups; decimals, and what is beyond these groups, digit by digit."""
 
     def place(digit: Column, back: Column) -> Column:
         # ``back`` counts from the right: 0 is the unit, 4 and 12 close 万, 8 closes 亿.
@@ -325,9 +361,8 @@ def zh_cardinal(number: Column) -> Column:
     def read(text: Column) -> Column:
         whole = _canonical(F.substring_index(text, ".", 1))
         fraction = F.when(text.contains("."), F.concat(F.lit("点"), zh_direct(F.substring_index(text, ".", -1))))
-        return F.when(F.length(whole) > ZH_MAX_DIGITS, text).otherwise(
-            F.concat(bind(whole, integer), F.coalesce(fraction, F.lit("")))
-        )
+        said = F.when(F.length(whole) > ZH_MAX_DIGITS, zh_direct(whole)).otherwise(bind(whole, integer))
+        return F.concat(said, F.coalesce(fraction, F.lit("")))
 
     return bind(number, read)
 

@@ -59,7 +59,12 @@ _PL_TABLE = _table(_two(PL_U, PL_T, "{ten} || ' ' || {unit}"), f"{words(PL_H)}[n
 _PLO_TABLE = f"""SELECT list(w ORDER BY n) FROM (SELECT n, CASE WHEN n = 0 THEN '' WHEN n % 100 = 0 THEN {words(PL_HO)}[n // 100 + 1]
     ELSE CASE WHEN n >= 100 THEN {words(PL_H)}[n // 100 + 1] || ' ' ELSE '' END || {_two(PL_UO, PL_TO, "{ten} || ' ' || {unit}")} END AS w FROM range(1000) r(n))"""
 
-NUMBER_TABLES = f"SELECT ({_EN_TABLE}) AS en, ({_DE_TABLE}) AS de, ({_PL_TABLE}) AS pl, ({_PLO_TABLE}) AS plo"
+PL_UC = "- jedno dwu trzy cztero pięcio sześcio siedmio ośmio dziewięcio dziesięcio jedenasto dwunasto trzynasto czternasto piętnasto szesnasto siedemnasto osiemnasto dziewiętnasto".split()
+PL_TC = "- dziesięcio dwudziesto trzydziesto czterdziesto pięćdziesięcio sześćdziesięcio siedemdziesięcio osiemdziesięcio dziewięćdziesięcio".split()
+PL_HC = "- stu dwustu trzystu czterystu pięćset sześćset siedemset osiemset dziewięćset".split()
+_PLC_TABLE = _table(f"CASE WHEN n = 1 THEN '' ELSE {_two(PL_UC, PL_TC, '{ten} || {unit}')} END", f"{words(PL_HC)}[n // 100 + 1]", "")
+
+NUMBER_TABLES = f"SELECT ({_EN_TABLE}) AS en, ({_DE_TABLE}) AS de, ({_PL_TABLE}) AS pl, ({_PLO_TABLE}) AS plo, ({_PLC_TABLE}) AS plc"
 
 
 def _groups(d: str) -> str:
@@ -124,12 +129,27 @@ def de_cardinal(x: str) -> str:
 
 
 def de_ordinal(x: str) -> str:
-    ends = [("eins", "ers"), ("drei", "drit"), ("acht", "ach"), ("sieben", "sieb"), ("ig", "igs"), ("ert", "erts"), ("end", "ends")]
-    cases = lambda w: " ".join(f"WHEN ends_with({w}, '{a}') THEN substr({w}, 1, length({w}) - {len(a)}) || '{b}te'" for a, b in ends)
-    return bind(
-        bind(de_cardinal(x), lambda w: f"CASE {cases(w)} ELSE {w} || 'te' END"),
-        lambda o: f"CASE {o} WHEN 'einhundertste' THEN 'hundertste' WHEN 'eintausendste' THEN 'tausendste' ELSE {o} END",
-    )
+    """Joined from the last two digits; a bare scale is rebuilt from its count."""
+    irregular = "CASE {n} WHEN 1 THEN 'erste' WHEN 3 THEN 'dritte' WHEN 7 THEN 'siebte' WHEN 8 THEN 'achte' ELSE de[{n} + 1] || 'te' END"
+    scales = "['', '', 'million', 'milliard', 'billion', 'billiard', 'trillion']"
+
+    def read(d: str) -> str:
+        n = f"CAST(right({d}, 2) AS INTEGER)"
+        lead = lambda cut: f"lower({de_cardinal(cut)})"
+        zeros = f"(length({d}) - length(rtrim({d}, '0'))) // 3"
+        head = f"left({d}, length({d}) - 3 * ({zeros}))"
+        count = f"CAST(right({head}, 3) AS INTEGER)"
+        above = f"CASE WHEN length({head}) > 3 THEN lower({de_cardinal(f'(left({head}, length({head}) - 3) || repeat(chr(48), 3 + 3 * ({zeros})))')}) || ' ' ELSE '' END"
+        first = f"CASE WHEN {count} > 1 THEN de[{count} + 1] WHEN length({head}) > 3 THEN 'ein' ELSE '' END"
+        small = f"CASE WHEN length({d}) > 2 THEN {lead(f'(left({d}, length({d}) - 2) || chr(48) || chr(48))')} ELSE '' END"
+        gap = f"CASE WHEN length({d}) > 6 AND left(right({d}, 6), 4) = '0000' THEN ' ' ELSE '' END"
+        return (
+            f"CASE WHEN {d} = '' THEN 'nullte' WHEN {n} BETWEEN 1 AND 19 THEN {small} || {gap} || {irregular.format(n=n)} "
+            f"WHEN {zeros} >= 2 THEN {above} || {first} || {scales}[{zeros} + 1] || 'ste' "
+            f"WHEN {d} IN ('100', '1000') THEN CASE {d} WHEN '100' THEN 'hundertste' ELSE 'tausendste' END ELSE {lead(d)} || 'ste' END"
+        )
+
+    return bind(f"ltrim({x}, '0')", read)
 
 
 def de_year(x: str) -> str:
@@ -160,17 +180,18 @@ def pl_cardinal(x: str) -> str:
 
 
 def pl_ordinal(x: str) -> str:
-    """Ordinals of numbers below ten thousand, which is all the queries use."""
+    """The number less its last group that is not zero, and the word of that group with its scale."""
+    scales = "['', 'tysięczny', 'milionowy', 'miliardowy', 'bilionowy', 'biliardowy', 'trylionowy']"
 
-    def read(n: str) -> str:
-        prefix = "['', 'dwu', 'trzy', 'cztero', 'pięcio', 'sześcio', 'siedmio', 'ośmio', 'dziewięcio']"
-        lead = pl_cardinal(f"CAST({n} // 1000 * 1000 AS VARCHAR)")
-        return (
-            f"CASE WHEN {n} = 0 THEN 'zerowy' WHEN {n} >= 1000 AND {n} % 1000 = 0 THEN {prefix}[{n} // 1000] || 'tysięczny' "
-            f"WHEN {n} > 1000 THEN {lead} || ' ' || plo[{n} % 1000 + 1] ELSE plo[{n} + 1] END"
-        )
+    def read(d: str) -> str:
+        zeros = f"(length({d}) - length(rtrim({d}, '0'))) // 3"
+        head = f"left({d}, length({d}) - 3 * ({zeros}))"
+        last = f"CAST(right({head}, 3) AS INTEGER)"
+        lead = pl_cardinal(f"(left({head}, greatest(length({head}) - 3, 0)) || repeat(chr(48), 3 + 3 * ({zeros})))")
+        word = f"CASE WHEN {zeros} = 0 THEN plo[{last} + 1] ELSE plc[{last} + 1] || {scales}[{zeros} + 1] END"
+        return f"CASE WHEN {d} = '' THEN 'zerowy' WHEN length({head}) > 3 THEN {lead} || ' ' || {word} ELSE {word} END"
 
-    return bind(f"CAST({x} AS BIGINT)", read)
+    return bind(f"ltrim({x}, '0')", read)
 
 
 def zh_cardinal(x: str) -> str:

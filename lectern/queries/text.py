@@ -111,11 +111,12 @@ def _numbers(spark, sf):
     year = F.year("o_orderdate") - F.col("o_custkey") % 800
     return li.select(
         "o_orderkey", big.cast("string").alias("big"), (F.col("o_orderkey") % 10000).cast("string").alias("small"),
+        F.rpad((F.col("o_orderkey") % 10000).cast("string"), (4 + F.col("o_custkey") % 12).cast("int"), F.lit("0")).alias("round"),
         year.cast("string").alias("year"), F.concat(F.floor("o_totalprice"), F.lit("."), F.col("o_orderkey") % 1000).alias("amount"),
     )
 
 
-_NUMBERS = """SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_custkey AS VARCHAR) AS big, CAST(o_orderkey % 10000 AS VARCHAR) AS small,
+_NUMBERS = """SELECT o_orderkey, CAST(o_orderkey * o_orderkey * o_custkey AS VARCHAR) AS big, CAST(o_orderkey % 10000 AS VARCHAR) AS small, rpad(CAST(o_orderkey % 10000 AS VARCHAR), CAST(4 + o_custkey % 12 AS INTEGER), '0') AS round,
   CAST(year(o_orderdate) - o_custkey % 800 AS VARCHAR) AS year, CAST(floor(o_totalprice) AS BIGINT) || '.' || o_orderkey % 1000 AS amount, n.* FROM orders, number_tables n"""
 
 
@@ -125,11 +126,12 @@ def _number_query(language, reader, cardinal, ordinal, year, money, currency):
     def run(spark, sf):
         return _numbers(spark, sf).select(
             "o_orderkey", reader.cardinal(F.col("big")).alias("cardinal"), reader.ordinal(F.col("small")).alias("ordinal"),
+            reader.ordinal(F.col("big")).alias("big_ordinal"), reader.ordinal(F.col("round")).alias("round_ordinal"),
             reader.year(F.col("year")).alias("year"),
             reader.money(F.col("amount"), F.lit(codes[language]), [codes[language]]).alias("money"),
         )
 
-    text = f"SELECT o_orderkey, {cardinal('big')} AS cardinal, {ordinal('small')} AS ordinal, {year('year')} AS year, {money} AS money FROM numbers"
+    text = f"SELECT o_orderkey, {cardinal('big')} AS cardinal, {ordinal('small')} AS ordinal, {ordinal('big')} AS big_ordinal, {ordinal('round')} AS round_ordinal, {year('year')} AS year, {money} AS money FROM numbers"
     query(f"number_words_{language}", sql(text, number_tables=Q.NUMBER_TABLES, numbers=_NUMBERS))(run)
 
 

@@ -96,6 +96,16 @@ NUMBERS = [
     ("en_cardinal", "0", "zero"), ("en_cardinal", "1100", "one thousand, one hundred"),
     ("en_cardinal", "4785380592391139", "four quadrillion, seven hundred and eighty-five trillion, three hundred and eighty billion, five hundred and ninety-two million, three hundred and ninety-one thousand, one hundred and thirty-nine"),
     ("en_ordinal", "1012", "one thousand and twelfth"),
+    ("pl_ordinal", "10000", "dziesięciotysięczny"), ("pl_ordinal", "25000", "dwudziestopięciotysięczny"), ("pl_ordinal", "100000", "stutysięczny"),
+    ("pl_ordinal", "1000000", "milionowy"), ("pl_ordinal", "5000000", "pięciomilionowy"), ("pl_ordinal", "2000000000", "dwumiliardowy"),
+    ("pl_ordinal", "1002000", "milion dwutysięczny"), ("pl_ordinal", "12345", "dwanaście tysięcy trzysta czterdziesty piąty"), ("pl_ordinal", "0000", "zerowy"),
+    ("de_ordinal", "1000000", "millionste"), ("de_ordinal", "2000000", "zweimillionste"), ("de_ordinal", "3000000000", "dreimilliardste"),
+    ("de_ordinal", "1001000000", "eine milliarde einmillionste"), ("de_ordinal", "1000001", "eine million erste"), ("de_ordinal", "2017", "zweitausendsiebzehnte"),
+    ("de_ordinal", "117", "einhundertsiebzehnte"), ("de_ordinal", "103", "einhundertdritte"), ("de_ordinal", "1000", "tausendste"), ("de_ordinal", "30", "dreißigste"),
+    ("de_ordinal", "0", "nullte"), ("de_ordinal", "80", "achtzigste"), ("de_ordinal", "70000", "siebzigtausendste"),
+    ("en_cardinal", "9" * 67, " ".join(["nine"] * 67)), ("en_ordinal", "1" * 67, " ".join(["one"] * 66 + ["first"])),
+    ("de_ordinal", "1" * 31, " ".join(["eins"] * 30 + ["erste"])), ("pl_ordinal", "2" * 28, " ".join(["dwa"] * 27 + ["drugi"])),
+    ("zh_cardinal", "12345678901234567.5", "一二三四五六七八九零一二三四五六七点五"),
 ]
 
 
