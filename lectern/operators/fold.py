@@ -130,31 +130,34 @@ def fold_rows(
 ) -> DataFrame:
     """Chapters of documents given as rows: adds chapter_index, title and block_index.
 
-    Rows that start a chapter are consumed; chapters without rows do not count.
+    Rows that start a chapter are consumed; chapters without rows do not count. Keys and the columns of ``levels``
+    name a row. Chapters are spans of positions: these are found from keys and ordinals alone, which are all that is
+    kept on the way; the rows meet them in one join at the end.
     """
-    opens = F.coalesce(starts, F.lit(False)).cast("bigint")
+    ordinals = [c for level in levels for c in level]
+    opens = F.coalesce(starts, F.lit(False))
+    places = rows.select(*keys, *ordinals, opens.cast("bigint").alias("__opens"))
     sums = {"__heads": F.col("__opens"), "__at": F.lit(1).cast("bigint")}
-    counted = running_sums(rows.withColumns({"__opens": opens, "__title": title}), keys, levels, sums)
-    # Read three times below; the positions of the starts alone number the chapters.
+    counted = running_sums(places, keys, levels, sums)
+    # Read three times below.
     counted = cut_lineage(counted.withColumn("__group", F.col("__heads") + F.col("__opens")).drop("__heads"))
     sizes = counted.groupBy(*keys).agg(F.count("*").alias("__rows"))
+    none = [F.lit(None).cast(counted.schema[c].dataType).alias(c) for c in ordinals]
     heads = (
         counted.filter("__opens = 1")
-        .select(*keys, "__group", F.col("__at").alias("__head"), F.col("__title").alias("title"))
-        .unionByName(
-            sizes.select(
-                *keys, F.lit(0).cast("bigint").alias("__group"), F.lit(-1).cast("bigint").alias("__head"),
-                first_title.alias("title"),
-            )
-        )
+        .select(*keys, *ordinals, "__group", F.col("__at").alias("__head"))
+        .unionByName(sizes.select(*keys, *none, F.lit(0).cast("bigint").alias("__group"), F.lit(-1).cast("bigint").alias("__head")))
         .withColumn("__slab", F.floor(F.col("__group") / 1024))
     )
     order = [["__slab"], ["__group"]]
     spans = neighbour(cut_lineage(heads), keys, order, F.col("__head"), "__next", ahead=True).join(sizes, keys)
     filled = cut_lineage(spans.filter(F.coalesce("__next", "__rows") - F.col("__head") > 1))
-    chapters = row_numbers(filled, keys, order, "chapter_index").select(
-        *keys, "__group", "__head", "title", "chapter_index"
+    titles = rows.filter(opens).select(*keys, *ordinals, title.alias("__title"))
+    chapters = row_numbers(filled, keys, order, "chapter_index").join(titles, [*keys, *ordinals], "left").select(
+        *keys, "__group", "__head", "chapter_index",
+        F.when(F.col("__group") == 0, first_title).otherwise(F.col("__title")).alias("title"),
+    )
+    placed = counted.filter("__opens = 0").join(chapters, [*keys, "__group"]).select(
+        *keys, *ordinals, "chapter_index", "title", (F.col("__at") - F.col("__head") - 1).alias("block_index")
     )
-    body = counted.filter("__opens = 0").drop("__opens", "__title")
-    placed = body.join(chapters, [*keys, "__group"])
-    return placed.withColumn("block_index", F.col("__at") - F.col("__head") - 1).drop("__group", "__at", "__head")
+    return rows.join(placed, [*keys, *ordinals])

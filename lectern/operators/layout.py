@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.strings import strip
 from lectern.operators.fold import CHAPTER_WORD, fold_rows
+from lectern.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 HEADER_ZONE, FOOTER_ZONE = 0.10, 0.90
@@ -181,9 +182,13 @@ def clean_text(text: Column) -> Column:
 
 
 def body_sizes(blocks: DataFrame) -> DataFrame:
-    """Font size with most characters in each document; the one read first wins ties."""
+    """Font size with most characters in each document; the one read first wins ties.
+
+    ``blocks`` has doc, page, page_no, max_size and text, or its number of characters (``chars``).
+    """
+    chars = F.col("chars") if "chars" in blocks.columns else F.length("text")
     sizes = blocks.groupBy("doc", F.bround("max_size").alias("size")).agg(
-        F.sum(F.length("text")).alias("chars"), F.min(F.struct("page", "page_no")).alias("first")
+        F.sum(chars).alias("chars"), F.min(F.struct("page", "page_no")).alias("first")
     )
     earliest = F.struct("chars", -F.col("first.page"), -F.col("first.page_no"))
     return sizes.groupBy("doc").agg(F.max_by("size", earliest).alias("body_size"))
@@ -270,8 +275,23 @@ def without_text(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     )
 
 
+def without_chapters(blocks: DataFrame, outline: DataFrame) -> DataFrame:
+    """Documents (blocks with ``kind``) without an outline whose blocks are headings alone, with the reason."""
+    told = blocks.join(outline.select("doc").distinct(), "doc", "left_anti").groupBy("doc").agg(F.max(F.col("kind") != "heading").alias("told"))
+    return told.filter(~F.col("told")).select("doc", F.lit("headings but no text below them").alias("error"))
+
+
+def sized_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Blocks without headers and footers, with page_no, height and body_size.
+
+    The order is kept without the text, which meets it by document, page and position.
+    """
+    read = reading_order(strip_headers_footers(blocks, pages), pages)
+    order = cut_lineage(read.select("doc", "page", "pos", "page_no", "max_size", F.length("text").alias("chars")))
+    places = order.select("doc", "page", "pos", "page_no")
+    return blocks.join(places, ["doc", "page", "pos"]).join(body_sizes(order), "doc").join(pages.select("doc", "height"), "doc")
+
+
 def prepare(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks without headers and footers, in reading order, with body size, drop caps and kinds."""
-    ordered = reading_order(strip_headers_footers(blocks, pages), pages)
-    sized = ordered.join(body_sizes(ordered), "doc").join(pages.select("doc", "height"), "doc")
-    return classify(merge_drop_cap_blocks(sized))
+    return classify(merge_drop_cap_blocks(sized_blocks(blocks, pages)))

@@ -17,8 +17,9 @@ from lectern.functions.normalize import NormalizerRegistry, default_registry
 from lectern.functions.segment import MAX_CHARS, segment_text
 from lectern.functions.strings import excerpt, word_count
 from lectern.operators.catalog import LANGUAGE_ROUTING, literal_map
-from lectern.operators.ordered import Levels, neighbour, row_numbers
+from lectern.operators.ordered import Levels, neighbour, row_numbers, running_sums
 from lectern.plans.timeline import PAUSE_CHAPTER_S, PAUSE_PARAGRAPH_S, PAUSE_SENTENCE_S
+from lectern.session import cut_lineage
 
 # ---------------------------------------------------------------- fixed values
 ENGINE_VERSIONS = {"kokoro": "kokoro-v1.0", "piper": "piper-1.8.0"}
@@ -108,17 +109,69 @@ def plan_rejects(books: DataFrame, keys: list[str], registry: NormalizerRegistry
 
 
 def chunk_plan(books: DataFrame, keys: list[str], **options) -> DataFrame:
-    """Numbered chunks of books given as (keys, language, chapters[, lexicon]).
+    """Numbered chunks of books given as (keys, language, chapters[, lexicon][, large]).
 
+    A book is planned inside its row, without a shuffle. Where ``large`` is true its blocks become rows, which are
+    dealt out; ``large`` should come of something cheap, such as the length of the text, since it splits the input.
     Books that cannot be planned are not here but in ``plan_rejects``.
     """
     books = books.filter(plan_error(options.get("registry")).isNull())
+    if "large" not in books.columns:
+        return _plan_in_rows(books, keys, **options)
+    is_large = F.coalesce("large", F.lit(False))
+    blocks = spoken_blocks(books.filter(is_large).drop("large"), keys)
+    return _plan_in_rows(books.filter(~is_large), keys, **options).unionByName(plan_of_blocks(blocks, keys, **options))
+
+
+def _plan_in_rows(books: DataFrame, keys: list[str], **options) -> DataFrame:
     lexicon = F.col("lexicon") if "lexicon" in books.columns else None
     chunks = planned_chunks(F.col("chapters"), F.col("language"), lexicon, **options)
     numbered = books.select(*keys, "language", F.posexplode(chunks).alias("segment_index", "chunk"))
     return numbered.select(*keys, "language", "segment_index", "chunk.*")
 
 
+def spoken_blocks(books: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks to read of nested books as rows: (keys, language[, lexicon], chapter_index, block_index, last_block, last_chapter, text)."""
+    carried = [*keys, "language", *(["lexicon"] if "lexicon" in books.columns else [])]
+    chapters = books.select(*carried, F.size("chapters").alias("__chapters"), F.posexplode("chapters").alias("chapter_index", "__chapter"))
+    spoken = F.filter("__chapter.blocks", lambda b: b["kind"] != "skip")
+    blocks = chapters.select(
+        *carried, "chapter_index", (F.col("chapter_index") == F.col("__chapters") - 1).alias("last_chapter"),
+        F.size(spoken).alias("__blocks"), F.posexplode(spoken).alias("block_index", "__block"),
+    )
+    return blocks.select(
+        *carried, "chapter_index", "block_index", (F.col("block_index") == F.col("__blocks") - 1).alias("last_block"), "last_chapter", "__block.text"
+    )
+
+
+def plan_of_blocks(
+    blocks: DataFrame, keys: list[str], registry: NormalizerRegistry | None = None, max_chars: int = MAX_CHARS
+) -> DataFrame:
+    """The chunk plan of books whose blocks are rows, as ``spoken_blocks`` gives them.
+
+    Each block is read by itself, so a book of any length is spread over all tasks. The chunks are kept once; their
+    numbers are running sums of the blocks' counts, over chapters and slabs of blocks, without text.
+    """
+    rules = registry or default_registry()
+    text = apply_lexicon(F.col("text"), F.col("lexicon")) if "lexicon" in blocks.columns else F.col("text")
+    place = ["chapter_index", "block_index"]
+    dealt = blocks.repartition(*keys, *place)
+    chunks = segment_text(rules.normalize(text, F.col("language")), F.col("language"), max_chars)
+    told = cut_lineage(dealt.select(*keys, "language", *place, "last_block", "last_chapter", chunks.alias("__chunks")))
+    counts = told.select(*keys, *place, F.floor(F.col("block_index") / 1024).alias("__slab"), F.size("__chunks").cast("bigint").alias("__n"))
+    levels = [["chapter_index"], ["__slab"], ["block_index"]]
+    first = running_sums(counts, keys, levels, {"__first": F.col("__n")}).select(*keys, *place, "__first")
+    each = told.join(first, [*keys, *place]).select(
+        *keys, "language", *place, "last_block", "last_chapter", "__first", F.size("__chunks").alias("__size"),
+        F.posexplode("__chunks").alias("chunk_index", "text"),
+    )
+    last = F.col("chunk_index") == F.col("__size") - 1
+    return each.select(
+        *keys, "language", (F.col("__first") + F.col("chunk_index")).cast("int").alias("segment_index"), *place, "chunk_index", "text",
+        pause_after(last, F.col("last_block"), F.col("last_chapter")).alias("pause_after_s"),
+    )
+
+
 def mark_pauses(chunks: DataFrame, book: str, levels: Levels) -> DataFrame:
     """The pause rule for chunks that arrive as rows with chapter and block ordinals.
 
@@ -165,11 +218,14 @@ def cache_status(segments: DataFrame, cache: DataFrame) -> DataFrame:
     return segments.join(known, "cache_key", "left").withColumn("cached", F.coalesce("cached", F.lit(False)))
 
 
+def requested(segments: DataFrame) -> DataFrame:
+    """Each key once, with its text. Duplicates collapse on the map side, so a key that many segments share is no hot spot."""
+    return segments.groupBy("cache_key").agg(F.min("text").alias("text"))
+
+
 def work_list(segments: DataFrame, cache: DataFrame) -> DataFrame:
-    """Each missing key once. Duplicates collapse on the map side before the anti-join,
-    so a key that many segments share is no hot spot."""
-    wanted = segments.groupBy("cache_key").agg(F.min("text").alias("text"))
-    return wanted.join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
+    """Each missing key once, with its text."""
+    return requested(segments).join(cache.select("cache_key").distinct(), "cache_key", "left_anti")
 
 
 def batches(requests: DataFrame, levels: Levels, size: int = BATCH_SIZE) -> DataFrame:
@@ -241,6 +297,50 @@ def current_state(log: DataFrame) -> DataFrame:
     )
 
 
+def _before_cancel(events: DataFrame) -> DataFrame:
+    """Events before the job's first cancellation: nothing runs from then on."""
+    order = F.struct("ts", "event_id")
+    cancels = events.where("kind = 'cancel'").groupBy("job_id").agg(F.min(order).alias("__cancel"))
+    return events.join(cancels, "job_id", "left").where(F.col("__cancel").isNull() | (order < F.col("__cancel"))).drop("__cancel")
+
+
+def stage_intervals(events: DataFrame, levels: Levels) -> DataFrame:
+    """(job_id, stage, run, started_at, progress, finished_at, status): one row for each run of a stage.
+
+    ``events``: job_id, stage, kind (start, progress, finish or cancel), progress, ts, event_id (and the columns of
+    ``levels``). A run goes from a start to the first finish, or to the next start of its stage; a finish makes its
+    progress 1. Progress outside of a run has no stage to go to. A cancelled job leaves its runs as they are, without
+    a finish; one that is cancelled before it starts has none.
+    """
+    keys = ["job_id", "stage"]
+    living = running_sums(_before_cancel(events), keys, levels, {"__starts": (F.col("kind") == "start").cast("bigint")})
+    numbered = living.withColumn("run", F.col("__starts") + (F.col("kind") == "start").cast("bigint")).where("run > 0")
+    order = F.struct("ts", "event_id")
+    ends = numbered.where("kind = 'finish'").groupBy(*keys, "run").agg(F.min(order).alias("__end"))
+    inside = numbered.join(ends, [*keys, "run"], "left").where(F.col("__end").isNull() | (order <= F.col("__end")))
+    last = F.max_by(F.when(F.col("kind") == "progress", F.col("progress")), F.when(F.col("kind") == "progress", order))
+    done = F.col("finished_at").isNotNull()
+    return (
+        inside.groupBy(*keys, "run")
+        .agg(F.min("ts").alias("started_at"), last.alias("progress"), F.first("__end.ts").alias("finished_at"))
+        .withColumn("progress", F.when(done, 1.0).otherwise(F.coalesce("progress", F.lit(0.0))))
+        .withColumn("status", F.when(done, "done").otherwise("running"))
+    )
+
+
+def job_outcomes(events: DataFrame) -> DataFrame:
+    """(job_id, status, ran): whether a job was cancelled, and whether any stage started before that."""
+    order = F.struct("ts", "event_id")
+    first = lambda kind: F.min(F.when(F.col("kind") == kind, order))
+    found = events.groupBy("job_id").agg(first("start").alias("start"), first("cancel").alias("cancel"))
+    started = F.col("start").isNotNull()
+    return found.select(
+        "job_id",
+        F.when(F.col("cancel").isNotNull(), "cancelled").when(started, "running").otherwise("queued").alias("status"),
+        F.coalesce(F.col("start") < F.col("cancel"), started).alias("ran"),
+    )
+
+
 def illegal_transitions(log: DataFrame, levels: Levels) -> DataFrame:
     """Events that leave a terminal status, or return to queued."""
     seen = neighbour(log, ["job_id"], levels, F.col("status"), "previous")

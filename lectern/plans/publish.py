@@ -55,6 +55,22 @@ def subtitle_cues(segments: DataFrame) -> DataFrame:
     )
 
 
+def numbered_cues(times: DataFrame, segments: DataFrame, levels: Levels) -> DataFrame:
+    """Cues with their number in the job (``no``, from 0): numbered by times and ordinals alone, then joined with the text.
+
+    ``times``: job_id, the columns of ``levels``, start_s, duration_s, spoken (whether there is text). ``segments``:
+    job_id, the columns of ``levels``, which name a segment, and text.
+    """
+    ordinals = ["job_id", *(c for level in levels for c in level)]
+    kept = times.filter(F.col("spoken") & F.col("start_s").isNotNull() & F.col("duration_s").isNotNull()).drop("spoken")
+    numbered = row_numbers(kept, ["job_id"], levels, "no").withColumn("end_s", F.col("start_s") + F.col("duration_s"))
+    return numbered.join(segments.select(*ordinals, strip(F.col("text")).alias("text")), ordinals)
+
+
+def _numbered(cues: DataFrame, levels: Levels) -> DataFrame:
+    return cues if "no" in cues.columns else row_numbers(cues, ["job_id"], levels, "no")
+
+
 def _without_rows(jobs: DataFrame, rows: DataFrame) -> DataFrame:
     # Distinct first: a long job then crosses the network as a few rows.
     return jobs.select("job_id").join(rows.select("job_id").distinct(), "job_id", "left_anti")
@@ -65,7 +81,7 @@ def _lines(df: DataFrame, number: Column, line: Column) -> DataFrame:
 
 
 def srt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels) -> DataFrame:
-    numbered = row_numbers(cues, ["job_id"], levels, "no")
+    numbered = _numbered(cues, levels)
     span = F.concat(srt_timestamp(F.col("start_s")), F.lit(" --> "), srt_timestamp(F.col("end_s")))
     gap = F.when(F.col("no") > 0, "\n").otherwise("")
     block = F.concat(gap, F.col("no") + 1, F.lit("\n"), span, F.lit("\n"), F.col("text"))
@@ -75,7 +91,7 @@ def srt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels) -> DataFrame:
 
 
 def vtt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels) -> DataFrame:
-    numbered = row_numbers(cues, ["job_id"], levels, "no")
+    numbered = _numbered(cues, levels)
     span = F.concat(vtt_timestamp(F.col("start_s")), F.lit(" --> "), vtt_timestamp(F.col("end_s")))
     gap = F.when(F.col("no") > 0, "\n").otherwise("")
     return (

@@ -116,10 +116,10 @@ def strip_headers_footers(spark, sf):
     return L.strip_headers_footers(blocks(spark, sf), pages(spark, sf)).select("doc", "page", "pos", "text")
 
 
-@query("column_order", sql("SELECT doc, page, pos, page_no FROM ordered", **{**_TO_ORDER, "kept": "SELECT * FROM blocks WHERE x1 - x0 < 325"}))
+@query("column_order", sql("SELECT doc, page, pos, page_no FROM ordered", **{**_TO_ORDER, "kept": "SELECT * REPLACE (least(x1, x0 + 324) AS x1) FROM blocks"}))
 def column_order(spark, sf):
-    """Pages without full-width blocks: columns alone decide."""
-    narrow = blocks(spark, sf).filter(F.col("x1") - F.col("x0") < 325)
+    """Full-width blocks made as narrow as the others: columns alone decide."""
+    narrow = blocks(spark, sf).withColumn("x1", F.least("x1", F.col("x0") + 324))
     return L.reading_order(narrow, pages(spark, sf)).select("doc", "page", "pos", "page_no")
 
 
@@ -145,17 +145,11 @@ def body_font_size(spark, sf):
 
 @query("block_drop_caps", sql("SELECT doc, page, page_no, text, max_size FROM merged", **_TO_ORDER, sizes=_SIZES, merged=_MERGED))
 def block_drop_caps(spark, sf):
-    ordered = cut_lineage(_read(spark, sf))
-    sized = ordered.join(L.body_sizes(ordered), "doc")
-    return L.merge_drop_cap_blocks(sized).select("doc", "page", "page_no", "text", "max_size")
+    return L.merge_drop_cap_blocks(L.sized_blocks(blocks(spark, sf), pages(spark, sf))).select("doc", "page", "page_no", "text", "max_size")
 
 
 def kinds(spark, sf):
-    """Prepared blocks, materialized once: later steps read them several times."""
-    p = pages(spark, sf)
-    ordered = cut_lineage(_read(spark, sf))
-    sized = ordered.join(L.body_sizes(ordered), "doc").join(p.select("doc", "height"), "doc")
-    return L.classify(L.merge_drop_cap_blocks(sized))
+    return L.prepare(blocks(spark, sf), pages(spark, sf))
 
 
 _FLAGS = """SELECT doc, page, pos, y0 >= 700 * 0.78 AND max_size <= 11.0 * 0.85 AS footnote,
@@ -231,6 +225,22 @@ def documents_without_text(spark, sf):
     return L.without_text(docs, blocks(spark, sf))
 
 
+@query(
+    "documents_without_chapters",
+    sql(
+        "SELECT doc, 'headings but no text below them' AS error FROM kinds WHERE doc NOT IN (SELECT doc FROM outline) GROUP BY doc HAVING bool_and(kind = 'heading')",
+        **{**_TO_KINDS, "blocks": f"SELECT doc * 1000 + pos // 16777216 % 1000 AS doc, * EXCLUDE (doc) FROM ({_BLOCKS})",
+           "pages": "SELECT doc, count(DISTINCT page) AS n_pages FROM blocks GROUP BY 1"}, outline=_OUTLINE,
+    ),
+)
+def documents_without_chapters(spark, sf):
+    """Documents of a few blocks each, one for an order of a supplier."""
+    small = blocks(spark, sf).withColumn("doc", F.col("doc") * 1000 + F.floor(F.col("pos") / 16777216) % 1000)
+    sizes = small.groupBy("doc").agg(F.count_distinct("page").alias("n_pages"))
+    leaves = sizes.select("doc", "n_pages", F.lit(500.0).alias("width"), F.lit(700.0).alias("height"))
+    return L.without_chapters(L.prepare(small, leaves), outline(spark, sf))
+
+
 # ----------------------------------------------------------- lines inside blocks
 
 _SIZED = "SELECT doc_id AS doc, pos // 4 AS block, pos AS line_no, CASE WHEN length(text) < 20 THEN substr(text, 1, 2) ELSE text END AS text, CASE WHEN length(text) < 20 THEN 60.0::DOUBLE / length(text) ELSE 6.0::DOUBLE END AS max_size FROM lines"

@@ -22,6 +22,7 @@ from lectern.session import cut_lineage, spread
 from lectern.sources import model as M
 
 LANGUAGES = ["en", "de"]  # of the documents that an engine can read
+LARGE_BOOK = 1_000_000  # characters, from which on a book's blocks are dealt out
 VOICES = {"en": "af_heart", "de": "de_DE-thorsten-high"}
 
 # ------------------------------------------------------------- chunks of documents
@@ -33,8 +34,9 @@ def documents(spark, sf, with_rules=True):
     Lines of one blank-free run are skip blocks, as footnotes are.
     """
     docs = spread(spaced_documents(spark, sf), "doc_id").select(
-        F.col("doc_id").alias("book_id"), F.col("lang").alias("language"), fold.text_chapters(F.col("text")).alias("chapters")
-    )
+        F.col("doc_id").alias("book_id"), F.col("lang").alias("language"), fold.text_chapters(F.col("text")).alias("chapters"),
+        (F.length("text") > LARGE_BOOK).alias("large"),
+    )
 
     def mark(block):
         return F.struct(F.when(block["text"].contains(" "), "para").otherwise("skip").alias("kind"), block["text"].alias("text"))
@@ -109,33 +111,36 @@ def segment_keys(spark, sf):
     return keyed_chunks(spark, sf).select("book_id", "segment_index", "engine", "cache_key")
 
 
-def _cached_keys(keyed):
-    """Chunks of up to 60 characters were made before."""
-    return keyed.filter(F.length("text") <= 60).select("cache_key")
+#: The cache of an earlier run, in which chunks of more than 60 characters read otherwise.
+_CACHED = "SELECT CASE WHEN length(text) <= 60 THEN cache_key ELSE sha256(cache_key || ' before') END AS cache_key FROM keyed"
+
+
+def _cached_key(short):
+    return F.when(short, F.col("cache_key")).otherwise(F.sha2(F.concat("cache_key", F.lit(" before")), 256)).alias("cache_key")
 
 
 @query(
     "cache_hits",
-    sql(
-        "SELECT book_id, segment_index, cache_key IN (SELECT cache_key FROM keyed WHERE length(text) <= 60) AS cached FROM keyed",
-        **_CHUNKS_PLAIN,
-    ),
+    sql("SELECT book_id, segment_index, cache_key IN (FROM cached) AS cached FROM keyed", **_CHUNKS_PLAIN, cached=_CACHED),
 )
 def cache_hits(spark, sf):
-    keyed = cut_lineage(keyed_chunks(spark, sf, with_rules=False))
-    return R.cache_status(keyed, _cached_keys(keyed)).select("book_id", "segment_index", "cached")
+    """Keys and positions alone are kept for the join; the text is not."""
+    keyed = keyed_chunks(spark, sf, with_rules=False)
+    keys = cut_lineage(keyed.select("book_id", "segment_index", "cache_key", (F.length("text") <= 60).alias("short")))
+    return R.cache_status(keys, keys.select(_cached_key(F.col("short")))).select("book_id", "segment_index", "cached")
 
 
 @query(
     "work_list",
     sql(
-        "SELECT cache_key, min(text) AS text FROM keyed WHERE cache_key NOT IN (SELECT cache_key FROM keyed WHERE length(text) <= 60) GROUP BY 1",
-        **_CHUNKS_PLAIN,
+        "SELECT cache_key, min(text) AS text FROM keyed WHERE cache_key NOT IN (FROM cached) GROUP BY 1",
+        **_CHUNKS_PLAIN, cached=_CACHED,
     ),
 )
 def work_list(spark, sf):
-    keyed = cut_lineage(keyed_chunks(spark, sf, with_rules=False))
-    return R.work_list(keyed, _cached_keys(keyed))
+    """Both sides read one exchange, of each key and its text."""
+    each = R.requested(keyed_chunks(spark, sf, with_rules=False))
+    return R.work_list(each, each.select(_cached_key(F.length("text") <= 60)))
 
 
 @query(
@@ -174,8 +179,8 @@ def _two_runs():
 )
 def lexicon_changes(spark, sf):
     """Two runs of the same documents, without and with their lexicon."""
-    old = cut_lineage(keyed_chunks(spark, sf, with_rules=False))
-    new = cut_lineage(keyed_chunks(spark, sf))
+    old = keyed_chunks(spark, sf, with_rules=False)
+    new = keyed_chunks(spark, sf)
     return R.run_diff(old, new, ["book_id", "segment_index"]).select("book_id", "segment_index", "change")
 
 
@@ -254,19 +259,22 @@ def job_progress(spark, sf):
 
 
 def _requests(spark, sf):
-    """Line items ask for parts; the key is the part's text."""
-    text = F.concat(F.lit("Part "), F.col("l_partkey"))
+    """Line items ask for parts; the key is that of the part's text. Large items want it once more, which nobody has made."""
+    text = F.concat(F.lit("Part "), F.col("l_partkey"), F.when(F.col("l_quantity") > 45, " again").otherwise(""))
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_suppkey", "l_partkey", text.alias("text"), F.sha2(text, 256).alias("cache_key")
     )
 
 
+def _part_key(*tail):
+    return F.sha2(F.concat(F.lit("Part "), F.col("p_partkey"), *tail), 256).alias("cache_key")
+
+
 def _results(spark, sf):
-    """Promotional parts fail, large ones have no answer yet."""
-    p = table(spark, sf, "part").filter(F.col("p_size") < 48)
+    """Promotional parts fail."""
     failed = F.col("p_type") == "PROMO"
-    return p.select(
-        F.sha2(F.concat(F.lit("Part "), F.col("p_partkey")), 256).alias("cache_key"),
+    return table(spark, sf, "part").select(
+        _part_key(),
         F.when(~failed, F.col("p_retailprice") / 100).alias("duration_s"),
         F.when(failed, F.concat(F.lit("cannot say "), F.col("p_name"))).alias("error"),
     )
@@ -274,7 +282,7 @@ def _results(spark, sf):
 
 _MERGED = """SELECT l_orderkey AS job_id, l_linenumber, l_suppkey, l_partkey, CASE WHEN p_partkey IS NULL THEN 'queued' WHEN p_type = 'PROMO' THEN 'failed' ELSE 'done' END AS status,
   CASE WHEN p_type <> 'PROMO' THEN p_retailprice / 100 END AS duration_s, CASE WHEN p_type = 'PROMO' THEN 'cannot say ' || p_name END AS error
-  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size < 48) ON p_partkey = l_partkey"""
+  FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND l_quantity <= 45"""
 
 
 def merged(spark, sf):
@@ -301,28 +309,28 @@ def failure_summary(spark, sf):
 
 @query(
     "run_diff",
-    """SELECT p_partkey, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM (
-  SELECT p_partkey, p_name || CASE WHEN p_type = 'SMALL' THEN '!' ELSE '' END AS a FROM part WHERE p_size > 3)
-  FULL JOIN (SELECT p_partkey, p_name AS b FROM part WHERE p_size < 48) USING (p_partkey)""",
+    """SELECT position, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE 'changed' END AS change FROM (
+  SELECT p_partkey AS position, p_name || CASE WHEN p_type = 'SMALL' THEN '!' ELSE '' END AS a FROM part)
+  FULL JOIN (SELECT CASE WHEN p_size >= 48 THEN -p_partkey ELSE p_partkey END AS position, p_name AS b FROM part) USING (position)""",
 )
 def run_diff(spark, sf):
-    p = table(spark, sf, "part")
-    old = p.filter("p_size > 3").select(
-        "p_partkey", F.sha2(F.concat("p_name", F.when(F.col("p_type") == "SMALL", "!").otherwise("")), 256).alias("cache_key")
+    """Large parts have moved in the new run, small ones have lost an exclamation mark."""
+    p, key = table(spark, sf, "part"), F.col("p_partkey")
+    old = p.select(
+        key.alias("position"), F.sha2(F.concat("p_name", F.when(F.col("p_type") == "SMALL", "!").otherwise("")), 256).alias("cache_key")
     )
-    new = p.filter("p_size < 48").select("p_partkey", F.sha2("p_name", 256).alias("cache_key"))
-    return R.run_diff(old, new, ["p_partkey"]).select("p_partkey", "change")
+    new = p.select(F.when(F.col("p_size") >= 48, -key).otherwise(key).alias("position"), F.sha2("p_name", 256).alias("cache_key"))
+    return R.run_diff(old, new, ["position"]).select("position", "change")
 
 
 @query(
     "reuse_report",
     """SELECT count(*) FILTER (known) AS reused, count(*) FILTER (NOT known) AS fresh FROM (
-  SELECT DISTINCT l_partkey, l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 20) AS known FROM lineitem)""",
+  SELECT DISTINCT l_partkey, l_quantity > 45 AS again, l_quantity <= 45 AND p_size < 20 AS known FROM lineitem JOIN part ON p_partkey = l_partkey)""",
 )
 def reuse_report(spark, sf):
-    old = table(spark, sf, "part").filter("p_size < 20").select(
-        F.sha2(F.concat(F.lit("Part "), F.col("p_partkey")), 256).alias("cache_key")
-    )
+    """In the old run parts of size 20 and more read otherwise."""
+    old = table(spark, sf, "part").select(_part_key(F.when(F.col("p_size") >= 20, " of old").otherwise("")))
     return R.reuse_report(old, _requests(spark, sf))
 
 
@@ -348,6 +356,55 @@ def current_job_state(spark, sf):
     return R.current_state(log(spark, sf))
 
 
+#: Of a stage's events: signups start it, purchases finish it, errors cancel the whole job; the rest is progress.
+KIND = {"signup": "start", "purchase": "finish", "error": "cancel"}
+_STAGE_EVENTS = """SELECT user_id AS job_id, event_id, ts, CASE WHEN value < 20 THEN 'prepare' WHEN value < 60 THEN 'synthesize' ELSE 'export' END AS stage,
+  CASE event_type WHEN 'signup' THEN 'start' WHEN 'purchase' THEN 'finish' WHEN 'error' THEN CASE WHEN value > 150 THEN 'cancel' ELSE 'progress' END ELSE 'progress' END AS kind,
+  least(round(value) / 500, 1.0::DOUBLE) AS progress FROM events"""
+
+
+def stage_events(spark, sf):
+    """Events as a job's stage log; only large errors cancel, so that some jobs run for long."""
+    value, kind = F.col("value"), M.choose(F.col("event_type"), KIND, "progress")
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("job_id"), "event_id", "ts", F.to_date("ts").alias("day"),
+        F.when(value < 20, "prepare").when(value < 60, "synthesize").otherwise("export").alias("stage"),
+        F.when((kind == "cancel") & (value <= 150), "progress").otherwise(kind).alias("kind"),
+        F.least(F.round("value") / 500, F.lit(1.0)).alias("progress"),
+    )
+
+
+@query(
+    "stage_intervals",
+    sql(
+        """SELECT job_id, stage, CAST(run AS BIGINT) AS run, min(ts) AS started_at, CASE WHEN bool_or(kind = 'finish') THEN 1.0::DOUBLE ELSE
+    coalesce(arg_max(progress, {'t': ts, 'e': event_id}) FILTER (kind = 'progress'), 0.0::DOUBLE) END AS progress, min(ts) FILTER (kind = 'finish') AS finished_at,
+    CASE WHEN bool_or(kind = 'finish') THEN 'done' ELSE 'running' END AS status FROM valid WHERE ended = 0 AND run > 0 GROUP BY 1, 2, 3""",
+        stage_events=_STAGE_EVENTS,
+        living="""SELECT * FROM (SELECT *, sum(CAST(kind = 'cancel' AS INTEGER)) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS cancelled FROM stage_events) WHERE cancelled = 0""",
+        runs="SELECT *, sum(CAST(kind = 'start' AS INTEGER)) OVER (PARTITION BY job_id, stage ORDER BY ts, event_id) AS run FROM living",
+        valid="""SELECT *, coalesce(sum(CAST(kind = 'finish' AS INTEGER)) OVER (PARTITION BY job_id, stage, run ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM runs""",
+    ),
+)
+def stage_intervals(spark, sf):
+    """Every run of every stage with its start, last progress and finish."""
+    return R.stage_intervals(stage_events(spark, sf), LOG_LEVELS)
+
+
+@query(
+    "job_outcomes",
+    sql(
+        """SELECT job_id, CASE WHEN cancels > 0 THEN 'cancelled' WHEN starts = 0 THEN 'queued' ELSE 'running' END AS status,
+    coalesce(first_start < first_cancel, first_start IS NOT NULL) AS ran FROM (SELECT job_id, count(*) FILTER (kind = 'cancel') AS cancels, count(*) FILTER (kind = 'start') AS starts,
+    min({'t': ts, 'e': event_id}) FILTER (kind = 'start') AS first_start, min({'t': ts, 'e': event_id}) FILTER (kind = 'cancel') AS first_cancel FROM stage_events GROUP BY 1)""",
+        stage_events=_STAGE_EVENTS,
+    ),
+)
+def job_outcomes(spark, sf):
+    """A job that is cancelled while it is queued never runs."""
+    return R.job_outcomes(stage_events(spark, sf))
+
+
 @query(
     "illegal_transitions",
     sql(

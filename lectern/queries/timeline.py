@@ -11,9 +11,10 @@ from lectern.queries.registry import query, table
 from lectern.queries.views import sql
 from lectern.session import cut_lineage, local_fallback, shared_folder
 from lectern.sources import model as M
-from lectern.sources.sinks import write_documents
+from lectern.sources.sinks import read_documents, write_documents
 
 LEVELS = [["placed_on"], ["chapter_id"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]]
+ORDINALS = [c for level in LEVELS for c in level]
 CHAPTER = ["placed_on", "chapter_id"]
 
 _TRACK = """SELECT o_custkey AS job_id, o_orderdate AS placed_on, l_orderkey AS chapter_id, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
@@ -70,8 +71,10 @@ def parted(spark, sf):
 
 
 def cues(spark, sf):
-    """Cues of the kept timeline, which numbering reads more than once."""
-    return P.subtitle_cues(cut_lineage(timed(spark, sf)))
+    """Numbered cues; of the timeline, which numbering reads more than once, times and ordinals are kept."""
+    spoken = (F.trim("text") != "").alias("spoken")
+    times = cut_lineage(timed(spark, sf).select("job_id", *ORDINALS, "start_s", "duration_s", spoken))
+    return P.numbered_cues(times, track(spark, sf), LEVELS)
 
 
 def track_jobs(spark, sf):
@@ -166,7 +169,7 @@ def part_names(spark, sf):
 
 @query("subtitle_cues", sql("SELECT job_id, no - 1 AS no, start_s, end_s, text FROM cues", track=_TRACK, timed=_TIMED, cues=_CUES))
 def subtitle_cues(spark, sf):
-    return row_numbers(cues(spark, sf), ["job_id"], LEVELS, "no").select("job_id", "no", "start_s", "end_s", "text")
+    return cues(spark, sf).select("job_id", "no", "start_s", "end_s", "text")
 
 
 def _clock_sql(x, mark):
@@ -201,16 +204,17 @@ def srt_documents(spark, sf):
 @query(
     "written_documents",
     sql(
-        """SELECT job_id, CAST(sum(len(string_split(line, chr(10)))) AS BIGINT) AS lines, CAST(sum(length(replace(line, chr(10), ''))) AS BIGINT) AS chars FROM srt GROUP BY 1""",
+        """SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY line_no, k) - 1 AS line_no, l AS line FROM (
+  SELECT job_id, line_no, unnest(string_split(line, chr(10))) AS l, generate_subscripts(string_split(line, chr(10)), 1) AS k FROM srt)""",
         "books", track=_TRACK, timed=_TIMED, cues=_CUES, jobs=_JOBS, srt=_SRT,
     ),
 )
 def written_documents(spark, sf):
-    """The subtitle documents as files, read back: physical lines and characters of each job."""
+    """The subtitle documents as files, read back: the physical lines of each job by their place in its files."""
     folder = f"{shared_folder(spark, local_fallback(spark))}/documents-{uuid.uuid4().hex}"
     write_documents(srt_documents(spark, sf), folder)
-    lines = spark.read.text(folder).select(F.col("job_id").cast("bigint").alias("job_id"), "value")
-    return lines.groupBy("job_id").agg(F.count("*").alias("lines"), F.sum(F.length("value")).cast("bigint").alias("chars"))
+    lines = read_documents(spark, folder).select(F.col("job_id").cast("bigint").alias("job_id"), "file", "at", F.col("value").alias("line"))
+    return row_numbers(lines, ["job_id"], [["file"], ["at"]], "line_no").select("job_id", "line_no", "line")
 
 
 @query(
