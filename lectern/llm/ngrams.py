@@ -392,8 +392,9 @@ def put_together(members: DataFrame) -> DataFrame:
     named = members.join(label, "node")
     agreed = named.groupBy("block", "part").agg(F.min("whole").alias("least"), F.max("whole").alias("most"))
     named = stored(named.join(agreed, ["block", "part"]).withColumn("one", F.col("least") == F.col("most")).drop("least", "most"), "ngrams-sized")
-    sizes = named.where("one").groupBy("whole").agg(F.count_distinct("cls").alias("m"))
-    sized = named.join(sizes, "whole", "left").withColumn("one", F.col("one") & (F.col("m") <= BLOCK))
+    sizes = named.where("one").select("whole", "cls").distinct().groupBy("whole").agg(F.count("*").alias("m"))
+    fitting = stored(sizes.where(F.col("m") <= BLOCK), "ngrams-fitting")
+    sized = named.join(checked_broadcast(fitting), "whole", "left").withColumn("one", F.col("one") & F.col("m").isNotNull())
     small = sized.where("one").select(F.col("whole").alias("block"), F.lit(-1).cast("bigint").alias("part"), "cls", "node", "comp")
     return stored(small.distinct().union(once_each(sized.where("not one").select(*members.columns))), "ngrams-together")
 
