@@ -170,13 +170,50 @@ def format_listing(spark, sf):
     )
 
 
-@query("decode_text", "SELECT doc_id, text FROM documents")
+LETTERS = "etaoinshrdlucmfwypvbgkjqxz"
+#: What Latin letters become for the sources whose files are in other scripts, and the encoding of these.
+SCRIPTS = {
+    "src6": ("gb18030", "的一是不了人我在有他这中大来上国个到说们为子和你地出"),
+    "src7": ("big5", "的一是不了人我在有他這中大來上國個到說們為子和你地出"),
+    "src8": ("cp1251", "оеаинтсрвлкмдпуяыьгзбчйхжш"),
+    "src9": ("koi8-r", "оеаинтсрвлкмдпуяыьгзбчйхжш"),
+    "src10": ("cp1250", "łtąośnsżrdlućmfwypvbgkjqxz"),
+}
+
+
+def _in_script(text, letters):
+    """Lower case, in other letters; what was beyond ASCII reads as the first of them."""
+    return F.translate(F.regexp_replace(F.lower(text), "[^\\x00-\\x7f]", "e"), LETTERS, letters)
+
+
+def _bytes_in(text, encoding, letters):
+    """The text's bytes in an encoding that the engine cannot write: each letter by its own bytes."""
+    for letter in letters:
+        raw = letter.encode(encoding)
+        if letter.encode("utf-8") != raw:
+            text = F.replace(text, F.lit(letter), F.lit(raw.decode("latin-1")))
+    return F.encode(text, "ISO-8859-1")
+
+
+_DECODED = "CASE source " + " ".join(
+    f"WHEN '{source}' THEN translate(regexp_replace(lower(text), '[^\\x00-\\x7f]', 'e', 'g'), '{LETTERS}', '{letters}')" for source, (_, letters) in SCRIPTS.items()
+) + " ELSE text END"
+
+
+@query("decode_text", f"SELECT doc_id, {_DECODED} AS text FROM documents")
 def decode_text(spark, sf):
-    """French, German and Spanish texts as Latin bytes where that is possible, all others as UTF-8."""
+    """Each source in an encoding of its own: three of UTF-16, Latin, Chinese and Cyrillic ones; the rest in UTF-8."""
     docs = texts(spark, sf, "documents")
-    latin = (F.col("lang") != "en") & ~F.col("text").rlike("[^\\x00-\\x7f\u00a0-\u00ff]") & F.col("text").rlike("[\u00e0-\u00f6\u00f8-\u00ff]")
-    utf8 = F.col("text").cast("binary")
-    content = F.when(latin, F.encode(F.when(latin, F.col("text")), "ISO-8859-1")).otherwise(utf8)
+    text, source = F.col("text"), F.col("source")
+    content = (
+        F.when(source == "src3", F.encode(text, "UTF-16"))
+        .when(source == "src4", F.encode(text, "UTF-16LE"))
+        .when(source == "src5", F.encode(text, "UTF-16BE"))
+    )
+    for name, (encoding, letters) in SCRIPTS.items():
+        content = content.when(source == name, _bytes_in(_in_script(text, letters), encoding, letters))
+    latin = (F.col("lang") != "en") & ~text.rlike("[^\\x00-\\x7f\u00a0-\u00ff]") & text.rlike("[\u00e0-\u00f6\u00f8-\u00ff]")
+    content = content.when(latin, F.encode(F.when(latin, text), "ISO-8859-1")).otherwise(text.cast("binary"))
     return docs.select("doc_id", content.alias("content")).select("doc_id", S.decode_text(F.col("content")).alias("text"))
 
 

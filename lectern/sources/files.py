@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # ---------------------------------------------------------------- fixed values
 MAX_UPLOAD_MB = 200
@@ -149,47 +147,49 @@ def _latin_text(content: Column) -> Column:
     return best
 
 
-def _wide_text(content: Column) -> Column:
-    """UTF-16 text, or text whose letters are mostly bytes beyond ASCII (Chinese, Cyrillic); null if nothing fits.
+def _charset_text(content: Column, charset: str) -> Column:
+    """Bytes through one of the JVM's own charsets; what it cannot read becomes U+FFFD."""
+    escaped = F.regexp_replace(F.hex(content), "(..)", "%$1")
+    return F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), escaped, F.lit(charset))
 
-    Zero bytes tell UTF-16 and its order where no mark does. Any other candidate must decode every byte, and nearly all that is beyond ASCII must be letters of its script and outnumber
-    ASCII letters; the share of the script's most frequent letters decides between those left.
-    """
 
-    # Local, so that it travels to executors by value.
-    def guess(batch: pd.Series) -> pd.Series:
-        candidates = WIDE_ENCODINGS
-
-        def best(raw):
-            if raw is None:
-                return None
-            raw, found = bytes(raw), []
-            if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-                return raw.decode("utf-16", "replace")
-            if raw.count(0) * 3 > len(raw):
-                return raw.decode("utf-16-le" if raw[1::2].count(0) >= raw[::2].count(0) else "utf-16-be", "replace")
-            for name, low, high, frequent in candidates:
-                try:
-                    text = raw.decode(name)
-                except UnicodeDecodeError:
-                    continue
-                beyond = [c for c in text if ord(c) > 127]
-                own = sum(low <= c <= high or "\u3000" <= c <= "\u303f" or "\uff00" <= c <= "\uffef" or c in "«»—–…№„“”‘’" for c in beyond)
-                ascii_letters = sum(c.isascii() and c.isalpha() for c in text)
-                if beyond and own >= 0.95 * len(beyond) and 2 * ascii_letters <= len(beyond):
-                    found.append((sum(c in frequent for c in beyond) / len(beyond), text))
-            return max(found, key=lambda f: f[0], default=(0, None))[1] if found and max(found)[0] > 0.05 else None
-
-        return batch.map(best)
-
-    return F.pandas_udf(guess, StringType())(content)
+def _two_byte_text(content: Column) -> Column:
+    """UTF-16: a mark tells the order of the bytes, else the places of the zero bytes."""
+    latin1 = F.decode(content, "ISO-8859-1")
+    zeros = lambda place: F.regexp_count(F.regexp_replace(latin1, "(?s)(.)(.)", place), F.lit("\\x00"))
+    little = _charset_text(content, "UTF-16LE")
+    return (
+        F.when(F.hex(F.substring(content, 1, 2)).isin("FFFE", "FEFF"), _charset_text(content, "UTF-16"))
+        .when(zeros("$2") >= zeros("$1"), little)
+        .otherwise(_charset_text(content, "UTF-16BE"))
+    )
+
+
+def _script_text(content: Column) -> Column:
+    """Text whose letters are mostly bytes beyond ASCII (Chinese, Cyrillic); null if no encoding fits.
+
+    A candidate must read every byte, and nearly all that is beyond ASCII must be letters of its script and outnumber
+    ASCII letters; the share of the script's most frequent letters decides between those left, earlier ones win ties.
+    """
+    best, score = F.lit(None).cast("string"), F.lit(0.05)
+    for name, low, high, frequent in WIDE_ENCODINGS:
+        text = _charset_text(content, name)
+        many = lambda letters, text=text: F.regexp_count(text, F.lit(letters))
+        beyond = many("[^\\x00-\\x7f]")
+        own = many(f"[{low}-{high}\u3000-\u303f\uff00-\uffef«»—–…№„“”‘’]")
+        fits = ~text.contains("\ufffd") & (own >= 0.95 * beyond) & (2 * many("[A-Za-z]") <= beyond)
+        share = F.when(fits, many(f"[{frequent}]") / F.nullif(beyond, F.lit(0)))
+        best = F.when(share > score, text).otherwise(best)
+        score = F.greatest(score, share)
+    return best
 
 
 def decode_text(content: Column) -> Column:
     """Text of a file's bytes; null if no encoding fits.
 
     A byte order mark decides; then UTF-8 where valid, UTF-16 where every other byte is mostly zero, Chinese and
-    Cyrillic encodings where bytes beyond ASCII come in runs, else the Latin code pages.
+    Cyrillic encodings where bytes beyond ASCII come in runs, else the Latin code pages. Only functions of the engine
+    read the bytes, and those of a kind only rows of that kind.
     """
     raw = content.cast("string")
     latin1 = F.decode(content, "ISO-8859-1")
@@ -199,8 +199,12 @@ def decode_text(content: Column) -> Column:
     runs = F.regexp_count(latin1, F.lit("[\\x80-\\xff]+"))
     dense = F.regexp_count(latin1, F.lit("[\\x80-\\xff]")) > 1.6 * runs
     plain = F.is_valid_utf8(raw) & ~two_bytes
-    wide = _wide_text(F.when(two_bytes | (~plain & dense), content))
-    return F.when(plain, F.regexp_replace(raw, "^\ufeff", "")).otherwise(F.coalesce(wide, _latin_text(content)))
+    return (
+        F.when(plain, F.regexp_replace(raw, "^\ufeff", ""))
+        .when(two_bytes, _two_byte_text(content))
+        .when(dense, F.coalesce(_script_text(content), _latin_text(content)))
+        .otherwise(_latin_text(content))
+    )
 
 
 def text_rejects(files: DataFrame) -> DataFrame:

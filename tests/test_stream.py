@@ -97,7 +97,7 @@ def test_dedupe_reads_the_prefixes_of_its_batch(spark, tmp_path, monkeypatch):
         got = [r.text for r in S.run_dedupe(spark, chunks, known, out).collect()]
         want |= {f"chunk {i}" for i in texts}
         assert sorted(got) == sorted(want)
-    every = S.earlier_keys(spark, out, 6)
+    every = S.earlier_keys(spark, out, 6, base=4)
     assert every.count() == len(want) and every.select("cache_key").distinct().count() == len(want)
     held = sorted({r.prefix for r in every.limit(3).collect()})
     files = lambda df: df.select("cache_key", "prefix", "_metadata.file_path").select("file_path").distinct().count()
