@@ -12,6 +12,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from lectern.session import local_fallback, shared_folder
 #: Words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAPS = " \t\n\x0b\f\r"
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
 #: Most rows of a table of ids that is broadcast, after they are counted.
@@ -76,6 +78,20 @@ def chunks(texts: list[str | bytes | None], limit: int = CHUNK) -> Iterator[slic
         yield slice(first, len(texts))
 
 
+def text_parts(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[slice, list]]:
+    """Consecutive runs of a column of texts of about ``limit`` bytes, a longer text alone: where, and the texts.
+
+    Python holds the texts of one run at a time, not of a whole batch.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(column):
+        before = size[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield slice(first, last), column.slice(first, last - first).to_pylist()
+        first = last
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

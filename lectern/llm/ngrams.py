@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, checked_broadcast, chunks, components, mix, stored, window_hashes
+from lectern.llm.common import Words, checked_broadcast, components, mix, stored, text_parts, window_hashes
 
 SHINGLE = 4
 PERCENT = 85
@@ -90,9 +90,8 @@ def sketch(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for part in chunks(texts):
-                h, _ = shingles(texts[part], size)
+            for _, texts in text_parts(batch.column(0)):
+                h, _ = shingles(texts, size)
                 counts += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         at = np.flatnonzero(counts)
         for i in range(0, len(at), 100_000):
@@ -110,9 +109,8 @@ def signatures(docs: DataFrame, counts: np.ndarray, size: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                h, bounds = shingles(texts[part], size)
+            for part, texts in text_parts(batch.column(1)):
+                h, bounds = shingles(texts, size)
                 n = np.diff(bounds)
                 doc = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((h, handed.value[(h % np.uint64(SKETCH)).astype(np.int64)], doc))
@@ -295,9 +293,9 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, want = batch.column(1).to_pylist(), batch.column(0).to_numpy()
-            for part in chunks(texts):
-                h, bounds = shingles(texts[part], size)
+            want = batch.column(0).to_numpy()
+            for part, texts in text_parts(batch.column(1)):
+                h, bounds = shingles(texts, size)
                 same = np.flatnonzero(set_keys(h, bounds)[0] == want[part])
                 tokens = [h[bounds[i] : bounds[i + 1]].tobytes() for i in same]
                 yield pa.RecordBatch.from_arrays([pa.array(want[part][same]), pa.array(tokens, pa.binary())], ["cls", "tokens"])

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Words, chunks, mix
+from lectern.llm.common import Words, mix, text_parts
 from lectern.llm.wordids import WordIds
 
 WINDOW = 2048
@@ -115,9 +115,8 @@ def tokenized(docs: DataFrame, tokenizer: str, tail: int, window: int, piece: in
         known = store(tokenizer)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                words = Words(texts[part])
+            for part, texts in text_parts(batch.column(1)):
+                words = Words(texts)
                 start, end, bounds = cut_words(words)
                 words.start, words.end = start, end
                 ids, ends = known.ids(words.raw, words.hashes(), start, end, bounds, tail)

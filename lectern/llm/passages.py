@@ -27,10 +27,10 @@ from lectern.llm.common import (
     OTHER_BASE,
     Words,
     checked_broadcast,
-    chunks,
     content_key,
     mix,
     stored,
+    text_parts,
     window_hashes,
 )
 
@@ -89,9 +89,8 @@ def first_level(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for part in chunks(texts):
-                w = Words(texts[part])
+            for part, texts in text_parts(batch.column(2)):
+                w = Words(texts)
                 text, h, first, last = choices(w, w.hashes(), length)
                 struct = pa.StructArray.from_arrays(
                     [pa.array(h, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["h", "first", "last"]
@@ -129,12 +128,11 @@ def extended(texts: DataFrame, length: int, again: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for part in chunks(texts):
-                w = Words(texts[part])
+            for part, texts in text_parts(batch.column(2)):
+                w, spans = Words(texts), batch.column(3).slice(part.start, len(texts)).to_pylist()
                 one = w.hashes()
                 starts = np.zeros(len(one) + 1, np.int32)  # how many spans cover a position, by differences
-                for i, mine in enumerate(spans[part]):
+                for i, mine in enumerate(spans):
                     edge = np.array([(s["first"], s["last"] + 1) for s in mine], np.int64).reshape(-1, 2) + w.bounds[i]
                     np.add.at(starts, edge[:, 0], 1)
                     np.add.at(starts, edge[:, 1], -1)
@@ -247,11 +245,10 @@ def deduplicated(docs: DataFrame, target: int = TARGET, total: str = "words_tota
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()
-            for part in chunks(texts):
-                w = Words(texts[part])
+            for part, texts in text_parts(batch.column(at)):
+                w, spans = Words(texts), batch.column(len(names)).slice(part.start, len(texts)).to_pylist()
                 out, n = [], []
-                for i, (text, gone) in enumerate(zip(texts[part], spans[part], strict=True)):
+                for i, (text, gone) in enumerate(zip(texts, spans, strict=True)):
                     if not gone:
                         out.append(text)
                         n.append(0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from lectern.llm.common import Words, chunks
+from lectern.llm.common import Words, text_parts
 from lectern.llm.wordids import WordIds
 
 # Fixed values of the format: the mark that stands for a space, and what an uncovered character costs beyond the least score.
@@ -143,12 +143,11 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, known = loaded(model)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in chunks(texts):
+            for part, texts in text_parts(batch.column(at)):
                 some = batch.slice(part.start, part.stop - part.start)
-                w = MarkedWords(texts[part], vocabulary.breaks)
+                w = MarkedWords(texts, vocabulary.breaks)
                 ids, ends = known.ids(w.raw, w.hashes(), w.start, w.end, w.bounds, None)
-                null = pa.array([t is None for t in texts[part]])
+                null = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)), mask=null)
                 yield pa.RecordBatch.from_arrays([*some.columns, lists], [*some.schema.names, "ids"])
 

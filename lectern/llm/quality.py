@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lectern.llm.common import Words, chunks, mix, powers, stored
+from lectern.llm.common import Words, mix, powers, stored, text_parts
 
 #: Most labelled rows that the model is fitted on and holds.
 SAMPLE = 8192
@@ -197,10 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions:
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            all_ = batch.column(2).to_pylist()
-            for part in chunks(all_):
+            for part, all_ in text_parts(batch.column(2)):
                 at, n = [], []
-                for texts_ in _blocks(all_[part]):
+                for texts_ in _blocks(all_):
                     for row in features(texts_):
                         hit = np.flatnonzero(row)
                         at.append(hit.astype(np.uint16).tobytes())
@@ -230,10 +229,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for part in chunks(texts):
+            for part, texts in text_parts(batch.column(at)):
                 some = batch.slice(part.start, part.stop - part.start)
-                got = np.concatenate([handed.value.score(features(t)) for t in _blocks(texts[part])])
+                got = np.concatenate([handed.value.score(features(t)) for t in _blocks(texts)])
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(got)], [*some.schema.names, "quality_score"])
 
     return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))

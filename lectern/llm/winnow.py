@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from lectern.llm.common import OTHER_BASE, Words, checked_broadcast, chunks, content_key, mix, stored, window_hashes
+from lectern.llm.common import OTHER_BASE, Words, checked_broadcast, content_key, mix, stored, text_parts, window_hashes
 from lectern.llm.passages import sliding_argmin
 
 LENGTH = 10
@@ -87,9 +87,8 @@ def item_windows(items: DataFrame, id: str, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for part in chunks(texts):
-                w = words_of(texts[part])
+            for part, texts in text_parts(batch.column(1)):
+                w = words_of(texts)
                 size = np.minimum(w.counts, length)
                 for n in np.unique(size[size > 0]).tolist():
                     one, start, grams, at = windows_of(w, n)
@@ -146,9 +145,8 @@ def fingerprinted(docs: DataFrame, keep: Sequence[str], lengths: list[int], bitm
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
-            for part in chunks(texts):
-                w = words_of(texts[part])
+            for part, texts in text_parts(batch.column(len(names))):
+                w = words_of(texts)
                 n, docs_of, found = part.stop - part.start, [], []
                 for length in lengths:
                     one, start, grams, at = windows_of(w, length)
