@@ -7,12 +7,14 @@ filters that have nothing to hold against them.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import lines, ngrams, packing, passages, quality
-from lectern.llm.common import GAPS, stored, table
+from lectern.llm.common import GAPS, small_batches, stored, table
 from lectern.llm.queries import trains_quality
 
 ORACLE_SQL = None  # no stage but the fourth can be said in SQL; tests compare each with a brute-force version
@@ -54,12 +56,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.withColumn("ids_crc32", F.crc32("ids"))
 
 
+def _bounded(stage):
+    """The stage with small batches between the engine and its Python workers, which go on from stage to stage."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("quality", keep_quality),
-    ("lines", drop_repeated_lines),
-    ("near_duplicates", keep_one_of_each_group),
-    ("passages", drop_repeated_passages),
-    ("packing", pack),
+    ("quality", _bounded(keep_quality)),
+    ("lines", _bounded(drop_repeated_lines)),
+    ("near_duplicates", _bounded(keep_one_of_each_group)),
+    ("passages", _bounded(drop_repeated_passages)),
+    ("packing", _bounded(pack)),
 ]
 
 

@@ -23,6 +23,7 @@ from lectern.session import local_fallback, shared_folder
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAPS = " \t\n\x0b\f\r"
 CHUNK = 1_000_000
+BATCH_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95
 #: Most rows of a table of ids that is broadcast, after they are counted.
@@ -31,6 +32,17 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_ENTRIES = 2_500_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let batches between the engine and Python hold ``BATCH_BYTES`` at most, from now on in this session.
+
+    By default a batch of long texts grows to 64 MB, on both sides of each task.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    digits = spark.conf.get(setting).rstrip("bB")
+    if not digits.isdigit() or int(digits) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
