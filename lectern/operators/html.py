@@ -107,32 +107,32 @@ def blocks(html: Column, tags: list[str] = SKIPPED_TAGS) -> Column:
             inner_text(F.regexp_replace(p, "^<[^>]*>?", "")).alias("text"),
         ),
     )
-    owner = lambda stack: F.try_element_at(stack, F.lit(-1))["owner"]
+    # The open tags are one text of "/tag:owner", with the text tag that owns the text there: steps copy their state.
+    top = lambda open_: F.substring_index(open_, "/", -1)
+    owner = lambda open_: F.substring_index(top(open_), ":", -1)
 
     def walk(open_: Column, piece: Column) -> Column:
-        """The open tags, each with the text tag that owns the text there."""
-        tag, top = piece["tag"], F.try_element_at(open_, F.lit(-1))["tag"]
+        tag, last = piece["tag"], F.substring_index(top(open_), ":", 1)
         # a paragraph or heading ends where the next block begins, an item where the next item does
-        ended = F.coalesce(top.rlike("^(?:p|h[1-6])$") | ((top == tag) & tag.isin("li", "dd", "dt")), F.lit(False))
-        without_top = F.slice(open_, 1, F.size(open_) - 1)
+        ended = last.rlike("^(?:p|h[1-6])$") | ((last == tag) & tag.isin("li", "dd", "dt"))
+        without_top = F.left(open_, F.length(open_) - F.length(top(open_)) - 1)
         opened = bind(
             F.when(ended, without_top).otherwise(open_),
-            lambda now: F.array_append(
-                now,
-                F.struct(tag.alias("tag"), F.when(tag.rlike(f"^(?:{TEXT_TAGS})$"), tag).otherwise(owner(now)).alias("owner")),
+            lambda now: F.concat(
+                now, F.lit("/"), tag, F.lit(":"), F.when(tag.rlike(f"^(?:{TEXT_TAGS})$"), tag).otherwise(owner(now))
             ),
         )
-        back = F.array_position(F.reverse(F.transform(open_, lambda o: o["tag"])), tag).cast("int")
-        inner = bind(back, lambda n: F.when(n > 0, F.slice(open_, 1, F.size(open_) - n)).otherwise(open_))
-        closed = F.when(top == tag, without_top).otherwise(inner)
+        mark = F.concat(F.lit("/"), tag, F.lit(":"))
+        # what is open inside the last one of its name goes with it
+        rest = F.length(F.call_function("substring_index", open_, mark, F.lit(-1))) + F.length(mark)
+        closed = F.when(last == tag, without_top).when(F.contains(open_, mark), F.left(open_, F.length(open_) - rest)).otherwise(open_)
         return F.when(tag == "", open_).when(piece["closes"], closed).otherwise(opened)
 
     def block(now: Column, piece: Column) -> Column:
         held = F.struct(owner(now).alias("tag"), piece["text"].alias("text"))
-        return F.when(owner(now).isNotNull() & (piece["text"] != ""), held)
+        return F.when((owner(now) != "") & (piece["text"] != ""), held)
 
-    nothing = F.array().cast("array<struct<tag:string,owner:string>>")
-    return scan(pieces, nothing, "struct<tag:string,text:string>", walk, block)
+    return scan(pieces, F.lit(""), "struct<tag:string,text:string>", walk, block)
 
 
 def kind_of(tag: Column) -> Column:

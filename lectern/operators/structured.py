@@ -81,7 +81,7 @@ def section_rejects(nodes: DataFrame) -> DataFrame:
     main = F.col("body_name").isNull()
     told = F.col("tag").isin("title", "subtitle", "p", *QUOTE_TAGS) & ~((F.col("tag") == "title") & (F.col("depth") == 1))
     found = nodes.groupBy("doc").agg(
-        F.max(main).alias("main"), F.max(main & told & (strip(F.col("text")) != "")).alias("found")
+        F.max(main).alias("main"), F.max(F.coalesce(main & told & (strip(F.col("text")) != ""), F.lit(False))).alias("found")
     )
     return _rejects(found, F.when(~F.col("main"), F.lit("no main body")).when(~F.col("found"), F.lit("no text in any section")))
 

@@ -39,7 +39,10 @@ WIDE_ENCODINGS = [
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder (path, modificationTime, length, content); a column that is not asked for is not read."""
+    """Files below a folder (path, modificationTime, length, content); a column that is not asked for is not read.
+
+    Empty files give no row.
+    """
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 

@@ -72,6 +72,65 @@ def test_html_nesting_and_references(spark):
         assert got[k] == want, page
 
 
+def _plain_walk(tokens):
+    """(owner, text) of (tag, closes, text) tokens, by a stack."""
+    text_tags = {"h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "p", "li", "dd", "figcaption"}
+    stack, out = [], []
+    for tag, closes, text in tokens:
+        if closes:
+            at = max((i for i, t in enumerate(stack) if t == tag), default=None)
+            stack = stack if at is None else stack[:at]
+        else:
+            if stack and (stack[-1] in {"p", "h1", "h2"} or (stack[-1] == tag and tag in {"li", "dd", "dt"})):
+                stack.pop()
+            stack.append(tag)
+        owner = next((t for t in reversed(stack) if t in text_tags), None)
+        if owner and text:
+            out.append((owner, text))
+    return out
+
+
+def test_html_walk_against_a_stack(spark):
+    """Tag soup of many lengths, deep ones included, against a plain stack."""
+    import random
+
+    r, pages = random.Random(6), []
+    for n in [1, 2, 3, 5, 10, 17, 50, 400, 3000]:
+        tags = ["p", "h1", "h2", "li", "ul", "div", "blockquote", "section", "dd", "dt", "td"]
+        pages.append([(r.choice(tags), r.random() < 0.45, r.choice(["", f"w{i}", f"x{i} y"])) for i in range(n)])
+    pages.append([(["div", "section"][i % 2], False, f"t{i}") for i in range(2000)] + [("p", False, "end"), ("section", True, "after")])
+    made = ["".join(f"<{'/' if c else ''}{t}>{x}" for t, c, x in page) for page in pages]
+    df = spark.createDataFrame(list(enumerate(made)), "k int, html string").repartition(4)
+    got = {row.k: [(b.tag, b.text) for b in row.b] for row in df.select("k", html.blocks(F.col("html")).alias("b")).collect()}
+    for k, page in enumerate(pages):
+        assert got[k] == _plain_walk(page), k
+
+
+def test_length_is_filtered_before_files_are_opened(spark, tmp_path):
+    for name, size in [("a", 10), ("b", 3000), ("c", 0)]:
+        (tmp_path / name).write_bytes(b"x" * size)
+    taken, rejected = S.read_files(spark, str(tmp_path), max_mb=1 / 1024)
+    assert sorted(r.length for r in taken.collect()) == [10] and [r.length for r in rejected.collect()] == [3000]
+    plan = lambda df: df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "LessThanOrEqual(length,1024)" in plan(taken) and "content:binary" in plan(taken)
+    for metadata in (rejected, S.file_sizes(spark, str(tmp_path), F.lit("x"))):
+        assert "content" not in plan(metadata).split("ReadSchema")[1].split("\n")[0]
+    assert "GreaterThan(length,1024)" in plan(rejected)
+
+
+def test_rejects_and_metadata(spark):
+    parts = spark.createDataFrame([(1, "yes", False, "<p>x"), (1, "no", False, "<p>y"), (2, "no", False, "<p>z"), (2, "yes", True, "<p>z"), (2, "yes", False, "<p> "), (3, "yes", False, None)], "doc int, linear string, is_nav boolean, html string")
+    assert sorted((r.doc, r.error) for r in structured.spine_rejects(parts).collect()) == [(2, "no text in any spine item"), (3, "no text in any spine item")]
+    pages = spark.createDataFrame([(1, "<p>x"), (2, "loose"), (3, None)], "doc int, html string")
+    assert sorted(r.doc for r in structured.page_rejects(pages).collect()) == [2, 3]
+    nodes = spark.createDataFrame([(1, "notes", 2, "p", "x"), (2, None, 1, "title", "x"), (2, None, 2, "image", "y"), (3, None, 2, "p", "z"), (4, None, 2, "cite", None)], "doc int, body_name string, depth int, tag string, text string")
+    assert sorted((r.doc, r.error) for r in structured.section_rejects(nodes).collect()) == [(1, "no main body"), (2, "no text in any section"), (4, "no text in any section")]
+    entries = [(1, 5, "title", "Second"), (1, 2, "title", "First"), (1, 3, "creator", "Ann"), (1, 4, "language", "En-GB")]
+    docs = spark.createDataFrame([(1, "/a/b.epub"), (2, "/a/The.Book.epub"), (3, "plain")], "doc int, path string")
+    got = structured.epub_metadata(spark.createDataFrame(entries, "doc int, pos int, name string, value string"), docs).collect()
+    assert {tuple(r) for r in got} == {(1, "First", "Ann", "en"), (2, "The.Book", None, "und"), (3, "plain", None, "und")}
+
+
 def test_sniff_and_resolve(spark, tmp_path):
     for name, member, body in [("a.bin", "mimetype", "application/epub+zip"), ("b.bin", "word/document.xml", "<x/>"), ("c.bin", "other", "x")]:
         with zipfile.ZipFile(tmp_path / name, "w") as z:

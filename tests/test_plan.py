@@ -129,3 +129,38 @@ def test_every_book_is_planned_or_rejected(spark):
         rejects = {r.book_id: r.error for r in R.plan_rejects(books, ["book_id"], registry).collect()}
         assert plan == planned and plan | rejects.keys() == set(range(1, 8)) and not plan & rejects.keys()
     assert rejects[3] == "unsupported language: fr" and rejects[4] == "no language"
+
+
+def test_large_books_are_dealt_out(spark):
+    """A book by its blocks gives the plan of a book in its row, and its blocks are in many tasks."""
+    r = iter(range(10_000))
+    prose = lambda n: " ".join(f"Sentence {next(r)} costs $5 and ends here." for _ in range(n))
+    chapters = [(f"C{c}", [("skip" if b % 7 == 3 else "para", prose(1 + b % 12) if b % 5 else " ") for b in range(40)]) for c in range(6)]
+    rows = [(1, "en", chapters), (2, "de", chapters[:1]), (3, "en", [("Only", [("skip", "x")])]), (4, None, chapters[:1])]
+    books = spark.createDataFrame(rows, BOOKS).withColumn("lexicon", F.lit(None).cast("array<struct<entry:int,is_regex:boolean,pattern:string,replacement:string>>"))
+    small = R.chunk_plan(books, ["book_id"])
+    large = R.chunk_plan(books.withColumn("large", F.col("book_id") != 2), ["book_id"])
+    assert large.columns == small.columns and [f.dataType for f in large.schema] == [f.dataType for f in small.schema]
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, small.collect()))
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        spread = R.plan_of_blocks(R.spoken_blocks(books.filter("book_id = 1"), ["book_id"]), ["book_id"])
+        assert spread.groupBy(F.spark_partition_id()).count().count() >= 3
+    finally:
+        spark.conf.unset(coalesce)
+
+
+def test_stage_intervals(spark):
+    events = [
+        (1, "a", "progress", 0.1), (1, "a", "start", None), (1, "a", "progress", 0.4), (1, "b", "start", None), (1, "a", "finish", None),
+        (1, "a", "progress", 0.9), (1, "a", "start", None), (1, "b", "progress", 0.2), (1, "x", "cancel", None), (1, "b", "finish", None),
+        (2, "x", "cancel", None), (2, "a", "start", None), (3, "a", "progress", 0.3), (4, "a", "start", None), (4, "a", "start", None),
+    ]
+    df = spark.createDataFrame([(j, s, k, p, i // 4, i, i) for i, (j, s, k, p) in enumerate(events)], "job_id int, stage string, kind string, progress double, day int, ts int, event_id int")
+    got = {tuple(r) for r in R.stage_intervals(df, [["day"], ["ts", "event_id"]]).collect()}
+    assert got == {
+        (1, "a", 1, 1, 1.0, 4, "done"), (1, "a", 2, 6, 0.0, None, "running"), (1, "b", 1, 3, 0.2, None, "running"),
+        (4, "a", 1, 13, 0.0, None, "running"), (4, "a", 2, 14, 0.0, None, "running"),
+    }
+    assert {tuple(r) for r in R.job_outcomes(df).collect()} == {(1, "cancelled", True), (2, "cancelled", False), (3, "queued", False), (4, "running", True)}
