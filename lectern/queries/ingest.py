@@ -11,7 +11,7 @@ from lectern.operators import catalog as C
 from lectern.operators import fold, html, language, structured
 from lectern.queries.registry import query, table, texts
 from lectern.queries.views import sql
-from lectern.session import local_fallback, shared_folder
+from lectern.session import cut_lineage, local_fallback, shared_folder
 from lectern.sources import files as S
 from lectern.sources import model as M
 
@@ -615,10 +615,11 @@ _MODEL = """SELECT lang AS language, gram, CAST(round(ln(n + 1) * 1000000) AS BI
 
 
 def _detected(spark, sf):
+    """The samples, of bounded length, are kept: model, grams, sizes and labels are all of these."""
     kept = F.filter(F.transform(F.split("text", "\n"), lambda t: strip(t)), lambda t: t != "")
-    labelled = texts(spark, sf, "documents").select(
+    labelled = cut_lineage(texts(spark, sf, "documents").select(
         "doc_id", F.col("lang").alias("language"), language.sample_of(kept).alias("sample")
-    )
+    ))
     model = language.train(labelled.select("language", "sample"))
     found = language.detect(labelled.select("doc_id", "sample"), model, "doc_id")
     return found.join(labelled.select("doc_id", "language"), "doc_id")

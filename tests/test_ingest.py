@@ -232,3 +232,12 @@ def test_encodings(spark):
     assert got[99] is None
     texts = spark.createDataFrame([("a", None), ("b", " \n\t"), ("c", "x")], "path string, text string")
     assert {r.path: r.error for r in S.text_rejects(texts).collect()} == {"a": "no text encoding fits", "b": "contains no text"}
+
+
+def test_language_of_documents_not_trained_on(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    samples = docs.select("doc_id", F.col("lang").alias("language"), F.substring("text", 1, 800).alias("sample")).cache()
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = language.train(samples.filter(~held_out).select("language", "sample"))
+    found = language.detect(samples.filter(held_out & (F.length("sample") >= 100)), model, "doc_id").join(samples, "doc_id").collect()
+    assert len(found) > 20 and sum(r.detected == r.language for r in found) >= 0.95 * len(found)
