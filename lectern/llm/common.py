@@ -22,7 +22,7 @@ from lectern.session import local_fallback, shared_folder
 #: Words of the contracts: runs of anything but space, tab, line feed, vertical tab, form feed, return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAPS = " \t\n\x0b\f\r"
-CHUNK = 1_000_000
+CHUNK = 500_000
 BATCH_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 OTHER_BASE = 0xD1342543DE82EF95

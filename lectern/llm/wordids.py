@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST = 2_000_000
+MOST = 200_000
 
 
 class WordIds:
