@@ -52,7 +52,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 2048 tokens, with their ids."""
-    rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    rows = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), words=200_000)  # workers hold those of earlier stages too
     return rows.withColumn("ids_crc32", F.crc32("ids"))
 
 

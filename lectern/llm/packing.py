@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Words, mix, text_parts
-from lectern.llm.wordids import WordIds
+from lectern.llm.wordids import MOST, WordIds
 
 WINDOW = 2048
 #: Longest piece of what is left of a text after its whole windows.
@@ -90,8 +90,8 @@ def encode_words(path: str):
 
 
 @cache
-def store(path: str) -> WordIds:
-    return WordIds(encode_words(path))
+def store(path: str, words: int = MOST) -> WordIds:
+    return WordIds(encode_words(path), words)
 
 
 def cut_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,11 +108,12 @@ def cut_words(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, np.searchsorted(start, words.text_start)
 
 
-def tokenized(docs: DataFrame, tokenizer: str, tail: int, window: int, piece: int, groups: int) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, tail: int, window: int, piece: int, groups: int, words: int = MOST) -> DataFrame:
     """(group, doc_id, start, length, doc_tokens, ids) of each piece, ids as little-endian unsigned 32-bit numbers."""
+    most = words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = store(tokenizer)
+        known = store(tokenizer, most)
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part, texts in text_parts(batch.column(1)):
@@ -155,15 +156,15 @@ def tokenized(docs: DataFrame, tokenizer: str, tail: int, window: int, piece: in
 
 
 def packed(
-    docs: DataFrame, tokenizer: str, *, tail: int = 1, window: int = WINDOW, piece: int = PIECE, group_texts: int = GROUP_TEXTS
+    docs: DataFrame, tokenizer: str, *, tail: int = 1, window: int = WINDOW, piece: int = PIECE, group_texts: int = GROUP_TEXTS, words: int = MOST
 ) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset, ids of every piece.
 
-    A null or empty text is its closing id alone. Rows are packed each for itself, whatever their doc_id;
+    A task keeps the ids of ``words`` words at most. A null or empty text is its closing id alone. Rows are packed each for itself, whatever their doc_id;
     ids of sequences are unique and not consecutive.
     """
     groups = max(1, -(-docs.count() // group_texts))
-    pieces = tokenized(docs, tokenizer, tail, window, min(piece, window), groups)
+    pieces = tokenized(docs, tokenizer, tail, window, min(piece, window), groups, words)
 
     def fill(table: pa.Table) -> pa.Table:
         length = table["length"].to_numpy()

@@ -11,12 +11,12 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST = 200_000
+MOST = 2_000_000
 
 
 class WordIds:
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = MOST):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
@@ -41,7 +41,7 @@ class WordIds:
     ) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts whose words are [bounds[i], bounds[i+1]), each text closed by ``tail``; and their bounds."""
         keys, at, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) > MOST:
+        if len(self.keys) > self.most:
             self.clear()
         place = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
