@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lectern.functions.strings import WHITESPACE
 from lectern.operators import layout as L
 from lectern.queries.ingest import LINES, lines
 from lectern.queries.registry import query, table
@@ -244,12 +245,14 @@ def documents_without_chapters(spark, sf):
 # ----------------------------------------------------------- lines inside blocks
 
 _SIZED = "SELECT doc_id AS doc, pos // 4 AS block, pos AS line_no, CASE WHEN length(text) < 20 THEN substr(text, 1, 2) ELSE text END AS text, CASE WHEN length(text) < 20 THEN 60.0::DOUBLE / length(text) ELSE 6.0::DOUBLE END AS max_size FROM lines"
-_GLUED = """SELECT doc, block, line_no, CASE WHEN starts THEN text || nxt ELSE text END AS text, CASE WHEN starts THEN nxt_size ELSE max_size END AS max_size FROM (
+# All that the operator takes for white space at the ends of a text.
+WHITE = "' ' || " + " || ".join(f"chr({ord(c)})" for c in sorted(set(WHITESPACE) - {" "}))
+_GLUED = """SELECT doc, block, line_no, CASE WHEN starts THEN word || nxt ELSE text END AS text, CASE WHEN starts THEN nxt_size ELSE max_size END AS max_size FROM (
   SELECT *, coalesce(lag(starts) OVER (PARTITION BY doc, block ORDER BY line_no), false) AS consumed FROM (
     SELECT *, cap AND (row_number() OVER (PARTITION BY doc, block, run, cap ORDER BY line_no) % 2 = 1) AS starts FROM (
       SELECT *, sum(CAST(NOT cap AS INTEGER)) OVER (PARTITION BY doc, block ORDER BY line_no) AS run FROM (
-        SELECT *, lead(text) OVER w AS nxt, lead(max_size) OVER w AS nxt_size, coalesce(regexp_matches(text, '^\\pL{1,2}$') AND max_size >= lead(max_size) OVER w * 1.8, false) AS cap
-        FROM sized WINDOW w AS (PARTITION BY doc, block ORDER BY line_no))))) WHERE NOT consumed"""
+        SELECT *, lead(text) OVER w AS nxt, lead(max_size) OVER w AS nxt_size, coalesce(regexp_matches(word, '^\\pL{1,2}$') AND max_size >= lead(max_size) OVER w * 1.8, false) AS cap
+        FROM (SELECT *, trim(text, WHITE) AS word FROM sized) WINDOW w AS (PARTITION BY doc, block ORDER BY line_no))))) WHERE NOT consumed""".replace("WHITE", WHITE)
 
 
 def sized_lines(spark, sf):
@@ -270,7 +273,7 @@ def line_drop_caps(spark, sf):
 
 @query(
     "block_text",
-    sql("SELECT doc, block, trim(string_agg(text, chr(10) ORDER BY line_no), ' ' || chr(10)) AS text, max(max_size) AS max_size FROM glued GROUP BY ALL", lines=LINES, sized=_SIZED, glued=_GLUED),
+    sql(f"SELECT doc, block, trim(string_agg(text, chr(10) ORDER BY line_no), {WHITE}) AS text, max(max_size) AS max_size FROM glued GROUP BY ALL", lines=LINES, sized=_SIZED, glued=_GLUED),
 )
 def block_text(spark, sf):
     merged = L.merge_drop_cap_lines(sized_lines(spark, sf), ["doc", "block"], ["line_no"])
