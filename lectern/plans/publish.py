@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.strings import strip
 from lectern.operators.ordered import Levels, row_numbers
+from lectern.plans.timeline import assemble
 
 # ---------------------------------------------------------------- fixed values
 VTT_HEADER = "WEBVTT"
@@ -55,16 +56,19 @@ def subtitle_cues(segments: DataFrame) -> DataFrame:
     )
 
 
-def numbered_cues(times: DataFrame, segments: DataFrame, levels: Levels) -> DataFrame:
-    """Cues with their number in the job (``no``, from 0): numbered by times and ordinals alone, then joined with the text.
+def is_spoken() -> Column:
+    """Whether a segment that is not yet timed gives a cue."""
+    return F.coalesce((strip(F.col("text")) != "") & F.col("samples").isNotNull() & F.col("sample_rate").isNotNull(), F.lit(False))
 
-    ``times``: job_id, the columns of ``levels``, start_s, duration_s, spoken (whether there is text). ``segments``:
-    job_id, the columns of ``levels``, which name a segment, and text.
+
+def timed_cues(segments: DataFrame, levels: Levels) -> DataFrame:
+    """Cues of the jobs' segments with their number in the job (``no``, from 0), times and text.
+
+    Samples and spoken segments are summed in one pass, so the segments meet their offsets once. ``segments``: job_id, the
+    columns of ``levels``, text, samples, sample_rate and pause_after_s.
     """
-    ordinals = ["job_id", *(c for level in levels for c in level)]
-    kept = times.filter(F.col("spoken") & F.col("start_s").isNotNull() & F.col("duration_s").isNotNull()).drop("spoken")
-    numbered = row_numbers(kept, ["job_id"], levels, "no").withColumn("end_s", F.col("start_s") + F.col("duration_s"))
-    return numbered.join(segments.select(*ordinals, strip(F.col("text")).alias("text")), ordinals)
+    timed = assemble(segments, ["job_id"], levels, {"no": is_spoken().cast("bigint")})
+    return subtitle_cues(timed).drop("samples", "sample_rate", "pause_after_s")
 
 
 def _numbered(cues: DataFrame, levels: Levels) -> DataFrame:
@@ -80,24 +84,26 @@ def _lines(df: DataFrame, number: Column, line: Column) -> DataFrame:
     return df.select("job_id", number.cast("bigint").alias("line_no"), line.alias("line"))
 
 
-def srt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels) -> DataFrame:
+def srt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels, told: DataFrame | None = None) -> DataFrame:
+    """``told``: rows with the job_id of every job that has cues, where they cost less than the cues."""
     numbered = _numbered(cues, levels)
     span = F.concat(srt_timestamp(F.col("start_s")), F.lit(" --> "), srt_timestamp(F.col("end_s")))
     gap = F.when(F.col("no") > 0, "\n").otherwise("")
     block = F.concat(gap, F.col("no") + 1, F.lit("\n"), span, F.lit("\n"), F.col("text"))
     return _lines(numbered, F.col("no") + 1, block).unionByName(
-        _lines(_without_rows(jobs, cues), F.lit(1), F.lit(""))
+        _lines(_without_rows(jobs, cues if told is None else told), F.lit(1), F.lit(""))
     )
 
 
-def vtt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels) -> DataFrame:
+def vtt_lines(cues: DataFrame, jobs: DataFrame, levels: Levels, told: DataFrame | None = None) -> DataFrame:
+    """``told`` as for SRT."""
     numbered = _numbered(cues, levels)
     span = F.concat(vtt_timestamp(F.col("start_s")), F.lit(" --> "), vtt_timestamp(F.col("end_s")))
     gap = F.when(F.col("no") > 0, "\n").otherwise("")
     return (
         _lines(jobs, F.lit(0), F.lit(VTT_HEADER + "\n"))
         .unionByName(_lines(numbered, F.col("no") + 1, F.concat(gap, span, F.lit("\n"), F.col("text"))))
-        .unionByName(_lines(_without_rows(jobs, cues), F.lit(1), F.lit("")))
+        .unionByName(_lines(_without_rows(jobs, cues if told is None else told), F.lit(1), F.lit("")))
     )
 
 

@@ -23,14 +23,14 @@ def pause_samples(pause_s: Column, rate: Column) -> Column:
     return F.when(pause_s > 0, F.bround(pause_s * rate).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def assemble(segments: DataFrame, keys: list[str], levels: Levels) -> DataFrame:
-    """Start and duration of each segment, counted in whole samples.
+def assemble(segments: DataFrame, keys: list[str], levels: Levels, sums: dict[str, Column] | None = None) -> DataFrame:
+    """Start and duration of each segment, counted in whole samples; ``sums`` are summed along.
 
     Needs ``samples``, ``sample_rate`` and ``pause_after_s``. Integers are summed,
     so the result does not depend on the order of partial sums.
     """
     length = F.col("samples") + pause_samples(F.col("pause_after_s"), F.col("sample_rate"))
-    timed = running_sums(segments, keys, levels, {"cursor": length})
+    timed = running_sums(segments, keys, levels, {"cursor": length, **(sums or {})})
     return timed.withColumns(
         {"start_s": F.col("cursor") / F.col("sample_rate"), "duration_s": F.col("samples") / F.col("sample_rate")}
     ).drop("cursor")
