@@ -45,13 +45,13 @@ def _merge_forward(rows: DataFrame, keys: list[str], order: list[str], caps: Col
     second one starts. ``caps`` may use the next row as ``nxt``.
     """
     line = Window.partitionBy(*keys).orderBy(*order)
-    run = Window.partitionBy(*keys, "run", "cap").orderBy(*order)
+    so_far = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = [c for c in ("text", "max_size", "x1", "y1") if c in rows.columns]
     ahead = rows.withColumn("nxt", F.lead(F.struct(*carried)).over(line))
-    marked = ahead.withColumn("cap", F.coalesce(caps, F.lit(False))).withColumn(
-        "run", F.sum(F.when(F.col("cap"), 0).otherwise(1)).over(line)
-    )
-    started = marked.withColumn("starts", F.col("cap") & (F.row_number().over(run) % 2 == 1))
+    marked = ahead.withColumn("cap", F.coalesce(caps, F.lit(False))).withColumn("at", F.row_number().over(line))
+    # Rows since the last that is not selected: all windows share one sort.
+    before = F.coalesce(F.last(F.when(~F.col("cap"), F.col("at")), ignorenulls=True).over(so_far), F.lit(0))
+    started = marked.withColumn("starts", F.col("cap") & ((F.col("at") - before) % 2 == 1))
     kept = started.withColumn("consumed", F.lag("starts").over(line)).filter(~F.coalesce("consumed", F.lit(False)))
     merged = {c: F.when(F.col("starts"), F.col(f"nxt.{c}")).otherwise(F.col(c)) for c in carried}
     merged["text"] = F.when(F.col("starts"), F.concat(strip(F.col("text")), F.col("nxt.text"))).otherwise(F.col("text"))
@@ -281,13 +281,18 @@ def without_chapters(blocks: DataFrame, outline: DataFrame) -> DataFrame:
     return told.filter(~F.col("told")).select("doc", F.lit("headings but no text below them").alias("error"))
 
 
+def order_without_text(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """doc, page, pos, page_no, max_size and chars of the blocks without headers and footers: what is sorted has no text."""
+    kept = strip_headers_footers(blocks, pages).withColumn("chars", F.length("text")).drop("text", "y1")
+    return reading_order(kept, pages).select("doc", "page", "pos", "page_no", "max_size", "chars")
+
+
 def sized_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Blocks without headers and footers, with page_no, height and body_size.
 
     The order is kept without the text, which meets it by document, page and position.
     """
-    read = reading_order(strip_headers_footers(blocks, pages), pages)
-    order = cut_lineage(read.select("doc", "page", "pos", "page_no", "max_size", F.length("text").alias("chars")))
+    order = cut_lineage(order_without_text(blocks, pages))
     places = order.select("doc", "page", "pos", "page_no")
     return blocks.join(places, ["doc", "page", "pos"]).join(body_sizes(order), "doc").join(pages.select("doc", "height"), "doc")
 

@@ -134,14 +134,9 @@ def layout_text(spark, sf):
     return blocks(spark, sf).select("doc", "page", "pos", L.clean_text(F.col("text")).alias("text"))
 
 
-def _read(spark, sf):
-    p = pages(spark, sf)
-    return L.reading_order(L.strip_headers_footers(blocks(spark, sf), p), p)
-
-
 @query("body_font_size", sql("SELECT * FROM sizes", **_TO_ORDER, sizes=_SIZES))
 def body_font_size(spark, sf):
-    return L.body_sizes(_read(spark, sf))
+    return L.body_sizes(L.order_without_text(blocks(spark, sf), pages(spark, sf)))
 
 
 @query("block_drop_caps", sql("SELECT doc, page, page_no, text, max_size FROM merged", **_TO_ORDER, sizes=_SIZES, merged=_MERGED))
