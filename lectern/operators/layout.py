@@ -281,6 +281,27 @@ def without_chapters(blocks: DataFrame, outline: DataFrame) -> DataFrame:
     return told.filter(~F.col("told")).select("doc", F.lit("headings but no text below them").alias("error"))
 
 
+def settled_by_text(blocks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Documents (doc) with a block that stays and is no heading whatever its size, or the letter before it, may be.
+
+    A text of several lines or too many characters is such, also behind a drop cap. Blocks that could be a header or
+    footer are left aside, since only the count over all pages tells whether they stay.
+    """
+    line = strip(F.col("text"))
+    long = blocks.filter((F.length(line) > HEADING_CHARS) | line.contains("\n")).select("doc", "y0", "y1")
+    sized = long.join(pages.select("doc", "n_pages", "height"), "doc")
+    stays = (F.col("n_pages") < MIN_PAGES) | zone(F.col("y0"), F.col("y1"), F.col("height")).isNull()
+    return sized.filter(stays).select("doc").distinct()
+
+
+def headings_alone(blocks: DataFrame, pages: DataFrame, outline: DataFrame) -> DataFrame:
+    """``without_chapters`` of blocks that are not prepared: only the documents that their texts leave open are, and only these are kept."""
+    known = settled_by_text(blocks, pages).union(outline.select("doc")).distinct()
+    open_blocks = cut_lineage(blocks.join(known, "doc", "left_anti"))
+    open_pages = cut_lineage(pages.join(open_blocks.select("doc").distinct(), "doc", "left_semi"))
+    return without_chapters(prepare(open_blocks, open_pages), outline)
+
+
 def order_without_text(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, page, pos, page_no, max_size and chars of the blocks without headers and footers: what is sorted has no text."""
     kept = strip_headers_footers(blocks, pages).withColumn("chars", F.length("text")).drop("text", "y1")

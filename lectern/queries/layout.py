@@ -234,7 +234,7 @@ def documents_without_chapters(spark, sf):
     small = blocks(spark, sf).withColumn("doc", F.col("doc") * 1000 + F.floor(F.col("pos") / 16777216) % 1000)
     sizes = small.groupBy("doc").agg(F.count_distinct("page").alias("n_pages"))
     leaves = sizes.select("doc", "n_pages", F.lit(500.0).alias("width"), F.lit(700.0).alias("height"))
-    return L.without_chapters(L.prepare(small, leaves), outline(spark, sf))
+    return L.headings_alone(small, leaves, outline(spark, sf))
 
 
 # ----------------------------------------------------------- lines inside blocks
